@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docloom.llm import records
+from docloom.llm import records, shinglejoin
 
-_MODULES = (records,)
+_MODULES = (records, shinglejoin)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
