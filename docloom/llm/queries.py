@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontaminate, records, shinglejoin
+from docloom.llm import decontaminate, records, shinglejoin, vectors
 
-_MODULES = (shinglejoin, decontaminate, records)
+_MODULES = (shinglejoin, decontaminate, records, vectors)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
