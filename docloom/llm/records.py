@@ -23,7 +23,9 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +35,13 @@ from docloom.llm.shared import new_folder, partitions, table
 
 MAGIC = b"DLREC1\0\0"
 END = 0
+#: Marks that may follow a word's letters; a run of them is a word of its own to the tokenizer.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: Byte-level BPE writes a byte that has no printed Latin-1 sign as the next free one above 255.
+BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 #: Words kept with their ids in each Python worker.
-CACHE = 400_000
+CACHE = 600_000
 
 
 def mask(crc: int) -> int:
@@ -59,11 +66,11 @@ def parse(data: bytes, at: int) -> tuple[bytes, int]:
 
 
 class Encoder:
-    """Texts to ids by the tokenizers library, a word at a time.
+    """Texts to ids by the tokenizers library, each distinct word once.
 
-    Byte-level BPE never merges across a space that follows a character other than white space, so a text
-    without runs of spaces is the concatenation of its space-led words, and each distinct word is encoded
-    once. Texts with two adjacent spaces, or with a special token's string, are encoded whole.
+    Byte-level BPE never merges across a space or a single line break that follows other text, so a text is
+    the concatenation of its words, each led by its space or line break. Texts with two such characters in a
+    row, where that doesn't hold, or with a special token's string, are encoded whole.
     """
 
     def __init__(self, path: str, width: int):
@@ -72,28 +79,56 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.width = Tokenizer.from_file(path), width
+        self.tokenizer, self.kind = Tokenizer.from_file(path), {2: "<u2", 4: "<u4"}[width]
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.code, self.tails = {2: "H", 4: "I"}[width], {}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
-    def raw(self, texts: list[str]) -> list[bytes]:
-        w = self.width
-        return [b"".join(i.to_bytes(w, "little") for i in x.ids) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def word(self, lead: str, word: str) -> bytes:
+        """A word after a space, a line break or nothing. Letters with marks behind them, as most words are, go
+        straight to the library's BPE model, which takes a word's bytes as the alphabet of byte-level BPE."""
+        stem = word.rstrip(PUNCTUATION)
+        if not stem.isalpha():
+            return self.ids(lead + word)
+        name = ("\u0120" if lead == " " else "") + stem.encode().decode("latin-1").translate(BYTES)
+        ids = [t.id for t in self.tokenizer.model.tokenize(name)]
+        out = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        if lead == "\n":
+            out = self.tail("\n") + out
+        return out + self.tail(word[len(stem) :]) if len(stem) < len(word) else out
+
+    def tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            if len(self.tails) > CACHE:
+                self.tails.clear()
+            self.tails[marks] = self.ids(marks)
+        return self.tails[marks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if "  " in t or any(s in t for s in self.special) else t.split(" ") for t in texts]
-        for known, lead in ((self.first, ""), (self.later, " ")):
+        whole = ("  ", " \n", "\n\n", *self.special)
+        split = [None if any(s in t for s in whole) else t.replace("\n", " \n").split(" ") for t in texts]
+        for known, pick in ((self.first, slice(0, 1)), (self.later, slice(1, None))):
             if len(known) > CACHE:
                 known.clear()
             need: set[str] = set()
             for words in split:
                 if words:
-                    need.update(words[:1] if not lead else words[1:])
-            new = list(need - known.keys())
-            known.update(zip(new, self.raw([lead + x for x in new]), strict=True))
+                    need.update(words[pick])
+            new = need - known.keys()
+            for x in new:
+                known[x] = self.word("", x) if known is self.first else self.word("\n", x[1:]) if x[:1] == "\n" else self.word(" ", x)
         first, later = self.first, self.later.__getitem__
-        return [self.raw([t])[0] if w is None else first[w[0]] + b"".join(map(later, w[1:])) for t, w in zip(texts, split, strict=True)]
+        return [self.ids(t) if w is None else first[w[0]] + b"".join(map(later, w[1:])) for t, w in zip(texts, split, strict=True)]
+
+
+@lru_cache(1)
+def encoder(path: str, width: int) -> Encoder:
+    """One for each Python worker, which serves many tasks."""
+    return Encoder(path, width)
 
 
 def tokenizer_path() -> str:
@@ -108,7 +143,7 @@ def encoded(docs: DataFrame, path: str, width: int, text: str = "text", id: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        coder, press, end = Encoder(path, width), zstandard.ZstdCompressor(level=1), END.to_bytes(width, "little")
+        coder, press, end = encoder(path, width), zstandard.ZstdCompressor(level=1), END.to_bytes(width, "little")
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
@@ -177,7 +212,6 @@ def read_records(spark: SparkSession, folder: str, manifest: list) -> DataFrame:
     files = spark.createDataFrame(rows, schema).repartition(min(len(rows), 4 * partitions(spark)), "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
         import zstandard
 
         store, root = fs.FileSystem.from_uri(folder)

@@ -7,7 +7,7 @@ import pytest
 
 from docloom.llm import records as R
 
-TEXTS = [(7, "The cat's paw.\nNext  line   here "), (3, None), (5, ""), (-2, "één über ñ 123 4567\t\n\n x"), (9, " lead"), (9, " lead"), (None, "no id"), (11, "word " * 3000), (12, "a<|endoftext|>b c")]
+TEXTS = [(7, "The cat's paw.\nNext  line   here "), (3, None), (5, ""), (-2, "één über ñ 123 4567\t\n\n x"), (9, " lead"), (9, " lead"), (None, "no id"), (11, "word " * 3000), (12, "a<|endoftext|>b c"), (13, "\nx\n y\tz\r\nq \tw\t\t v\n"), (14, "a\n\n\nb"), (15, "\u00a0 a \u00a0b\u2003"), (16, " "), (17, "\n"), (18, "it's we'll 'tis\n's")]
 
 
 def brute(rows):
