@@ -104,16 +104,19 @@ class Model:
         width, base = self.width, np.array(self.base, np.int64)[:, None] * self.width
         state = np.ones((len(base), n), np.int64)
         count = np.zeros((len(base), n), np.int32)
-        begun = np.zeros((len(base), n), bool)
+        open = np.zeros((len(base), n), bool)
         for c in stretches.astype(np.int64):
             at = base + c
             new = self.go.take(state * width + at)
             ended = new == 0
-            count += ended & begun
-            again = self.go.take(at + width)  # the same character from the root; an unseen letter is a phrase of its own
+            again = self.go.take(at + width)  # the same character from the root; one that is never seen is a phrase of its own
+            lone = ended & (again == 0)
+            count += ended & open
+            count += lone
             state = np.where(ended, np.maximum(again, 1), new).astype(np.int64)
-            begun |= c < width - 1
-        return count + begun
+            open |= c < width - 1
+            open &= ~lone
+        return count + open
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """((texts, languages) phrases x log n / characters, letters of each text)."""
