@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontaminate, language, mixing, quality, records, shinglejoin, urls, vectors
+from docloom.llm import decontaminate, language, mixing, pii, quality, records, shinglejoin, urls, vectors
 
-_MODULES = (shinglejoin, decontaminate, mixing, records, vectors, urls, quality, language)
+_MODULES = (shinglejoin, decontaminate, pii, mixing, records, vectors, urls, quality, language)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

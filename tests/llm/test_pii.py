@@ -1,0 +1,83 @@
+"""PII: base spans against Python's regular expressions, the fitted trees, and redaction."""
+
+import hashlib
+import random
+import re
+
+from docloom.llm import pii as P
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def fits(kind, t):
+    d = [int(c) for c in t if c in "0123456789"]
+    if kind == "ip":
+        return all(int(p) <= 255 for p in t.split("."))
+    if kind == "card":
+        return 14 <= len(d) <= 19 and sum(v if i % 2 == 0 else v * 2 - 9 * (v > 4) for i, v in enumerate(reversed(d))) % 10 == 0
+    return 10 <= len(d) <= 15 if kind == "phone" else True
+
+
+def brute(text):
+    found = [(m.start(), i, m.end(), k) for i, (k, p) in enumerate(PATTERNS.items()) for m in re.finditer(p, text or "") if fits(k, m[0])]
+    return sorted(found)
+
+
+TEXTS = [
+    None, "", "a@b.c", "x@y.zz_q@w.v, é a.b+c@d-e.f.g. ü", "a@b.c@d.e @f.g h@.i", "1.2.3.4.5 256.1.1.1 0001.0.00255.9 1.2.3", "4539 1488 0343 6467!", "4539-1488-0343-6467 4539148803436468",
+    "+1 (269) 555-3296 4524132264652876 and +49 30 123", "++1234567890 +1234567890123456", "𝒳𝒴 a@b.c 😀 10.0.0.1", "1" * 20000, "a" * 20000 + "@", "1 2 " * 8000, "a." * 5000 + "@b.c", "7\n+1 (222) 333-4444\t9",
+]
+
+
+def texts(seed):
+    rng = random.Random(seed)
+    parts = ["foo", "é", "a.b@mail.com", "10.2.3.4", "300.1.2.3", "+1 (222) 333-4444", "4539148803436467", "4539148803436468", "12", "@", ".", "-", " ", "(at)", "me (at) home dot", "me (at) home.org", "222 333 4444"]
+    return ["".join(rng.choice(parts) + rng.choice(("", " ")) for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+
+
+def test_base_spans(spark):
+    rows = [*enumerate(TEXTS + texts(3)), (None, "z@z.z"), (3, "z@z.z")]
+    docs = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, base int, kind string")
+    got = P.personal_data(docs).collect()
+    assert len(got) == len(rows)
+    want = {}
+    for i, t in rows:
+        want.setdefault(i, []).append(brute(t))
+    for r in got:
+        base = [tuple(x) for x in r.base]
+        assert base in want[r.doc_id], (r.doc_id, base, want[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[3] == k for x in base) for k in PATTERNS]
+        assert set(base) <= {tuple(x) for x in r.found} and len(r.found) == len(base) + r.n_added
+
+
+def test_query_digest(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts(4))], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for r in P.op3_pii_boosting(spark, str(tmp_path)).collect():
+        base = ",".join(f"{k}:{s}:{e}" for s, _, e, k in brute(texts(4)[r.doc_id]))
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(base.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_trees_learn():
+    rng = random.Random(1)
+    cells = []
+    for _ in range(400):
+        x = tuple(rng.randrange(n) for n in P.FEATURES.values())
+        cells.append((x, 9.0 if x[2] >= 3 and x[6] != 1 else 1.0, 10.0))
+    trees = P.fit(cells)
+    assert min(P.value(trees, x) for x, y, _ in cells if y == 9) > max(P.value(trees, x) for x, y, _ in cells if y == 1)
+    assert P.calibrated(trees, [(x, y / 9 * 10 if y == 9 else y, n) for x, y, n in cells]) < float("inf")
+    assert P.fit([]) == [] and P.calibrated([], []) == float("inf")
+
+
+def test_redaction_and_empty(spark):
+    docs = spark.createDataFrame([(1, "to a@b.c now 10.0.0.1"), (2, None), (3, "none")], "doc_id long, text string")
+    found = P.personal_data(docs)
+    assert {r.doc_id: r.text for r in P.redacted(docs, found).collect()} == {1: "to <email> now <ip>", 2: None, 3: "none"}
+    assert P.personal_data(docs.limit(0)).collect() == []
