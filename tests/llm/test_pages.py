@@ -37,13 +37,13 @@ def test_tables_pages(spark):
         assert got[r.page_id].text == "\n".join(x for x in want if x) and got[r.page_id].n_chars == len(got[r.page_id].text) and got[r.page_id].url == r.url
 
 
-def site(n, host="h.com"):
+def site(n, host="h.com", first=0):
     """Pages without telling markup: one branch repeats a few texts, the other doesn't."""
-    return [(i, f"http://{host}/{i}", f"<body><div class='q'><p>common {i % 3}</p></div><div class='r'><p>own {i} {host}</p><p>more {i}</p></div>") for i in range(n)]
+    return [(i + first, f"http://{host}/{i}", f"<body><div class='q'><p>common {i % 3}</p></div><div class='r'><p>own {i} {host}</p><p>more {i}</p></div>") for i in range(n)]
 
 
 def test_removal_by_entropy(spark, monkeypatch):
-    rows = [*site(300), *site(2, "small.com"), (900, None, "<p>x</p>"), (901, "http://h.com/", None), (None, "http://h.com/", site(1)[0][2])]
+    rows = [*site(300), *site(2, "small.com", 1000), (900, None, "<p>x</p>"), (901, "http://h.com/", None), (None, "http://h.com/", site(1)[0][2])]
     pages = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int").repartition(3)
     got = {r.page_id: r.text for r in P.extract(pages).collect()}
     assert len(got) == len(rows)
