@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import textkit
-from docloom.llm.shared import table, written
+from docloom.llm.shared import sent_if_few, table, with_row_ids, written
 from docloom.llm.shinglejoin import bloom, in_bloom
 
 #: Seeds over 12 words; 1 is looked at. Weight 7 each; any one substitution leaves a seed whole.
@@ -225,6 +225,13 @@ def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", id: str
     return _sent(rows, items) if size <= SENT else _joined(rows, written(items, "items"))
 
 
+def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """docs without those that share a passage with a test item."""
+    rows, key = with_row_ids(docs)
+    gone = written(contaminated(rows, bench, id=key).select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
+    return rows.join(sent_if_few(gone), F.col(key) == F.col("__id"), "left_anti").select(*docs.columns)
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage that a document of the whole table shares with a test item."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -193,6 +193,11 @@ def languages(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.coalesce(residue("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def in_a_language(docs: DataFrame) -> DataFrame:
+    """docs without those that have no language (`und`)."""
+    return predict(docs, learn(docs), keep=tuple(docs.columns)).where("lang_pred <> 'und'").select(*docs.columns)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import WORD, table, written
+from docloom.llm.shared import WORD, sent_if_few, table, with_row_ids, written
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -110,7 +110,7 @@ def draw(rows: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken (= copies x size), and h, for every row of docs.
+    """doc_id, size, source_size, target, copies and taken (= copies x size) for every row of docs.
 
     Null and empty texts have size 0 and are taken 0 words; a null source is a source of its own, last in
     order. Repeated rows, with the same id or another, are drawn one by one. Without any word all targets are
@@ -126,18 +126,14 @@ def mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "
     joined = joined.withColumn("whole", F.floor("rate").cast("long")).withColumn("p", F.when(F.col("size") == 0, 0.0).otherwise(F.col("rate") - F.floor("rate")))
     drawn = draw(joined.select("doc_id", "source", "size", "h", "deal", "rid", "source_size", "target", "whole", "p"))
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.round("p").cast("long"))
-    return drawn.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("h"))
+    return drawn.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it (documents without words are left out).
-
-    Rows are matched to their decisions by id and, among rows of one id, by the order of their texts' hashes;
-    rows that tie there are equal in id and text."""
-    rows = docs.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "doc_id"), F.col("source"))))
-    taken = mix(docs).select(F.col("doc_id").alias("__id"), "copies", F.row_number().over(Window.partitionBy("doc_id").orderBy("h", "source")).alias("__m"))
-    # A difference, not an equality, so that the window's partitioning by id serves the join too.
-    joined = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") - F.col("__m") == 0)).where("copies > 0")
+    """The rows of docs, each as often as the mix takes it; documents that it takes no time, or that have no words, are left out."""
+    rows, key = with_row_ids(docs)
+    taken = written(mix(rows, id=key).where("copies > 0").select(F.col("doc_id").alias("__id"), "copies"), "taken")
+    joined = rows.join(sent_if_few(taken), F.col(key) == F.col("__id"))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 

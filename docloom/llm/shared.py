@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of a few numbers that a join may send to every task; more are met by a shuffle join.
+SENT_ROWS = 2_000_000
 #: Words of a text, as the operators count them.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,3 +46,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def residue(col: str, base: int) -> Column:
     """crc32 of an id as text, modulo base: how rows are held out."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(base))
+
+
+def sent_if_few(df: DataFrame) -> DataFrame:
+    """A written table of ids and numbers, marked for broadcast if it has at most SENT_ROWS rows."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
+def with_row_ids(docs: DataFrame, id: str = "doc_id") -> tuple[DataFrame, str]:
+    """docs and the name of a column that tells its rows apart: the id itself, or, where ids are null or repeat, a
+    copy in which every null and every repetition has a number above all ids (the first of equal ids keeps it)."""
+    ids = docs.agg(F.count("*").alias("rows"), F.count_distinct(id).alias("ids"), F.max(id).alias("top")).first()
+    if ids.rows == ids.ids:
+        return docs, id
+    first = F.row_number().over(Window.partitionBy(id).orderBy(F.monotonically_increasing_id()))
+    marked = docs.withColumn("__first", F.when(F.col(id).isNotNull(), first)) if ids.ids else docs.withColumn("__first", F.lit(None))
+    unique = F.when(F.col("__first") == 1, F.col(id)).otherwise((ids.top or 0) + 1 + F.monotonically_increasing_id())
+    return written(marked.withColumn("__row", unique.cast("long")).drop("__first"), "rows"), "__row"

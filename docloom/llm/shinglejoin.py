@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import textkit
 from docloom.llm.graph import components
-from docloom.llm.shared import partitions, table, written
+from docloom.llm.shared import partitions, sent_if_few, table, with_row_ids, written
 
 #: Sets of a family that are compared in one task; larger families are cut into blocks of this size.
 BLOCK = 1500
@@ -394,6 +394,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     return prints.join(known, "node", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "node")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component: the one with the smallest id (rows without an id come after all others)."""
+    rows, key = with_row_ids(docs)
+    gone = written(near_duplicates(rows, id=key).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")), "copies")
+    return rows.join(sent_if_few(gone), F.col(key) == F.col("__id"), "left_anti").select(*docs.columns)
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 

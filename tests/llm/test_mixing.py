@@ -59,16 +59,18 @@ def test_targets_and_totals(spark, monkeypatch):
 
 
 def test_mixed_documents(spark):
-    rows = [(i, "w " * (i % 7 + 1), "ab"[i % 3 == 0], "x", i) for i in range(60)] + [(3, "again here", "a", "x", 1), (None, "q r", "a", "x", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
-    taken = {(r.doc_id, r.size): r.copies for r in M.mix(docs).collect()}
-    got = M.mixed_documents(docs)
+    rows = [(i, "w " * (i % 7 + 1), "ab"[i % 3 == 0], "x", i) for i in range(60)]
+    odd = [(3, "again here", "a", "x", 1), (None, "q r", "a", "x", 1), (70, None, "a", "x", 1)]
+    schema = "doc_id long, text string, source string, lang string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    got, seen = M.mixed_documents(docs), {}
     assert got.columns == docs.columns
-    seen = {}
     for r in got.collect():
-        k = r.doc_id, len(r.text.split())
-        seen[k] = seen.get(k, 0) + 1
-    assert seen == {k: n for k, n in taken.items() if n}
+        seen[r.doc_id] = seen.get(r.doc_id, 0) + 1
+    assert seen == {r.doc_id: r.copies for r in M.mix(docs).collect() if r.copies}
+    more = M.mixed_documents(spark.createDataFrame(rows + odd, schema)).collect()
+    assert {(r.doc_id, r.text) for r in more} <= {(i, t) for i, t, *_ in rows + odd if t}
+    assert abs(sum(len(r.text.split()) for r in more) - sum(len((t or "").split()) for _, t, *_ in rows + odd)) <= 14
 
 
 def test_empty(spark):
