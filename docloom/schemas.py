@@ -1,19 +1,17 @@
-"""Spark schemas of the document-capture tables."""
+"""Spark schemas of the document-capture tables, as DDL."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+BBOX = "struct<left:double,top:double,right:double,bottom:double>"
+POINT = "struct<x:double,y:double>"
+_TEXT = f"text:string,boundingBox:{BBOX},cornerPoints:array<{POINT}>"
+ELEMENT = f"struct<{_TEXT}>"
+LINE = f"struct<{_TEXT},elements:array<{ELEMENT}>>"
+BLOCK = f"struct<{_TEXT},lines:array<{LINE}>>"
+SCAN = f"scan_id bigint, text string, blocks array<{BLOCK}>"
 
-BBOX = T._parse_datatype_string("struct<left:double,top:double,right:double,bottom:double>")
-POINT = T._parse_datatype_string("struct<x:double,y:double>")
-_TEXT = "text:string,boundingBox:struct<left:double,top:double,right:double,bottom:double>,cornerPoints:array<struct<x:double,y:double>>"
-ELEMENT = T._parse_datatype_string(f"struct<{_TEXT}>")
-LINE = T._parse_datatype_string(f"struct<{_TEXT},elements:array<struct<{_TEXT}>>>")
-BLOCK = T._parse_datatype_string(f"struct<{_TEXT},lines:array<struct<{_TEXT},elements:array<struct<{_TEXT}>>>>>")
-SCAN = T.StructType([T.StructField("scan_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("blocks", T.ArrayType(BLOCK))])
-
-_TEMPLATE_BLOCKS = "blocks:array<struct<text:string,blockType:string,boundingBox:struct<left:double,top:double,right:double,bottom:double>>>"
-_RULE = (
+_TEMPLATE_BLOCKS = f"blocks:array<struct<text:string,blockType:string,boundingBox:{BBOX}>>"
+RULE = (
     "struct<patterns:array<string>,"
     "validation:struct<minWords:int,maxWords:int,minLength:int,maxLength:int,length:int,allowedValues:array<string>,mustContain:array<string>>,"
     "postProcess:struct<removeNoiseWords:array<string>,capitalizeEachWord:boolean,format:string,convertEightDigits:boolean,normalize:map<string,string>,standardize:string,"
@@ -22,8 +20,6 @@ _RULE = (
     "formatMatchBonus:double,exactMatchBonus:double,keywordMatchBonus:double,lengthBonus:double,dateFormatBonus:double,allCapsBonus:double,commaBonus:double>,"
     "extractionStrategy:struct<type:string,combineGroups:string,groupSeparator:string,fallbackToFullMatch:boolean,fallbackToDigitsOnly:boolean,formatLength:int,cleanAlphabetic:boolean>>"
 )
-TEMPLATE = T._parse_datatype_string(
-    f"struct<{_TEMPLATE_BLOCKS},format:string,formatId:int,textRecognition:struct<{_TEMPLATE_BLOCKS},format:string,formatId:int>,extractionRules:map<string,{_RULE}>>"
-)
-QUAD = T._parse_datatype_string("array<struct<x:double,y:double>>")
-IMAGE = T._parse_datatype_string("struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+TEMPLATE = f"struct<{_TEMPLATE_BLOCKS},format:string,formatId:int,textRecognition:struct<{_TEMPLATE_BLOCKS},format:string,formatId:int>,extractionRules:map<string,{RULE}>>"
+QUAD = f"array<{POINT}>"
+IMAGE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"

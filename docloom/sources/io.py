@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.schemas import SCAN, TEMPLATE
 
@@ -17,7 +16,7 @@ def read_scans(spark: SparkSession, path: str, multi_line: bool = False) -> Data
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """template_index (place in the array, from 0) and the template's fields, from a file with one JSON array."""
     whole = spark.read.text(path, wholetext=True)
-    each = whole.select(F.posexplode(F.from_json("value", T.ArrayType(TEMPLATE))).alias("template_index", "t"))
+    each = whole.select(F.posexplode(F.from_json("value", f"array<{TEMPLATE}>")).alias("template_index", "t"))
     return each.select("template_index", "t.*")
 
 
