@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import geometry as G
 from docloom.operators import images as I
+from docloom.operators.scans import clamp_box, first_face
 from docloom.plans.derived import FRAMES, LINES, MATCHES, QUADS, spark_table
+from docloom.sources.io import decode_base64, normalize_anchor_configs, results_to_json
 from docloom.streaming import frames as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -334,3 +336,102 @@ def i9_document_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spark_table(spark, sf_dir, MATCHES)
     sizes = found.select("image_id").distinct().select("image_id", F.lit(1000).alias("width"), F.lit(800).alias("height"))
     return I.document_bounds(found, sizes)
+
+
+def digest(df: DataFrame, *columns: str) -> DataFrame:
+    """Images as their size and the hash of their pixels."""
+    return df.select("image_id", *columns, "image.width", "image.height", F.sha2("image.data", 256).alias("pixels"))
+
+
+def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upper left 4 x 4 pixels of three tiles, as anchors."""
+    few = tiles(spark, sf_dir).orderBy("image_id").limit(3)
+    rows = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda r: F.substr(F.hex("image.data"), (r * 16 + 1).cast("int"), F.lit(8))), "")
+    patch = F.struct(F.lit(None).cast("string").alias("origin"), F.lit(4).alias("height"), F.lit(4).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.unhex(rows).alias("data"))
+    pos = (F.row_number().over(Window.orderBy("image_id")) - 1).cast("int")
+    out = few.select(pos.alias("config_pos"), F.concat(F.lit("a"), F.col("image_id")).alias("name"), F.when(pos == 1, "center").otherwise("top-left").alias("position"), patch.alias("image"))
+    return normalize_anchor_configs(out.withColumns({"offset_x": F.lit(None).cast("double"), "offset_y": F.lit(1.0), "doc_width_ratio": F.lit(0.5), "doc_height_ratio": F.lit(0.5)}))
+
+
+@query()
+def i4_edge_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.edge_density(tiles(spark, sf_dir)).select("image_id", r6("density"), "is_good")
+
+
+@query()
+def i6_find_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.find_anchors(tiles(spark, sf_dir), anchors(spark, sf_dir), 0.7).select("image_id", "name", "x", "y", r6("confidence"))
+
+
+@query()
+def i7_match_all_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.match_all_methods(tiles(spark, sf_dir), anchors(spark, sf_dir)).select("image_id", "name", "method", "x", "y", F.round("value", 3).alias("value"))
+
+
+@query()
+def i8_find_multiple_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.find_multiple_matches(tiles(spark, sf_dir), anchors(spark, sf_dir), threshold=0.5).select("image_id", "name", "x", "y", r6("value"))
+
+
+@query()
+def i10_extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(I.extract_documents(tiles(spark, sf_dir), anchors(spark, sf_dir), 0.7), "status", "matches")
+
+
+@query()
+def i11_detect_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = I.detect_quads(tiles(spark, sf_dir))
+    return found.select("image_id", *points(_RING, "corners"))
+
+
+@query()
+def i12_rectify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Pixels and corners in one row: each tile's own inner quadrilateral, to 16 x 12.
+    corners = F.array(*(G.point(F.lit(x), F.lit(y)) for x, y in ((1, 1), (6, 0), (7, 6), (0, 7))))
+    return digest(I.rectify(tiles(spark, sf_dir).withColumn("corners", corners), F.lit(16), F.lit(12)))
+
+
+@query()
+def i13_binarize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(I.binarize(tiles(spark, sf_dir), block=5))
+
+
+@query()
+def i14_orient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = tiles(spark, sf_dir).withColumns({"rotation": (F.col("image_id") % 4 * 90).cast("int"), "mirrored": F.col("image_id") % 5 == 0})
+    return digest(I.orient(turned))
+
+
+@query(
+    """, f AS (SELECT user_id AS image_id, event_id AS face_pos, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id % 101 AS DOUBLE) / 100 END AS s, CAST(event_id % 53 AS DOUBLE) / 53 AS l, CAST(event_id % 31 AS DOUBLE) / 31 AS r FROM events),
+    one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY face_pos) AS k FROM f) WHERE k = 1)
+    SELECT image_id, CAST(floor(coalesce(s, 0) * 100 + 0.5) AS INT) AS smile_percent, CAST(floor(l * 100 + 0.5) AS INT) AS left_eye_percent, CAST(floor(r * 100 + 0.5) AS INT) AS right_eye_percent FROM one"""
+)
+def p5_first_face(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    share = lambda n: (F.col("event_id") % n).cast("double")
+    faces = e.select(F.col("user_id").alias("image_id"), F.col("event_id").alias("face_pos"), F.when(F.col("event_id") % 7 != 0, share(101) / 100).alias("smile_prob"), (share(53) / 53).alias("left_eye_prob"), (share(31) / 31).alias("right_eye_prob"))
+    return first_face(faces)
+
+
+@query(", b AS (SELECT image_id, config_pos, x - 300 AS l, y - 200 AS t, x - 300 + width * 5 AS r, y - 200 + height * 5 AS bt FROM mt) SELECT image_id, config_pos, greatest(0, l) AS x, greatest(0, t) AS y, least(r - l, 640 - greatest(0, l)) AS w, least(bt - t, 480 - greatest(0, t)) AS h FROM b")
+def p6_clamp_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = spark_table(spark, sf_dir, MATCHES)
+    left, top = F.col("x") - 300, F.col("y") - 200
+    boxes = m.select("image_id", "config_pos", left.alias("left"), top.alias("top"), (left + F.col("width") * 5).alias("right"), (top + F.col("height") * 5).alias("bottom"), F.lit(640).alias("width"), F.lit(480).alias("height"))
+    return clamp_box(boxes).select("image_id", "config_pos", "x", "y", "w", "h")
+
+
+@query(" SELECT l_orderkey AS image_id, l_linenumber, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE l_shipdate::DATE::STRING END AS decoded, l_partkey % 4 = 0 AS is_bad FROM lineitem")
+def s4_decode_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    text = F.date_format("l_shipdate", "yyyy-MM-dd")
+    sent = rows.withColumn("payload", F.when(F.col("l_partkey") % 4 == 0, "***").otherwise(F.concat(F.lit("data:image/png;base64,"), F.base64(text.cast("binary")))))
+    return decode_base64(sent, "payload").select(F.col("l_orderkey").alias("image_id"), "l_linenumber", F.col("data").cast("string").alias("decoded"), "is_bad")
+
+
+@query(", j AS (SELECT image_id, name, x, y, confidence FROM mt) SELECT image_id, name, '{\"image_id\":' || image_id || ',\"name\":\"' || name || '\",\"x\":' || x || ',\"y\":' || y || '}' AS json FROM j")
+def s7_results_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = spark_table(spark, sf_dir, MATCHES).select("image_id", "name", "x", "y")
+    found = results_to_json(m)
+    return found.select(F.get_json_object("json", "$.image_id").cast("long").alias("image_id"), F.get_json_object("json", "$.name").alias("name"), "json")

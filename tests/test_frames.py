@@ -50,3 +50,18 @@ def test_stream_equals_batch(spark, tmp_path, of):
         q.awaitTermination(120)
         got = spark.read.parquet(f"{tmp_path}/out")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, of(frames).collect()))
+
+
+def test_stream_documents_equals_batch(spark, tmp_path):
+    from docloom.operators.matching import process_documents
+    from docloom.plans import documents
+
+    scans = documents.nested(spark, "/root/testdata/sf0.001").where("scan_id % 20 = 0")
+    scans.write.parquet(f"{tmp_path}/scans")
+    stored = spark.read.parquet(f"{tmp_path}/scans")
+    stream = T.stream_documents(spark.readStream.schema(stored.schema).parquet(f"{tmp_path}/scans"), documents.TEMPLATES)
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    rows = lambda df: sorted(map(tuple, documents.flat_results(df).collect()))
+    got = rows(spark.read.parquet(f"{tmp_path}/out"))
+    assert got == rows(process_documents(stored, documents.TEMPLATES)) and len(got) > 50
