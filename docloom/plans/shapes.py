@@ -221,11 +221,12 @@ def g16_select_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _LINES + """, x AS (SELECT h.frame_id, h.line_id AS h_line, v.line_id AS v_line, h.rho AS hr, v.rho AS vr, cos(h.theta) AS hc, sin(h.theta) AS hs, cos(v.theta) AS vc, sin(v.theta) AS vs FROM sel h JOIN sel v ON h.frame_id = v.frame_id AND h.hor AND NOT v.hor)
-    SELECT frame_id, h_line, v_line, round((hr * vs - vr * hs) / (hc * vs - vc * hs), 4) AS x, round((vr * hc - hr * vc) / (hc * vs - vc * hs), 4) AS y FROM x WHERE abs(hc * vs - vc * hs) >= 0.001"""
+    SELECT frame_id, h_line, v_line, coalesce(nullif(round((hr * vs - vr * hs) / (hc * vs - vc * hs), 4), 0), 0) AS x, coalesce(nullif(round((vr * hc - hr * vc) / (hc * vs - vc * hs), 4), 0), 0) AS y FROM x WHERE abs(hc * vs - vc * hs) >= 0.001"""
 )
 def g17_line_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = G.line_intersections(G.select_lines(lines(spark, sf_dir)))
-    return found.select("frame_id", "h_line", "v_line", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    # A negative zero counts as zero.
+    return found.select("frame_id", "h_line", "v_line", *(F.coalesce(F.nullif(F.round(c, 4), F.lit(0.0)), F.lit(0.0)).alias(c) for c in "xy"))
 
 
 @query(", sk AS (SELECT frame_id, median(CASE WHEN degrees - 90 > 45 THEN degrees - 180 WHEN degrees - 90 < -45 THEN degrees ELSE degrees - 90 END) AS angle FROM ln GROUP BY frame_id) SELECT frame_id, round(angle, 6) AS angle, abs(angle) > 5 AS is_skewed FROM sk")
