@@ -20,7 +20,9 @@ join families of real copies. The rest form families (components over shared key
 meet in blocks of a bounded size, in which all similarities are computed exactly from the shingle hashes.
 
 Exact copies are one class from the start: a set's fingerprint is the node, and each task sends a class
-once. Index entries travel as packed arrays, one row for each bucket and batch, not as rows of their own.
+once. Index entries travel as packed arrays, one row for each bucket and batch, not as rows of their own; a
+bucket holds keys of one scheme, and of a key the 32 bits that the bucket doesn't tell (keys that agree by
+chance only cost a comparison).
 """
 
 from __future__ import annotations
@@ -41,8 +43,10 @@ from docloom.llm.shared import partitions, sent_if_few, table, with_row_ids, wri
 BLOCK = 1500
 #: What a comparison caused by a weak key costs against an index entry.
 WEAK = 4
+#: Segments over the number that differing elements can reach. More give the counting filter more to count.
+SLACK = 1.35
 #: Entries packed into one row for each bucket.
-PACK = 4_000_000
+PACK = 1_000_000
 _U = np.uint64
 
 
@@ -63,7 +67,7 @@ def plan(k: int) -> tuple[int, int, int]:
     h = 2 * hi // 9
     best = None
     for units in (1, 2):
-        m = max(1, math.ceil(1.2 * (h + 1) / units)) if h else 1
+        m = max(1, math.ceil(SLACK * (h + 1) / units)) if h else 1
         mean = hi / m
         weak = math.exp(-mean) * (1 + mean + mean * mean / 2)
         cost = (m if units == 1 else m + hi) + WEAK * m * weak
@@ -149,10 +153,24 @@ def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Dat
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long")
 
 
-def shared_keys(docs: DataFrame, text: str = "text") -> DataFrame:
-    """gid, scheme, node, need: the index entries whose key two different sets have."""
+def bucket_bases(prints: DataFrame, n: int) -> np.ndarray:
+    """First bucket of each scheme, and the number of all: about n buckets dealt out by the schemes' numbers of entries.
+
+    A bucket has keys of one scheme only, so that a set's name is sent to few buckets, with many keys each."""
+    edges = F.array(*map(F.lit, EDGES.tolist()))
+    sizes = prints.where("n_shingles > 0").groupBy(F.size(F.filter(edges, lambda e: e <= F.col("n_shingles"))).alias("band")).agg(F.sum("n_shingles").alias("n")).collect()  # one row a band
+    weight = np.zeros(len(PLANS) + 1)
+    for band_, size in sizes:
+        weight[band_ - 1] += size
+        weight[band_] += size
+    share = np.maximum(1, np.round(n * weight / max(1.0, weight.sum()))).astype(np.int64)
+    return np.concatenate(([0], np.cumsum(share)))
+
+
+def shared_keys(docs: DataFrame, prints: DataFrame, text: str = "text") -> DataFrame:
+    """gid, scheme, node, need: the index entries whose key two different sets have. `prints` is fingerprints(docs)."""
     n = partitions(docs.sparkSession)
-    buckets = 4 * n
+    bases = bucket_bases(prints, n)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -160,17 +178,16 @@ def shared_keys(docs: DataFrame, text: str = "text") -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             key, entity, kind, scheme, need = (np.concatenate(x) for x in zip(*held, strict=True))
-            node = np.repeat(np.array(names, np.int64), 2)
-            to = (key % _U(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            cut = np.searchsorted(to[order], np.arange(buckets + 1))
+            node, own = np.repeat(np.array(names, np.int64), 2), np.tile((True, False), len(names))
+            of = scheme[entity]
+            to = bases[of] + (key % (bases[of + 1] - bases[of]).astype(_U)).astype(np.int64)
+            order = np.lexsort((entity, to))
+            cut = np.searchsorted(to[order], np.arange(bases[-1] + 1))
             for b in np.flatnonzero(np.diff(cut)).tolist():
                 i = order[cut[b] : cut[b + 1]]
-                own, at = np.unique(entity[i], return_inverse=True)
-                keys = (key[i] >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                bits = np.packbits((kind[i, None] & np.array([1, 2], np.uint8)) > 0)
-                row = b, keys.tobytes(), at.astype("<u2" if len(own) < 65536 else "<u4").tobytes(), bits.tobytes(), np.stack((node[own], scheme[own], need[own])).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], ["bucket", "keys", "at", "kinds", "nodes"])
+                who, times = np.unique(entity[i], return_counts=True)
+                row = (key[i] >> _U(32)).astype("<u4"), np.packbits(kind[i] & 1), node[who].astype("<i8"), times.astype("<u4"), need[who].astype("<u4"), np.packbits(own[who])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([scheme[who[0]]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in row)], ["bucket", "scheme", "keys", "whole", "nodes", "times", "needs", "own"])
 
         for batch in batches:
             for _, sets in text_sets(batch, 0):
@@ -191,32 +208,34 @@ def shared_keys(docs: DataFrame, text: str = "text") -> DataFrame:
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list] = {}
+        got: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for b, keys, at, kinds, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got.setdefault(b, []).append((keys, at, kinds, nodes))
-        for b, rows in got.items():
-            key, who, kind = [], [], []
-            for keys, at, kinds, nodes in rows:
-                k = np.zeros((len(keys) // 5, 8), np.uint8)
-                k[:, :5] = np.frombuffer(keys, np.uint8).reshape(-1, 5)
-                key.append(k.view("<u8")[:, 0])
-                who.append(np.frombuffer(nodes, np.int64).reshape(3, -1)[:, np.frombuffer(at, "<u2" if len(at) == 2 * len(k) else "<u4")])
-                kind.append(np.unpackbits(np.frombuffer(kinds, np.uint8), count=2 * len(k)).reshape(-1, 2))
-            key, who, kind = np.concatenate(key), np.concatenate(who, 1), np.concatenate(kind)
-            order = np.lexsort((who[0], key))
-            key, (node, scheme, need), kind = key[order], who[:, order], kind[order]
+            for b, scheme, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got.setdefault((b, scheme), []).append(row)
+        while got:
+            (b, scheme), rows = got.popitem()
+            key, whole, node, need, own = [], [], [], [], []
+            for keys, bits, nodes, times, needs, owns in rows:
+                times, k = np.frombuffer(times, "<u4"), np.frombuffer(keys, "<u4")
+                key.append(k)
+                whole.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(k)))
+                own.append(np.repeat(np.unpackbits(np.frombuffer(owns, np.uint8), count=len(times)), times))
+                node.append(np.repeat(np.frombuffer(nodes, "<i8"), times))
+                need.append(np.repeat(np.frombuffer(needs, "<u4"), times))
+            key, whole, node, need, own = map(np.concatenate, (key, whole, node, need, own))
+            order = np.lexsort((node, key))
+            key, whole, node, need, own = (x[order] for x in (key, whole, node, need, own))
             same = np.concatenate(([True], key[1:] != key[:-1]))
             group = np.cumsum(same) - 1
             other = same | np.concatenate(([True], node[1:] != node[:-1]))
             # A key serves if two sets have it, one as a whole subset, and one of the two is in the scheme's own band.
-            good = (np.bincount(group, other) >= 2) & (np.bincount(group, kind[:, 0]) > 0) & (np.bincount(group, kind[:, 1]) > 0)
+            good = (np.bincount(group, other) >= 2) & (np.bincount(group, whole) > 0) & (np.bincount(group, own) > 0)
             keep = good[group] & other
             if keep.any():
-                gid = textkit.mix(key[keep] * _U(1 << 20) + _U(b)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep] if len(x) == len(keep) else x) for x in (gid, scheme, node, need)], ["gid", "scheme", "node", "need"])
+                gid = textkit.mix(key[keep].astype(_U) + (_U(b) << _U(32))).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(gid), pa.array(np.full(len(gid), scheme)), pa.array(node[keep].astype(np.int64)), pa.array(need[keep].astype(np.int64))], ["gid", "scheme", "node", "need"])
 
-    packed = docs.select(F.col(text).alias("text")).mapInArrow(pack, "bucket long, keys binary, at binary, kinds binary, nodes binary")
+    packed = docs.select(F.col(text).alias("text")).mapInArrow(pack, "bucket long, scheme long, keys binary, whole binary, nodes binary, times binary, needs binary, own binary")
     return packed.repartition(n, "bucket").mapInArrow(meet, "gid long, scheme long, node long, need long")
 
 
@@ -384,7 +403,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     minimum. Ties can't arise: ids are compared as numbers. Columns other than id and text are not looked at.
     """
     prints = written(fingerprints(docs, text, id), "fingerprints")
-    roots = written(families(written(shared_keys(docs, text), "keys")), "families")
+    roots = written(families(written(shared_keys(docs, prints, text), "keys")), "families")
     joined = components(links(family_sets(docs, roots, text)))
     classes = prints.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     in_component = joined.join(classes, "node").select("node", "root", "first")
