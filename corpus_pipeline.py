@@ -11,31 +11,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import decontaminate, language, mixing, records, shinglejoin
-from docloom.llm.shared import table, written
+from docloom.llm.shared import bounded_batches, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null, or no letter) go."""
+    bounded_batches(spark)
     return language.in_a_language(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near-copies link, one stays."""
+    bounded_batches(spark)
     return shinglejoin.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a passage with the benchmark go."""
+    bounded_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
+    bounded_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-id records of all that is left, read back from their files."""
+    bounded_batches(spark)
     return records.token_records(docs)
 
 

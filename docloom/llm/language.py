@@ -31,8 +31,10 @@ SAMPLE_DOCS = 24
 SAMPLE_LENGTH = 4000
 SAMPLE_CHARS = 16_000
 STRETCH = 1024
+#: Stretches in one pass over the table.
+LANES = 1024
 #: Characters parsed side by side; memory of a task follows it.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 
 def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
@@ -131,8 +133,8 @@ class Model:
         n = np.minimum(STRETCH, off[text + 1] - first)
         order = np.argsort(-n, kind="stable")
         total = np.zeros((len(t), len(self.languages)))
-        for a in range(0, len(order), 4096):
-            some = order[a : a + 4096]
+        for a in range(0, len(order), LANES):
+            some = order[a : a + LANES]
             steps = int(n[some].max())
             grid = first[some][None, :] + np.arange(steps)[:, None]
             padded = np.where(np.arange(steps)[:, None] < n[some][None, :], symbols[np.minimum(grid, len(symbols) - 1)], self.width - 1)

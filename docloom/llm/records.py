@@ -41,7 +41,7 @@ _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 #: Byte-level BPE writes a byte that has no printed Latin-1 sign as the next free one above 255.
 BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 #: Words kept with their ids in each Python worker.
-CACHE = 600_000
+CACHE = 500_000
 
 
 def mask(crc: int) -> int:

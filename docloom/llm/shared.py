@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a few numbers that a join may send to every task; more are met by a shuffle join.
 SENT_ROWS = 2_000_000
+#: Rows of texts that go to a Python worker at once.
+ARROW_ROWS = 1500
 #: Words of a text, as the operators count them.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,7 +41,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ARROW_ROWS rows, where the session has more: a batch of long texts is held several times, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
