@@ -3,7 +3,9 @@
 A pass hashes each vector to 63 sign bits of random projections, most significant first, and orders the
 vectors by that number, so that vectors at a small angle stand close together. Each is compared with the
 next `WINDOW` in the order; pairs whose cosine is at least the threshold are linked. Passes with other
-projections find what one pass parts, and a union over all passes joins the pairs into clusters.
+projections find what one pass parts, and a union over all passes joins the pairs into clusters. The number of
+passes follows from the counted distinct vectors, so that a pair at the threshold is found as often in a large
+table as in a small one (`passes_for`).
 
 Only hashes are sorted (a range sort by pass, hash and id, so ties spread too); the sort gives each row its
 place in the order, places are cut into chunks of one size, and a chunk's last rows are also sent to the
@@ -30,7 +32,10 @@ from docloom.llm.graph import components
 from docloom.llm.shared import partitions, table, written
 
 COSINE = 0.95
+#: Least passes; more are taken as the table grows.
 PASSES = 8
+#: Share of pairs exactly at the threshold that the passes find where vectors spread evenly.
+RECALL = 0.995
 BITS = 63
 WINDOW = 32
 #: Places in a chunk of the order.
@@ -65,6 +70,23 @@ def unit(raw: list[bytes], dim: int) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def passes_for(n: int, threshold: float, window: int) -> int:
+    """Passes that find RECALL of the pairs at the threshold among n distinct vectors.
+
+    A bit parts two vectors with the probability angle / pi. Evenly spread, n vectors stand within a window once
+    log2(n / window) leading bits agree, so a pass finds a pair with at least (1 - angle / pi) to that power.
+    """
+    bits = math.log2(max(n / window, 1))
+    found = (1 - math.acos(threshold) / math.pi) ** bits
+    return max(PASSES, math.ceil(math.log(1 - RECALL) / math.log1p(-found))) if found < 1 else PASSES
+
+
+def sign_bits(v: np.ndarray, p: int) -> np.ndarray:
+    """Pass p's hash of each row of v."""
+    planes = np.random.default_rng((v.shape[1], p)).standard_normal((v.shape[1], BITS))
+    return (v @ planes > 0).astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+
+
 def hashes(nodes: DataFrame, passes: int) -> DataFrame:
     """lane (pass and dimension), hash, node: every vector once for each pass."""
 
@@ -75,8 +97,7 @@ def hashes(nodes: DataFrame, passes: int) -> DataFrame:
                 rows = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 v = unit(rows.column(2).to_pylist(), dim)
                 for p in range(passes):
-                    planes = np.random.default_rng((dim, p)).standard_normal((dim, BITS))
-                    h = (v @ planes > 0).astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                    h = sign_bits(v, p)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), dim * 1000 + p)), pa.array(h), rows.column(0)], ["lane", "hash", "node"])
 
     return nodes.select("node", "dim", "raw").mapInArrow(run, "lane long, hash long, node long")
@@ -188,9 +209,11 @@ def cluster_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataF
     return core.unionByName(compared).groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def near_vectors(df: DataFrame, id: str = "vec_id", embedding: str = "embedding", threshold: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_vectors(df: DataFrame, id: str = "vec_id", embedding: str = "embedding", threshold: float = COSINE, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of df.
 
+    Without `passes`, their number follows from the number of distinct vectors.
+
     Vectors that are null, empty or zero, or hold a null or non-finite component, and rows without an id,
     link with nothing; each is its own component and kept (a null id gives nulls). Vectors of different
     lengths don't link. Repeated vectors link with each other. Ties have no effect: the order of a pass ends
@@ -199,6 +222,7 @@ def near_vectors(df: DataFrame, id: str = "vec_id", embedding: str = "embedding"
     rows = raw_vectors(df, id, embedding).withColumn("k", F.xxhash64("raw")).withColumn("k2", F.xxhash64(F.lit(7), "raw"))
     prints = written(rows.select("vec_id", "k", "k2", F.expr("raw IS NOT NULL AND vec_id IS NOT NULL").alias("links_at_all")), "vector-prints")
     nodes = written(rows.where("raw IS NOT NULL AND vec_id IS NOT NULL").groupBy("k", "k2").agg(F.min("vec_id").alias("node"), F.first("raw").alias("raw"), F.first("dim").alias("dim"), F.count("*").alias("copies")), "vectors")
+    passes = passes or passes_for(nodes.count(), threshold, window)
     roots = written(components(window_pairs(nodes, threshold, passes, window)), "clusters-of")
     links = cluster_links(nodes, roots, threshold)
     known = nodes.select("k", "k2", "node", "copies").join(roots, "node", "left").join(links, "node", "left")

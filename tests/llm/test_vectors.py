@@ -65,3 +65,18 @@ def test_null_id_and_empty(spark):
     df = spark.createDataFrame([(None, [1.0, 2.0]), (3, [1.0, 2.0])], "vec_id long, embedding array<double>")
     assert result(V.near_vectors(df)) == {None: (0, None, None), 3: (0, 3, True)}
     assert result(V.near_vectors(df.limit(0))) == {}
+
+
+def test_recall_at_the_threshold_as_rows_outgrow_the_window(spark):
+    """Isolated planted pairs just above the threshold; a window of 2 in 6,000 rows is as 32 in 96,000."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((3000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((3000, 64))
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    near = 0.951 * base + np.sqrt(1 - 0.951**2) * side
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate((base, near)))]
+    got = result(V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), window=2))
+    found = sum(got[i + 3000] == (1, i, False) for i in range(3000))
+    assert found >= 0.99 * 3000
