@@ -1,12 +1,17 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Words are runs of letters, digits and non-ASCII bytes, A-Z folded, so punctuation and white space don't
-count. A seed is a mask over 12 consecutive words that looks at some positions and ignores the others; its
+count. A seed is a mask over a few consecutive words that looks at some positions and ignores the others; its
 hash is equal for two windows that differ only at ignored positions. Windows of test items and of documents
 are hashed under each of a few fixed masks and meet by hash. A hit fixes a diagonal (document position minus
-item position), and along it the words are compared: a passage is a stretch with no more than one word in
-five substituted that holds at least `least` words of the item, or the whole item where that is shorter.
-A substitution inside a window breaks the masks that look at its position, and leaves the others.
+item position), and along it the words are compared: a passage is a stretch that begins and ends with words that
+agree, with no more than one word in five substituted, and holds at least `least` words of the item, or the
+whole item where that is shorter.
+
+The masks lose no passage. Of n words at most k = n // 5 are substituted, so n - k words agree in at most k + 1
+runs; beyond 15 words n - k > 3 (k + 1), and some run has four words. From 5 to 15 words every placing of the
+substitutions has been tried (in the tests): where no run has four, one of the masks with a gap fits. Items of
+fewer than 5 words may have no substitution at all by that share, and have one hash, of all their words.
 
 Test hashes are sent to every task while they are fewer than `SENT` (their size is counted first, 16 bytes
 each); beyond it, a filter of fixed size lets few document windows through, which meet test hashes in a shuffle
@@ -26,9 +31,10 @@ from docloom.llm import textkit
 from docloom.llm.shared import sent_if_few, table, with_row_ids, written
 from docloom.llm.shinglejoin import bloom, in_bloom
 
-#: Seeds over 12 words; 1 is looked at. Weight 7 each; any one substitution leaves a seed whole.
-MASKS = ("111100001110", "110011001101", "001111110010", "101010110101")
-SPAN = 12
+#: The seeds; 1 is looked at.
+MASKS = ("1111", "11101", "11011", "10111")
+#: Items of fewer words have one hash.
+SPAN = 5
 #: Fewest words of an overlap, and the share of its words that must agree.
 LEAST = 13
 AGREE = 0.8
@@ -53,8 +59,8 @@ def item_words(bench: DataFrame, text: str = "text", id: str = "item_id") -> Dat
 
 def seed_hashes(h: np.ndarray) -> Iterator[np.ndarray]:
     """For each mask the hashes of all windows of h."""
-    n = len(h) - SPAN + 1
     for k, m in enumerate(MASKS):
+        n = len(h) - len(m) + 1
         out = np.full(max(n, 0), _U(k * 2654435761 + 17), _U)
         if n > 0:
             for j, c in enumerate(m):
@@ -64,11 +70,11 @@ def seed_hashes(h: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def test_seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of an item; one shorter than a window has one hash, of all its words."""
+    """(hashes, positions) of an item; one shorter than SPAN has one hash, of all its words."""
     if len(words) < SPAN:
         return textkit.combine(words, len(words)), np.zeros(1, np.int64)
     found = list(seed_hashes(words))
-    return np.concatenate(found), np.tile(np.arange(len(words) - SPAN + 1), len(MASKS))
+    return np.concatenate(found), np.concatenate([np.arange(len(x)) for x in found])
 
 
 def passage(doc: np.ndarray, at: int, item: np.ndarray, j: int) -> tuple[int, int, int] | None:
@@ -216,8 +222,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", id: str
     """doc_id, item_id, first_word, n_words, n_agree: the longest passage that each document shares with each test item.
 
     Null and empty texts share nothing, on either side; items without an id are left out, documents without
-    one are reported with a null id. Rows that repeat are each reported. An item of fewer words than a window
-    must occur whole. Other columns are not looked at.
+    one are reported with a null id. Rows that repeat are each reported. An item of fewer than 5 words
+    must occur whole and unchanged. Other columns are not looked at.
     """
     items = item_words(bench, item_text, item_id)
     size = items.agg(F.sum(F.length("words") / 8 * len(MASKS))).first()[0] or 0

@@ -1,5 +1,6 @@
 """Spaced-seed decontamination against brute force over all windows of all documents and items."""
 
+import itertools
 import random
 import re
 
@@ -75,3 +76,30 @@ def test_empty(spark):
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert D.contaminated(none, items).collect() == []
     assert D.contaminated(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), items.limit(0)).collect() == []
+
+
+def passages(n):
+    """Every placing of as many substitutions as a passage of n words may have, its ends agreeing."""
+    for gone in itertools.combinations(range(1, n - 1), n // 5):
+        yield [k not in gone for k in range(n)]
+
+
+def test_masks_lose_no_passage():
+    for n in range(D.SPAN, 22):
+        for same in passages(n):
+            assert any(all(same[x + j] for j, c in enumerate(m) if c == "1") for m in D.MASKS for x in range(n - len(m) + 1)), same
+    assert D.SPAN // 5 <= 1 and (D.SPAN - 1) // 5 == 0
+
+
+def test_every_placing_of_allowed_substitutions_is_found(spark):
+    docs, items, want = [], [], set()
+    for n in (5, 8, 12, 13, 15, 16):
+        item = [f"t{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for same in passages(n):
+            docs.append((len(docs), " ".join(["x", *(w if s else "other" for w, s in zip(item, same, strict=True)), "y"])))
+            want.add((len(docs) - 1, n, 1, n, n - n // 5))
+    left = spark.createDataFrame(docs, "doc_id long, text string")
+    right = spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in D.contaminated(left, right).collect()} == want
+    assert {tuple(r) for r in D._joined(left, D.item_words(right)).collect()} == want
