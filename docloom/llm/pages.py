@@ -12,8 +12,11 @@ m / (m + `PRIOR`). Branches below `LEAST` are removed from each page of the host
 needs no statistics: navigation, headers, footers, sidebars, forms, scripts and the like are no article,
 whatever they hold, and what stands in <article> or <main> is kept even where many pages copy it.
 
-The tree is built from rows (host, path, kind, hash), deduplicated in each page and summed before any
-shuffle, with the hash in the key, so that a host with a third of all pages is no hot key. What comes back
+Pages of a host whose texts (those that are no open noise) are all equal count once, so that a copied article
+doesn't look like boilerplate; in the tree of all hosts they count once over all hosts. Each page has one row,
+its print and its evidence (path, kind, hash), and copies are merged before any shuffle. The evidence of distinct
+pages is then summed before its shuffle, with the hash in the key, so that a host with a third of all pages is
+no hot key. What comes back
 to the pages is each host's list of branches to remove: sent to all tasks while it has at most `SENT` rows
 (counted first), else joined by host, salted.
 """
@@ -155,29 +158,36 @@ def blocks(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
     return out, elements
 
 
-def evidence(pages: DataFrame) -> DataFrame:
-    """host, path, kind (0 a page has the path, 1 a child sequence, 2 a text), hash, n (pages); markup that is openly noise is left out."""
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """host, print (hash of all texts), found: one row for pages of a host with equal texts. found has (path, kind: 0 the page has the path, 1 a child sequence, 2 a text, hash); markup that is openly noise is left out."""
+    found_type = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32()), ("hash", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hash_of = lambda s: xxhash.xxh3_64_intdigest(s) - (1 << 63)
         for batch in batches:
-            rows = []
-            for host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            prints, rows = [], []
+            for page in batch.column(1).to_pylist():
                 texts, elements = blocks(page or "")
                 found = set()
                 for e in elements:
                     if not e.noise:
                         found.add((e.path, 0, 0))
                         found.add((e.path, 1, hash_of(" ".join(e.children))))
-                found.update((e.path, 2, hash_of(t)) for e, t in texts if not e.noise)
-                rows += [(host, *f) for f in found]
-            if rows:
-                host, path, kind, h = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(kind, pa.int32()), pa.array(h, pa.int64())], ["host", "path", "kind", "hash"])
+                own = [(e.path, 2, hash_of(t)) for e, t in texts if not e.noise]
+                found.update(own)
+                prints.append(hash_of(" ".join(str(h) for _, _, h in own)))
+                rows.append([{"path": p, "kind": k, "hash": h} for p, k, h in sorted(found)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(rows, found_type)], ["host", "print", "found"])
 
-    return pages.mapInArrow(run, "host string, path string, kind int, hash long").groupBy("host", "path", "kind", "hash").agg(F.count("*").alias("n"))
+    found = pages.mapInArrow(run, "host string, print long, found array<struct<path: string, kind: int, hash: long>>")
+    return found.groupBy("host", "print").agg(F.min("found").alias("found"))
+
+
+def evidence(distinct: DataFrame, key: list[str]) -> DataFrame:
+    """key, path, kind, hash, n (distinct pages)."""
+    return distinct.select(*key, F.explode("found").alias("f")).groupBy(*key, "f.path", "f.kind", "f.hash").agg(F.count("*").alias("n"))
 
 
 def importance(counts: DataFrame, key: list[str]) -> DataFrame:
@@ -199,9 +209,10 @@ def importance(counts: DataFrame, key: list[str]) -> DataFrame:
 
 def removals(pages: DataFrame) -> DataFrame:
     """host, path: branches of small importance. The root, html and body are no branches."""
-    counts = written(evidence(pages), "style-tree")
-    host = importance(counts, ["host"])
-    every = importance(counts, []).select("path", F.col("importance").alias("overall"))
+    distinct = written(distinct_pages(pages), "distinct-pages")
+    host = importance(written(evidence(distinct, ["host"]), "style-tree"), ["host"])
+    once = distinct.groupBy("print").agg(F.min("found").alias("found"))
+    every = importance(written(evidence(once, []), "style-tree"), []).select("path", F.col("importance").alias("overall"))
     weight = F.col("m") / (F.col("m") + PRIOR)
     mixed = host.join(every, "path").withColumn("importance", weight * F.col("importance") + (1 - weight) * F.col("overall"))
     main = F.exists(F.split("path", "/"), lambda t: F.split(t, r"\.")[0].isin(*MAIN))

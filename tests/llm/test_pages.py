@@ -54,3 +54,15 @@ def test_removal_by_entropy(spark, monkeypatch):
 
 def test_empty(spark):
     assert P.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_copies_of_an_article_count_once(spark):
+    """A third of a host's pages copy one article; no <article>, and the boilerplate still goes."""
+    page = lambda i, text: (i, "http://h.com/%d" % i, f"<body><div class='q'><p>common {i % 3}</p></div><div class='content'><p>{text}</p><p>more {text}</p></div>")
+    rows = [page(3 * i, "copied") for i in range(200)] + [page(1000 + i, f"own {i}") for i in range(400)]
+    # Over all hosts too: many hosts of one page each, all with that article.
+    rows += [(2000 + i, f"http://h{i}.com/", page(0, "copied")[2]) for i in range(600)] + [(3000, "http://last.com/", page(0, "own last")[2])]
+    got = {r.page_id: r.text for r in P.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[3 * i] == "copied\nmore copied" for i in range(200))
+    assert all(got[1000 + i] == f"own {i}\nmore own {i}" for i in range(400))
+    assert "own last\nmore own last" in got[3000] and all("copied\nmore copied" in got[2000 + i] for i in range(600))
