@@ -10,7 +10,8 @@ A branch's importance is a mix of both, content taken over all texts in the bran
 says little, so its importance is shrunk towards that of the same path in the tree of all hosts, by
 m / (m + `PRIOR`). Branches below `LEAST` are removed from each page of the host. What markup states openly
 needs no statistics: navigation, headers, footers, sidebars, forms, scripts and the like are no article,
-whatever they hold, and what stands in <article> or <main> is kept even where many pages copy it.
+whatever they hold. <article> and <main> are a prior: `MARKED` is added to the importance of branches in them, so
+that near copies of an article don't remove it, and what nearly all pages repeat goes there too.
 
 Pages of a host whose texts (those that are no open noise) are all equal count once, so that a copied article
 doesn't look like boilerplate; in the tree of all hosts they count once over all hosts. Each page has one row,
@@ -36,6 +37,8 @@ from docloom.llm.urls import host_and_path
 
 LEAST = 0.7
 PRIOR = 100
+#: Added to the importance of what stands in <article> or <main>.
+MARKED = 0.35
 GAMMA = 0.9
 SENT = 100_000
 SALT = 32
@@ -216,14 +219,14 @@ def removals(pages: DataFrame) -> DataFrame:
     weight = F.col("m") / (F.col("m") + PRIOR)
     mixed = host.join(every, "path").withColumn("importance", weight * F.col("importance") + (1 - weight) * F.col("overall"))
     main = F.exists(F.split("path", "/"), lambda t: F.split(t, r"\.")[0].isin(*MAIN))
-    return mixed.where((F.col("importance") < LEAST) & ~main & ~F.col("path").rlike("^#(/html)?(/body)?$")).select("host", "path")
+    return mixed.where((F.col("importance") + F.when(main, MARKED).otherwise(0.0) < LEAST) & ~F.col("path").rlike("^#(/html)?(/body)?$")).select("host", "path")
 
 
 def article(page: str, removed: set[str]) -> str:
     """The texts of blocks that are no noise and in no removed branch, joined by line breaks."""
     out = []
     for e, text in blocks(page)[0]:
-        if not e.noise and (e.main or not removed or not any(e.path == r or e.path.startswith(r + "/") for r in removed)):
+        if not e.noise and not any(e.path == r or e.path.startswith(r + "/") for r in removed):
             out.append(text)
     return "\n".join(out)
 

@@ -66,3 +66,13 @@ def test_copies_of_an_article_count_once(spark):
     assert all(got[3 * i] == "copied\nmore copied" for i in range(200))
     assert all(got[1000 + i] == f"own {i}\nmore own {i}" for i in range(400))
     assert "own last\nmore own last" in got[3000] and all("copied\nmore copied" in got[2000 + i] for i in range(600))
+
+
+def test_importance_decides_inside_article(spark):
+    """What all pages repeat inside <article> goes; an article that a third copies, and one that a third nearly copies, stay."""
+    page = lambda i, text: (i, "http://h.com/%d" % i, f"<body><article><div class='q'><p>common</p></div><div class='r'><p>{text}</p><p>more {text}</p></div></article>")
+    texts_of = {i: "copied" if i < 100 else f"own {i}" for i in range(300)}
+    near = [(1000 + i, "http://n.com/%d" % i, f"<body><article><p>near</p><p>one {i}</p><p>near too</p></article>" if i < 100 else f"<body><article><p>a {i}</p><p>b {i}</p><p>c {i}</p></article>") for i in range(300)]
+    got = {r.page_id: r.text for r in P.extract(spark.createDataFrame([*(page(i, t) for i, t in texts_of.items()), *near], "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{t}\nmore {t}" for i, t in texts_of.items())
+    assert all(got[1000 + i] == (f"near\none {i}\nnear too" if i < 100 else f"a {i}\nb {i}\nc {i}") for i in range(300))
