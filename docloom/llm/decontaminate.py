@@ -13,9 +13,11 @@ runs; beyond 15 words n - k > 3 (k + 1), and some run has four words. From 5 to
 substitutions has been tried (in the tests): where no run has four, one of the masks with a gap fits. Items of
 fewer than 5 words may have no substitution at all by that share, and have one hash, of all their words.
 
-Test hashes are sent to every task while they are fewer than `SENT` (their size is counted first, 16 bytes
-each); beyond it, a filter of fixed size lets few document windows through, which meet test hashes in a shuffle
-join, and only documents that met are verified (there, one row for each document id and item).
+Items with the same words are one test, with a number of its own; item ids come back by that number at the end,
+so that repeated and missing ids lose nothing. Tests are sent to every task while their hashes are fewer than
+`SENT` (counted first, 16 bytes each). Beyond it, a filter of fixed size lets few document windows through,
+which meet test hashes in a shuffle join; texts are told apart by two hashes, so that of many copies one is
+verified, and every row of such a text gets what it found. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -43,8 +45,8 @@ SENT = 4_000_000
 _U = np.uint64
 
 
-def item_words(bench: DataFrame, text: str = "text", id: str = "item_id") -> DataFrame:
-    """item, words (binary of uint64 word hashes)."""
+def item_words(bench: DataFrame, text: str = "text", id: str = "item_id") -> tuple[DataFrame, DataFrame]:
+    """(test, words: binary of uint64 word hashes) of different items with words, and (test, item_id) of every row that has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,9 +54,12 @@ def item_words(bench: DataFrame, text: str = "text", id: str = "item_id") -> Dat
             for _, _, buf, off in textkit.pieces(batch.column(1)):
                 h, woff, _, _ = textkit.word_hashes(buf, off, textkit.MARKS)
                 out += [h[a:b].tobytes() for a, b in zip(woff[:-1], woff[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["item", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["item_id", "words"])
 
-    return bench.select(F.col(id).cast("long").alias("item"), F.col(text).alias("text")).mapInArrow(run, "item long, words binary").where("item IS NOT NULL AND length(words) > 0")
+    rows = bench.select(F.col(id).cast("long").alias("item_id"), F.col(text).alias("text")).mapInArrow(run, "item_id long, words binary").where("length(words) > 0")
+    rows = written(rows, "items")
+    tests = written(rows.select("words").distinct().select(F.monotonically_increasing_id().alias("test"), "words"), "tests")
+    return tests, written(rows.join(tests, "words").select("test", "item_id"), "test-ids")
 
 
 def seed_hashes(h: np.ndarray) -> Iterator[np.ndarray]:
@@ -112,7 +117,7 @@ class Tests:
         parts = [(h, np.full(len(h), i, np.int64), p) for i, w in items.items() for h, p in (test_seeds(w),)]
         self.items = items
         self.hash, self.item, self.at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        order = np.argsort(self.hash, kind="stable")
+        order = np.argsort(self.hash)
         self.hash, self.item, self.at = self.hash[order], self.item[order], self.at[order]
         self.table = np.zeros(1 << self.BITS, bool)
         self.table[self.hash >> _U(64 - self.BITS)] = True
@@ -144,91 +149,132 @@ class Tests:
             if at + j >= len(words) or j >= len(item):
                 continue
             got = passage(words, at + j, item, j)
-            if got and ((d, i) not in best or got[1:] > best[d, i][1:]):
+            if got and ((d, i) not in best or (*got[1:], -got[0]) > (*best[d, i][1:], -best[d, i][0])):
                 best[d, i] = got
         for (d, i), (first, n, agree) in best.items():
             yield d, i, first, n, agree
 
 
-_HITS = "doc_id long, item_id long, first_word long, n_words long, n_agree long"
+class Sent:
+    """Tests on their way to the tasks: their words; each Python worker, which serves many tasks, builds the hashes once."""
 
+    def __init__(self, words: tuple[tuple[int, bytes], ...]):
+        self.words, self.built = words, None
 
-def _out(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], [c.split()[0] for c in _HITS.split(", ")])
+    def __getstate__(self) -> tuple:
+        return self.words
 
+    def __setstate__(self, words: tuple) -> None:
+        self.words, self.built = words, None
 
-def _sent(docs: DataFrame, items: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast({r.item: bytes(r.words) for r in items.collect()})
+    def tests(self) -> Tests:
+        if self.built is None:
+            self.built = Tests({i: np.frombuffer(w, _U) for i, w in self.words})
+        return self.built
+
+
+_FOUND = "test long, first_word long, n_words long, n_agree long"
+
+
+def _out(rows: list[tuple], key: str, kinds: tuple[pa.DataType, ...]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in f"{key}, {_FOUND}".split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [*kinds, *[pa.int64()] * 4], strict=True)], names)
+
+
+def _sent(docs: DataFrame, tests: DataFrame) -> DataFrame:
+    """doc_id, test, first_word, n_words, n_agree; tests are sent to every task."""
+    sent = docs.sparkSession.sparkContext.broadcast(Sent(tuple(sorted((r.test, bytes(r.words)) for r in tests.collect()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = Tests({i: np.frombuffer(w, _U) for i, w in sent.value.items()})
+        tests = sent.value.tests()
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for a, _, buf, off in textkit.pieces(batch.column(1)):
                 h, woff, _, _ = textkit.word_hashes(buf, off, textkit.MARKS)
                 rows += [(ids[a + d], *r) for d, *r in tests.hits(h, woff)]
             if rows:
-                yield _out(rows)
+                yield _out(rows, "doc_id long", (pa.int64(),))
 
-    return docs.mapInArrow(run, _HITS)
+    return docs.mapInArrow(run, f"doc_id long, {_FOUND}")
 
 
-def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same passages when test hashes are too many to send: a filter of fixed size lets few windows
-    through, these meet test hashes in a join, and documents that met are verified on the diagonals found."""
-    spark = docs.sparkSession
+def _joined(docs: DataFrame, tests: DataFrame) -> DataFrame:
+    """The same rows when test hashes are too many to send."""
+    spark, two = docs.sparkSession, ["h1", "h2"]
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(5), "text").alias("h2"))
 
-    def tests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h, at = test_seeds(np.frombuffer(w, _U))
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.full(len(h), i)), pa.array(at)], ["hash", "item", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.full(len(h), i)), pa.array(at)], ["hash", "test", "at"])
 
-    right = items.mapInArrow(tests, "hash long, item long, at long")
+    right = tests.mapInArrow(hashed, "hash long, test long, at long")
     sent = spark.sparkContext.broadcast(bloom(right, "hash"))
-    lengths = [r.n for r in items.select((F.length("words") / 8).cast("int").alias("n")).where(f"n < {SPAN}").distinct().collect()]  # below SPAN different values
+    lengths = [r.n for r in tests.select((F.length("words") / 8).cast("int").alias("n")).where(f"n < {SPAN}").distinct().collect()]  # below SPAN different values
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.frombuffer(sent.value, np.uint8)
+        wanted, seen = np.frombuffer(sent.value, np.uint8), set()
         for batch in batches:
-            for a, _, buf, off in textkit.pieces(batch.column(1)):
+            names = [*zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True)]
+            fresh = [i for i, x in enumerate(names) if not (x in seen or seen.add(x))]
+            batch = batch.take(pa.array(fresh, pa.int64()))
+            for a, _, buf, off in textkit.pieces(batch.column(2)):
                 h, woff, _, _ = textkit.word_hashes(buf, off, textkit.MARKS)
                 for s in [*seed_hashes(h), *(textkit.combine(h, n) for n in lengths if n <= len(h))]:
                     p = np.flatnonzero(in_bloom(wanted, s.astype(np.int64)))
                     d = np.searchsorted(woff, p, "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(s[p].astype(np.int64)), batch.column(0).take(pa.array(a + d)), pa.array(p - woff[d])], ["hash", "doc_id", "pos"])
+                    at = pa.array(a + d)
+                    yield pa.RecordBatch.from_arrays([pa.array(s[p].astype(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(p - woff[d])], ["hash", *two, "pos"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, (docs, items, shifts, words) = [], (batch.column(k).to_pylist() for k in range(4))
-            for a, _, buf, off in textkit.pieces(batch.column(4)):
+            rows, (h1, h2, test, shifts, words) = [], (batch.column(k).to_pylist() for k in range(5))
+            for a, _, buf, off in textkit.pieces(batch.column(5)):
                 h, woff, _, _ = textkit.word_hashes(buf, off, textkit.MARKS)
                 for d in range(len(woff) - 1):
                     w, item = h[woff[d] : woff[d + 1]], np.frombuffer(words[a + d], _U)
                     at, j = max(0, shifts[a + d]), max(0, -shifts[a + d])
                     if at < len(w) and j < len(item) and (got := passage(w, at, item, j)):
-                        rows.append((docs[a + d], items[a + d], *got))
+                        rows.append((h1[a + d], h2[a + d], test[a + d], *got))
             if rows:
-                yield _out(rows)
+                yield _out(rows, "h1 long, h2 long", (pa.int64(),) * 2)
+
+    met = docs.select(*two, "text").mapInArrow(windows, "hash long, h1 long, h2 long, pos long").join(right, "hash").select(*two, "test", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    met = written(met, "met")
+    # A text that met a test, once: the filter lets few others through, and copies fall together before the shuffle.
+    one = sifted(docs.select(*two, "text"), bloom(met, "h1")).groupBy(*two).agg(F.first("text").alias("text"))
+    found = one.join(met.join(tests, "test"), two).select(*two, "test", "shift", "words", "text").mapInArrow(verify, f"h1 long, h2 long, {_FOUND}")
+    best = F.max_by(F.struct("first_word", "n_words", "n_agree"), F.struct("n_words", "n_agree", -F.col("first_word")))
+    found = written(found.groupBy(*two, "test").agg(best.alias("b")).select(*two, "test", "b.*"), "passages")
+    return docs.select("doc_id", *two).join(sent_if_few(found), two).select("doc_id", "test", "first_word", "n_words", "n_agree")
+
+
+def sifted(docs: DataFrame, filter: bytes) -> DataFrame:
+    """Rows whose first column passes a filter of `bloom`."""
+    sent = docs.sparkSession.sparkContext.broadcast(filter)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(in_bloom(wanted, batch.column(0).to_numpy())))
 
-    met = docs.mapInArrow(windows, "hash long, doc_id long, pos long").join(right, "hash").select("doc_id", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
-    met = met.join(items, "item").withColumnRenamed("doc_id", "met_id")
-    found = docs.join(met, F.col("doc_id").eqNullSafe(F.col("met_id"))).select("doc_id", "item", "shift", "words", "text").mapInArrow(verify, _HITS)
-    return found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("first_word", "n_words", "n_agree"), F.struct("n_words", "n_agree", -F.col("first_word"))).alias("b")).select("doc_id", "item_id", "b.*")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """doc_id, item_id, first_word, n_words, n_agree: the longest passage that each document shares with each test item.
+    """doc_id, item_id, first_word, n_words, n_agree: the longest passage that each document row shares with each item row.
 
-    Null and empty texts share nothing, on either side; items without an id are left out, documents without
-    one are reported with a null id. Rows that repeat are each reported. An item of fewer than 5 words
-    must occur whole and unchanged. Other columns are not looked at.
+    Null and empty texts share nothing, on either side. Documents and items without an id are reported with a
+    null id. Rows that repeat, with the same id or another, on either side, are each reported. Of passages of one
+    length that with most agreement is told, then the first. An item of fewer than 5 words must occur whole and
+    unchanged. Other columns are not looked at.
     """
-    items = item_words(bench, item_text, item_id)
-    size = items.agg(F.sum(F.length("words") / 8 * len(MASKS))).first()[0] or 0
+    tests, ids = item_words(bench, item_text, item_id)
+    size = tests.agg(F.sum(F.length("words") / 8 * len(MASKS))).first()[0] or 0
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return _sent(rows, items) if size <= SENT else _joined(rows, written(items, "items"))
+    found = (_sent if size <= SENT else _joined)(rows, tests)
+    return found.join(sent_if_few(ids), "test").select("doc_id", "item_id", "first_word", "n_words", "n_agree")
 
 
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:

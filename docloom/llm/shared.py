@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few numbers that a join may send to every task; more are met by a shuffle join.
@@ -16,10 +17,16 @@ ARROW_ROWS = 1500
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders that this process has made and not removed.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests in one process), one of our own is set."""
+    """The folder named by spark.checkpoint.dir; where it is unset and all runs in one process (tests), one of our own is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docloom-shared-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -27,7 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession, keep: tuple[DataFrame | str, ...] = ()) -> None:
+    """Remove the folders made so far, but for those in `keep` (their names, or tables read from them).
+
+    Results are lazy: call it when what was asked for has been written or shown."""
+    names = [x if isinstance(x, str) else "\n".join(x.inputFiles()) for x in keep]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in [f for f in _made if not any(f.rsplit("/", 1)[1] in x for x in names)]:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        _made.remove(folder)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -65,11 +85,15 @@ def sent_if_few(df: DataFrame) -> DataFrame:
 
 def with_row_ids(docs: DataFrame, id: str = "doc_id") -> tuple[DataFrame, str]:
     """docs and the name of a column that tells its rows apart: the id itself, or, where ids are null or repeat, a
-    copy in which every null and every repetition has a number above all ids (the first of equal ids keeps it)."""
+    copy in which every null and every repetition has a number above all ids (one of equal ids keeps it).
+
+    Rows are numbered where they lie, so that texts cross no shuffle and no id draws rows to one task."""
     ids = docs.agg(F.count("*").alias("rows"), F.count_distinct(id).alias("ids"), F.max(id).alias("top")).first()
     if ids.rows == ids.ids:
         return docs, id
-    first = F.row_number().over(Window.partitionBy(id).orderBy(F.monotonically_increasing_id()))
-    marked = docs.withColumn("__first", F.when(F.col(id).isNotNull(), first)) if ids.ids else docs.withColumn("__first", F.lit(None))
-    unique = F.when(F.col("__first") == 1, F.col(id)).otherwise((ids.top or 0) + 1 + F.monotonically_increasing_id())
-    return written(marked.withColumn("__row", unique.cast("long")).drop("__first"), "rows"), "__row"
+    rows = written(docs.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    twice = rows.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("__twice")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    joined = rows.join(sent_if_few(written(twice, "repeated")), F.col(id) == F.col("__twice"), "left")
+    own = F.col(id).isNotNull() & (F.col("__first").isNull() | (F.col("__first") == F.col("__at")))
+    unique = F.when(own, F.col(id)).otherwise((ids.top or 0) + 1 + F.col("__at"))
+    return joined.withColumn("__row", unique.cast("long")).drop("__at", "__twice", "__first"), "__row"

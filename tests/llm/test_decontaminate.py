@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 from docloom.llm import decontaminate as D
 
@@ -14,24 +15,20 @@ def words(text):
 
 
 def brute(docs, items):
-    """(doc, item) with an aligned stretch of at least 13 words (or the whole item) of which four in five agree, and a seed's agreement in it."""
-    out = set()
+    """(doc, item) for every pair of rows with an aligned stretch of at least 13 words (or the whole item) of which four in five agree. Masks have no part in it."""
+    out = []
     for d, text in docs:
         w = words(text)
         for i, item in items:
             v = words(item)
-            if not v:
-                continue
-            for shift in range(-len(v) + 1, len(w)):
+            for shift in range(-len(v) + 1, len(w)) if v else ():
                 a, b = max(0, shift), min(len(w), shift + len(v))
                 same = [w[x] == v[x - shift] for x in range(a, b)]
-                seed = any(all(same[x + j] for j, c in enumerate(m) if c == "1") for m in D.MASKS for x in range(len(same) - D.SPAN + 1)) if len(v) >= D.SPAN else len(same) == len(v) and all(same)
-                if not seed:
-                    continue
                 n = len(same)
                 if any(same[x] and same[y - 1] and sum(same[x:y]) * 5 >= (y - x) * 4 for x in range(n) for y in range(x + min(D.LEAST, len(v)), n + 1)):
-                    out.add((d, i))
-    return out
+                    out.append((d, i))
+                    break
+    return Counter(out)
 
 
 def case(seed):
@@ -52,23 +49,50 @@ def case(seed):
     return docs, items
 
 
+def both_ways(docs, items):
+    """All rows found, sorted; sending the tests and joining them must agree row for row."""
+    rows = D.contaminated(docs, items).collect()
+    sent, D.SENT = D.SENT, -1
+    try:
+        joined = D.contaminated(docs, items).collect()
+    finally:
+        D.SENT = sent
+    order = lambda r: [(x is not None, x) for x in r]
+    assert sorted(rows, key=order) == sorted(joined, key=order)
+    return rows
+
+
 def test_against_brute_force(spark):
     docs, items = case(4)
-    rows = [*docs, (900, None), (901, ""), (None, items[3][1]), (902, items[3][1]), (902, items[3][1])]
+    rows = [*docs, (900, None), (901, ""), (None, items[3][1]), (902, items[3][1]), (902, items[3][1]), (902, items[4][1])]
+    # Item ids that repeat with other texts and with the same one, a null id, null and empty texts.
+    items += [(3, items[9][1]), (3, items[3][1]), (None, items[4][1]), (77, None), (78, ""), (79, ". !")]
     left = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, item_id int").repartition(3)
-    right = spark.createDataFrame([*items, (77, None), (None, "a b c"), (78, "")], "item_id long, text string")
+    right = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, test int").repartition(2)
     want = brute(rows, items)
-    got = {(r.doc_id, r.item_id) for r in D.contaminated(left, right).collect()}
-    assert got == want and len(want) > 20
-    joined = D._joined(left.select("doc_id", "text"), D.item_words(right))
-    assert {(r.doc_id, r.item_id) for r in joined.collect()} == want
+    assert Counter((r.doc_id, r.item_id) for r in both_ways(left, right)) == want and len(want) > 20
+
+
+def test_repeated_ids_lose_nothing(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(20)) for x in "ab")
+    docs = spark.createDataFrame([(10, a), (11, b), (12, a), (12, a)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, a), (1, b)], "item_id long, text string")
+    assert sorted(r.doc_id for r in both_ways(docs, items)) == [10, 11, 12, 12]
+    assert D.clean(docs, items).collect() == []
+
+
+def test_very_long_text(spark):
+    item = " ".join(f"i{k}" for k in range(30))
+    text = "filler " * 300_000 + item + " filler" * 300_000
+    docs = spark.createDataFrame([(1, text), (2, "filler " * 400_000)], "doc_id long, text string")
+    assert [tuple(r) for r in both_ways(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))] == [(1, 7, 300_000, 30, 30)]
 
 
 def test_every_single_substitution_is_found(spark):
     item = [f"t{i}" for i in range(15)]
     docs = [(k, " ".join(["x", *item[:k], "other", *item[k + 1 :], "y"])) for k in range(15)]
-    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
-    assert {r.doc_id for r in got.collect()} == set(range(15))
+    got = both_ways(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {r.doc_id for r in got} == set(range(15))
 
 
 def test_empty(spark):
@@ -101,5 +125,4 @@ def test_every_placing_of_allowed_substitutions_is_found(spark):
             want.add((len(docs) - 1, n, 1, n, n - n // 5))
     left = spark.createDataFrame(docs, "doc_id long, text string")
     right = spark.createDataFrame(items, "item_id long, text string")
-    assert {tuple(r) for r in D.contaminated(left, right).collect()} == want
-    assert {tuple(r) for r in D._joined(left, D.item_words(right)).collect()} == want
+    assert {tuple(r) for r in both_ways(left, right)} == want
