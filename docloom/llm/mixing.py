@@ -11,7 +11,7 @@ The flight runs in blocks of about `BLOCK` documents of one source, in parallel;
 (two documents at most) meets the rest of other blocks of its source in the next round. Rounds go on while a
 source has more than one block, three for 10^10 documents. The landing, with two documents at most for each
 source, drops the constraint on words first, then the one on documents. Random numbers are seeded by the
-documents of a block, so reruns agree, however the rows lie (rows without an id are dealt by their place).
+documents of a block, so reruns agree, however the rows lie.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from docloom.llm.shared import WORD, sent_if_few, table, with_row_ids, written
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 BLOCK = 2000
+#: Equal rows that are numbered in one task.
+RUN = 10_000
 
 
 def flight(sizes: list[float], p: list[float], rng: np.random.Generator, land: bool = False) -> list[float]:
@@ -80,7 +82,7 @@ def source_targets(rows: DataFrame, weights: tuple = WEIGHTS, most: float = MOST
 
 def _fly(land: bool, columns: list[str]):
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["deal", "size", "doc_id", "rid"], kind="stable")
+        block = block.sort_values(["deal", "size", "doc_id", "k"], kind="stable")
         seed = int(block["deal"].to_numpy(np.int64).astype(np.uint64).sum() % np.uint64(1 << 63))
         block["p"] = flight(block["size"].astype(float).tolist(), block["p"].tolist(), np.random.default_rng((seed, len(block))), land)
         return block[columns]
@@ -89,7 +91,7 @@ def _fly(land: bool, columns: list[str]):
 
 
 def draw(rows: DataFrame) -> DataFrame:
-    """rows with p moved to 0 or 1. Columns: source, size, doc_id, deal (a hash), rid, p and others."""
+    """rows with p moved to 0 or 1. Columns: source, size, doc_id, deal (a hash), k, p and others."""
     todo, done, schema = rows.where("p > 0 AND p < 1"), [rows.where("NOT (p > 0 AND p < 1)")], rows.schema
     while True:
         blocks = todo.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -109,6 +111,16 @@ def draw(rows: DataFrame) -> DataFrame:
     return out
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, source, size, h) with deal, a hash that also tells equal rows apart by a number: they are
+    counted, and spread again by runs of `RUN` numbers, so that many equal rows are no group of one task."""
+    runs = written(rows.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("n")), "sizes").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))))
+    alone = runs.where("n = 1").withColumn("k", F.lit(0).cast("long"))
+    many = runs.where("n > 1").repartition("h", "run").withColumn("k", F.explode(F.sequence("run", F.least(F.col("run") + RUN, F.col("n")) - 1)))
+    deal = F.when(F.col("k") == 0, F.col("h")).otherwise(F.xxhash64("h", "k"))
+    return alone.unionByName(many).select("doc_id", "source", "size", "h", deal.alias("deal"), "k")
+
+
 def mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, copies and taken (= copies x size) for every row of docs.
 
@@ -117,14 +129,12 @@ def mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "
     0. Other columns are not looked at.
     """
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text), F.col(id)).alias("h"))
-    # Blocks are dealt by hash; rows without an id may be many and alike, so their place in the scan deals them.
-    rows = rows.withColumn("rid", F.monotonically_increasing_id())
-    rows = written(rows.withColumn("deal", F.when(F.col("doc_id").isNull(), F.xxhash64("h", "rid")).otherwise(F.col("h"))), "sizes")
+    rows = numbered(rows)
     targets = written(source_targets(rows).withColumnRenamed("source", "of"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = rows.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("rate", rate)
     joined = joined.withColumn("whole", F.floor("rate").cast("long")).withColumn("p", F.when(F.col("size") == 0, 0.0).otherwise(F.col("rate") - F.floor("rate")))
-    drawn = draw(joined.select("doc_id", "source", "size", "h", "deal", "rid", "source_size", "target", "whole", "p"))
+    drawn = draw(joined.select("doc_id", "source", "size", "h", "deal", "k", "source_size", "target", "whole", "p"))
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.round("p").cast("long"))
     return drawn.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 

@@ -53,11 +53,22 @@ def test_targets_and_totals(spark, monkeypatch):
         if list(sizes.values()).count(n) == 1:
             assert by[n][0] == pytest.approx(want[s]) and abs(by[n][1] - want[s]) <= 120
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, M.mix(docs).collect()), key=repr)
-    known = docs.where("doc_id IS NOT NULL").select("doc_id", "text", "source")
-    one, two = (sorted((r.doc_id, r.taken) for r in M.mix(known.repartition(n)).collect()) for n in (2, 7))
+    one, two = (sorted(map(repr, M.mix(docs.repartition(n)).collect())) for n in (2, 7))
     assert one == two
 
 
+def test_equal_rows_are_spread(spark, monkeypatch):
+    """A third of all rows are one row: they fly in blocks like all others, and reruns agree however rows lie."""
+    monkeypatch.setattr(M, "BLOCK", 50)
+    monkeypatch.setattr(M, "RUN", 70)
+    rows = [(1, "same text", "a")] * 500 + [(None, "no id", "a")] * 300 + [(i, "w " * (i % 9 + 1), "ab"[i % 2]) for i in range(2, 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = M.numbered(docs.selectExpr("doc_id", "source", "2L AS size", "xxhash64(text, doc_id) AS h"))
+    assert sizes.count() == len(rows) == sizes.select("deal").distinct().count()
+    one, two = (sorted(map(repr, M.mix(docs.repartition(n)).collect())) for n in (1, 5))
+    assert one == two and len(one) == len(rows)
+
+
 def test_mixed_documents(spark):
     rows = [(i, "w " * (i % 7 + 1), "ab"[i % 3 == 0], "x", i) for i in range(60)]
     odd = [(3, "again here", "a", "x", 1), (None, "q r", "a", "x", 1), (70, None, "a", "x", 1)]
