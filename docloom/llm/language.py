@@ -7,7 +7,7 @@ of its labelled text's length, wins.
 
 Letters are lower-cased, everything else counts as a space. Whole texts are parsed, in stretches of 1,024
 characters (a stretch begins a new phrase), so that thousands of stretches advance one character at a time
-through a dense transition table, for all languages at once.
+through a transition table, for all languages at once. All letters of the labelled text are told apart.
 
 Labelled text is a bounded sample: at most `SAMPLE_DOCS` documents of a language, shorter ones than
 `SAMPLE_LENGTH` first, by the hash of their id, together at most `SAMPLE_CHARS` characters.
@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import residue, table
+from docloom.llm.shared import residue, sent_if_few, table, with_row_ids, written
 
 SAMPLE_DOCS = 24
 SAMPLE_LENGTH = 4000
@@ -35,35 +35,38 @@ STRETCH = 1024
 LANES = 1024
 #: Characters parsed side by side; memory of a task follows it.
 SLICE = 1_000_000
-
-
-def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Transitions (states, width) of the suffix automaton; state 0 is none, 1 the root."""
-    n = 2 * len(symbols) + 3
-    go, link, length = np.zeros((n, width), np.int32), [0] * n, [0] * n
-    size, last = 2, 1
-    for c in symbols.tolist():
-        new = size
-        size += 1
-        length[new] = length[last] + 1
+#: Letters with a column in the transition table.
+DENSE = 250
+
+
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton; state 0 is none, 1 the root."""
+    go: list[dict[int, int]] = [{}, {}]
+    link, length, last = [0, 0], [0, 0], 1
+    for c in symbols:
+        new = len(go)
+        go.append({})
+        link.append(0)
+        length.append(length[last] + 1)
         p = last
-        while p and not go[p, c]:
-            go[p, c] = new
+        while p and c not in go[p]:
+            go[p][c] = new
             p = link[p]
         if not p:
             link[new] = 1
-        elif length[q := int(go[p, c])] == length[p] + 1:
+        elif length[q := go[p][c]] == length[p] + 1:
             link[new] = q
         else:
-            copy = size
-            size += 1
-            go[copy], link[copy], length[copy] = go[q], link[q], length[p] + 1
-            while p and go[p, c] == q:
-                go[p, c] = copy
+            copy = len(go)
+            go.append(dict(go[q]))
+            link.append(link[q])
+            length.append(length[p] + 1)
+            while p and go[p].get(c) == q:
+                go[p][c] = copy
                 p = link[p]
             link[q] = link[new] = copy
         last = new
-    return go[:size]
+    return go
 
 
 def code_points(text: str) -> np.ndarray:
@@ -76,29 +79,48 @@ def letters() -> np.ndarray:
 
 
 class Model:
-    """Automata of all languages in one transition table, and the table of symbols."""
+    """Automata of all languages in one transition table, and the table of symbols.
+
+    The `DENSE` most frequent letters have a column each in the table; transitions by other letters, in scripts of
+    thousands, are sorted keys that are searched."""
 
     def __init__(self, texts: dict[str, str], rows: dict[str, int] | None = None):
         self.languages = sorted(texts, key=lambda k: (-(rows or {}).get(k, 0), k))
         is_letter, lower = letters(), {k: t.lower() for k, t in texts.items()}
         counts = Counter(c for t in lower.values() for c in t if c.isalpha())
-        known = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][:250]
-        # Symbols: 0 an unseen letter, 1 anything that is no letter, then known letters; the last pads a stretch.
-        self.symbol = np.where(is_letter, 0, 1).astype(np.uint8)
+        known = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+        # Symbols: 0 an unseen letter, 1 anything that is no letter, then letters with a column; the next pads a stretch; then all other letters.
+        self.width = min(len(known), DENSE) + 3
+        self.symbol = np.where(is_letter, 0, 1).astype(np.uint8 if len(known) <= DENSE else np.int32)
         for i, c in enumerate(known):
-            self.symbol[ord(c)] = i + 2
-        self.letter, self.width = is_letter, len(known) + 3
-        tables, self.base, self.weight, at = [], [], [], 0
+            self.symbol[ord(c)] = i + 2 if i < DENSE else i + 3
+        self.letter, self.symbols = is_letter, len(known) + 3
+        tables, keys, ends, self.base, self.weight, at = [], [], [], [], [], 0
         for k in self.languages:
             s = self.symbol[code_points(lower[k])]
-            go = automaton(s[s > 0], self.width)
-            go[:, -1] = np.arange(len(go))
-            go[0] = 0
+            states = automaton(s[s > 0].tolist())
+            go = np.zeros((len(states), self.width), np.int32)
+            for i, of in enumerate(states):
+                for c, to in of.items():
+                    if c < self.width:
+                        go[i, c] = to
+                    else:
+                        keys.append((at + i) * self.symbols + c)
+                        ends.append(to)
+            go[1:, -1] = np.arange(1, len(go))
             tables.append(go)
             self.base.append(at)
             self.weight.append(math.log2(max(2, len(s))))
             at += len(go)
         self.go = np.concatenate(tables).astype(np.uint16 if max(map(len, tables), default=0) < 65536 else np.int32).ravel() if tables else np.zeros(0, np.uint16)
+        order = np.argsort(np.array(keys, np.int64))
+        self.rare, self.rare_to = np.array(keys, np.int64)[order], np.array(ends, np.int32)[order]
+
+    def rare_steps(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Where states of each language (languages, n) get by letters c (n) without a column; 0 is nowhere."""
+        key = (np.array(self.base, np.int64)[:, None] + state) * self.symbols + c
+        k = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
+        return np.where(self.rare[k] == key, self.rare_to[k], 0)
 
     def phrases(self, stretches: np.ndarray) -> np.ndarray:
         """(languages, stretches): phrases of each column of symbols (steps, stretches)."""
@@ -108,15 +130,20 @@ class Model:
         count = np.zeros((len(base), n), np.int32)
         open = np.zeros((len(base), n), bool)
         for c in stretches.astype(np.int64):
-            at = base + c
+            rare = np.flatnonzero(c >= width) if len(self.rare) else ()
+            at = base + (np.where(c < width, c, 0) if len(rare) else c)
             new = self.go.take(state * width + at)
-            ended = new == 0
             again = self.go.take(at + width)  # the same character from the root; one that is never seen is a phrase of its own
+            if len(rare):
+                new, again = new.astype(np.int64), again.astype(np.int64)
+                new[:, rare] = self.rare_steps(state[:, rare], c[rare])
+                again[:, rare] = self.rare_steps(np.ones((len(base), len(rare)), np.int64), c[rare])
+            ended = new == 0
             lone = ended & (again == 0)
             count += ended & open
             count += lone
             state = np.where(ended, np.maximum(again, 1), new).astype(np.int64)
-            open |= c < width - 1
+            open |= c != width - 1
             open &= ~lone
         return count + open
 
@@ -196,8 +223,10 @@ def languages(docs: DataFrame) -> DataFrame:
 
 
 def in_a_language(docs: DataFrame) -> DataFrame:
-    """docs without those that have no language (`und`)."""
-    return predict(docs, learn(docs), keep=tuple(docs.columns)).where("lang_pred <> 'und'").select(*docs.columns)
+    """docs without those that have no language (`und`). Only ids of such rows come back from the workers, no text."""
+    rows, key = with_row_ids(docs)
+    gone = written(predict(rows, learn(docs), keep=(key,)).where("lang_pred = 'und'").select(F.col(key).alias("__id")), "no-language")
+    return rows.join(sent_if_few(gone), F.col(key) == F.col("__id"), "left_anti").select(*docs.columns)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,25 @@ def test_phrases_against_substring_search():
             assert round(got * max(1, len(t)) / weight) == greedy(t, sources[k])
 
 
+def test_scripts_of_thousands_of_letters(spark):
+    """Two languages of 2,000 letters each, from the same range: phrases by substring search, and the language by them."""
+    rng = random.Random(2)
+    scripts = {k: [chr(0x4E00 + 2 * i + o) for i in range(2000)] for o, k in enumerate("xy")}
+    common = [chr(0x7000 + i) for i in range(400)]
+    words = {k: ["".join(rng.choice(v if rng.random() < 0.5 else common) for _ in range(3)) for _ in range(4000)] for k, v in scripts.items()}
+    text = lambda k, n: " ".join(words[k][int(4000 * rng.random() ** 2)] for _ in range(n))
+    sources = {k: text(k, 4000)[:16000] for k in words}
+    model = L.Model(sources)
+    assert model.symbols > 3000 and len(model.rare)
+    texts = [text(k, 60) for k in "xyxy"] + ["".join(rng.choice(common) for _ in range(40)), "abc"]
+    h, _ = model.entropies(texts)
+    for t, row in zip(texts, h, strict=True):
+        for k, got in zip(model.languages, row, strict=True):
+            assert round(got * len(t) / np.log2(len(sources[k]))) == greedy(t, sources[k])
+    docs = spark.createDataFrame([(i, text("xy"[i % 2], 50), "xy"[i % 2]) for i in range(200)], "doc_id long, text string, lang string")
+    assert all(r.lang_pred == "xy"[r.doc_id % 2] for r in L.languages(docs).collect())
+
+
 def test_stretches_restart_the_parse():
     model = L.Model({"x": "abc" * 900})
     h, _ = model.entropies(["abc" * 700])
