@@ -9,15 +9,23 @@ exact index.
 
 Allocation (`plan`): a segment is given one unit (its subset must be the same) or two (the subsets may
 differ by one element: then the index also holds its one-deletion neighbourhood, and m needs to exceed H / 2
-only). The cheaper is taken by a cost of index entries plus comparisons that weak keys cause: small sets
+only). The cheaper is taken by a cost of index entries plus comparisons that weak keys cause: smaller sets
 get two units, large sets one. Subsets of at most one shingle get no unit, because any passage that many
-documents share makes such keys common: m is larger than H by a fifth, and a set leaves those segments out
-while enough others remain, else it indexes all.
-
-Counting filter: a set with a link shares at least `need` = m - H - (segments left out) of its keys with
-other sets. Sets that share fewer are dropped before anything is compared, so that chance meetings don't
-join families of real copies. The rest form families (components over shared keys); each family's sets
-meet in blocks of a bounded size, in which all similarities are computed exactly from the shingle hashes.
+documents share makes such keys common, and the empty subset is the same for all: m is larger than H, and a
+set leaves those segments out while enough others remain. Else it indexes single shingles too, and only if all
+but H of its segments are empty (next to no set: below one in a thousand at 18 to 22 shingles, in 20,000 from 29
+on) the empty ones.
+
+Below `SMALL` shingles that would not be next to none. There the universe is one segment, and its deletion
+neighbourhood is taken where it is small: a set of n misses at most n // 5 elements of a set that it links
+with, so that of its first KEEP + EXTRA + n // 5 elements (in the order of their hashes) at least KEEP + EXTRA
+are in both sets, and among the other's first ones too. The index holds the subsets of KEEP of these first ones.
+
+Counting filter: a set with a link shares at least `need` of its keys with other sets: m - H - (segments left
+out), and below SMALL the subsets of KEEP out of KEEP + EXTRA. Sets that share fewer are dropped before
+anything is compared, so that chance meetings don't join families of real copies. The rest form families
+(components over shared keys); each family's sets meet in blocks of a bounded size, in which all similarities
+are computed exactly from the shingle hashes.
 
 Exact copies are one class from the start: a set's fingerprint is the node, and each task sends a class
 once. Index entries travel as packed arrays, one row for each bucket and batch, not as rows of their own; a
@@ -29,6 +37,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +53,15 @@ BLOCK = 1500
 #: What a comparison caused by a weak key costs against an index entry.
 WEAK = 4
 #: Segments over the number that differing elements can reach. More give the counting filter more to count.
-SLACK = 1.35
+SLACK = 1.7
+#: Sets of fewer shingles are indexed by deletion neighbourhoods of their first elements. Below 4, linked sets are equal.
+SMALL, LEAST, KEEP, EXTRA = 23, 4, 3, 1
 #: Entries packed into one row for each bucket.
 PACK = 1_000_000
+#: Index entries that meet in one bucket, on average.
+MEET = 8_000_000
+#: Rows of a class of equal sets above which its rows don't meet in one task.
+HOT = 1000
 _U = np.uint64
 
 
@@ -83,12 +98,29 @@ def least_equal(size: np.ndarray, k: np.ndarray, m: np.ndarray, units: np.ndarra
 
 
 PLANS = np.array([plan(k) for k in range(len(EDGES) - 1)])
+#: The scheme of small sets; those of the bands above are served by schemes of their own.
+FIRST = int(np.searchsorted(EDGES, SMALL, "left")) - 1
 
 
 def band(size: np.ndarray) -> np.ndarray:
     return np.searchsorted(EDGES, size, "right") - 1
 
 
+def small_entries(sets: list[np.ndarray], names: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, entity, kind) of small sets: subsets of KEEP of their first elements."""
+    sizes = np.array([len(s) for s in sets])
+    for d in np.unique(sizes // 5).tolist():
+        of = np.flatnonzero((sizes // 5 == d) & (sizes >= LEAST))
+        if not len(of):
+            continue
+        first = np.stack([sets[i][: KEEP + EXTRA + d] for i in of])
+        pick = np.array([*combinations(range(first.shape[1]), KEEP)])
+        key = np.full((len(of), len(pick)), _U(FIRST), _U)
+        for j in range(KEEP):
+            key = textkit.mix(key + first[:, pick[:, j]])
+        yield key.ravel(), np.repeat(names[of], len(pick)), np.full(key.size, 3, np.uint8)
+
+
 def index_entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The index entries of non-empty sets: (key, entity, kind), and of each entity (scheme, need).
 
@@ -96,12 +128,17 @@ def index_entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     says that the key is a whole subset, not a deletion; the next bit, that the scheme is the own band's.
     A segment left out by one side only differs by one element, so with two units subsets of two count as
     left out when the need is worked out."""
-    sizes = np.array([len(s) for s in sets])
-    flat, n_sets = np.concatenate(sets), len(sets)
+    every = np.array([len(s) for s in sets])
+    found, schemes, needs = [], np.full(2 * len(sets), FIRST), np.full(2 * len(sets), math.comb(KEEP + EXTRA, KEEP))
+    of = np.flatnonzero(every < SMALL)
+    found += small_entries([sets[i] for i in of], 2 * of)
     low = _U((1 << 26) - 1)
-    found, schemes, needs = [], np.zeros(2 * n_sets, np.int64), np.zeros(2 * n_sets, np.int64)
     for up in (0, 1):
-        k = band(sizes) + up
+        name = np.flatnonzero(band(every) + up > FIRST)
+        if not len(name):
+            continue
+        sizes, k = every[name], band(every[name]) + up
+        flat = np.concatenate([sets[i] for i in name])
         m, units, _ = PLANS[k].T
         base = np.concatenate(([0], np.cumsum(m)))
         seed = textkit.mix(k.astype(_U) * _U(7919) + _U(13))
@@ -111,20 +148,24 @@ def index_entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
         # A subset's hash adds up two 26-bit parts of its elements' hashes: such sums are exact in doubles.
         one, two = h & low, (h >> _U(7)) & low
         one_sum, two_sum = (np.bincount(slot, x.astype(np.float64), base[-1]).astype(_U) for x in (one, two))
-        owner = np.repeat(np.arange(n_sets), m)
+        owner = np.repeat(np.arange(len(name)), m)
         place = textkit.mix((np.arange(base[-1]) - np.repeat(base[:-1], m)).astype(_U) * _U(1_000_003) + np.repeat(seed, m))
-        need = least_equal(sizes, k, m, units) - np.add.reduceat((n <= np.repeat(units, m)).astype(np.int64), base[:-1])
-        emit = (n > 1) | (need < 1)[owner]
-        schemes[up::2], needs[up::2] = k, np.maximum(need, 1)
+        equal = least_equal(sizes, k, m, units)
+        need, with_single = (equal - np.add.reduceat((n <= np.repeat(units - x, m)).astype(np.int64), base[:-1]) for x in (0, 1))
+        # The fewest elements of a subset that is indexed, and of one whose deletions are.
+        least = np.where(need >= 1, 2, np.where(with_single >= 1, 1, 0))
+        emit = n >= least[owner]
+        schemes[2 * name + up], needs[2 * name + up] = k, np.maximum(need, 1)
         whole = textkit.mix((one_sum + (two_sum << _U(32))) ^ place)
         own = 2 * (up == 0)
-        found.append((whole[emit], 2 * owner[emit] + up, np.full(int(emit.sum()), 1 + own, np.uint8)))
-        pick = np.repeat(units == 2, sizes) & emit[slot]
+        entity = 2 * name + up
+        found.append((whole[emit], entity[owner[emit]], np.full(int(emit.sum()), 1 + own, np.uint8)))
+        pick = np.repeat(units == 2, sizes) & (n >= np.where(least == 0, 1, 2)[owner])[slot]
         if pick.any():
             s = slot[pick]
             less = (one_sum[s] - one[pick]) + ((two_sum[s] - two[pick]) << _U(32))
-            found.append((textkit.mix(less ^ place[s]), 2 * owner[s] + up, np.full(len(s), own, np.uint8)))
-    key, entity, kind = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.append((textkit.mix(less ^ place[s]), entity[owner[s]], np.full(len(s), own, np.uint8)))
+    key, entity, kind = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.uint8))
     return key, entity, kind, schemes, needs
 
 
@@ -154,16 +195,19 @@ def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Dat
 
 
 def bucket_bases(prints: DataFrame, n: int) -> np.ndarray:
-    """First bucket of each scheme, and the number of all: about n buckets dealt out by the schemes' numbers of entries.
+    """First bucket of each scheme, and the number of all: at least n buckets, of about MEET entries, dealt out by the schemes' numbers of entries.
 
     A bucket has keys of one scheme only, so that a set's name is sent to few buckets, with many keys each."""
     edges = F.array(*map(F.lit, EDGES.tolist()))
     sizes = prints.where("n_shingles > 0").groupBy(F.size(F.filter(edges, lambda e: e <= F.col("n_shingles"))).alias("band")).agg(F.sum("n_shingles").alias("n")).collect()  # one row a band
     weight = np.zeros(len(PLANS) + 1)
-    for band_, size in sizes:
-        weight[band_ - 1] += size
-        weight[band_] += size
-    share = np.maximum(1, np.round(n * weight / max(1.0, weight.sum()))).astype(np.int64)
+    for k, size in ((x.band - 1, x.n) for x in sizes):
+        if k <= FIRST:
+            weight[FIRST] += 3 * size
+        for to in {k, k + 1} - {*range(FIRST + 1)}:
+            m, units, _ = PLANS[min(to, len(PLANS) - 1)]
+            weight[to] += size * (m / EDGES[to] + (units == 2))
+    share = np.maximum(1, np.round(max(n, weight.sum() / MEET) * weight / max(1.0, weight.sum()))).astype(np.int64)
     return np.concatenate(([0], np.cumsum(share)))
 
 
@@ -208,12 +252,19 @@ def shared_keys(docs: DataFrame, prints: DataFrame, text: str = "text") -> DataF
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[tuple[int, int], list] = {}
+        at, held = None, []
         for batch in batches:
             for b, scheme, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got.setdefault((b, scheme), []).append(row)
-        while got:
-            (b, scheme), rows = got.popitem()
+                if (b, scheme) != at:
+                    yield from met(at, held)
+                    at, held = (b, scheme), []
+                held.append(row)
+        yield from met(at, held)
+
+    def met(at: tuple[int, int] | None, rows: list) -> Iterator[pa.RecordBatch]:
+        """The keys of one bucket that serve."""
+        if rows:
+            b, scheme = at
             key, whole, node, need, own = [], [], [], [], []
             for keys, bits, nodes, times, needs, owns in rows:
                 times, k = np.frombuffer(times, "<u4"), np.frombuffer(keys, "<u4")
@@ -236,7 +287,7 @@ def shared_keys(docs: DataFrame, prints: DataFrame, text: str = "text") -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(gid), pa.array(np.full(len(gid), scheme)), pa.array(node[keep].astype(np.int64)), pa.array(need[keep].astype(np.int64))], ["gid", "scheme", "node", "need"])
 
     packed = docs.select(F.col(text).alias("text")).mapInArrow(pack, "bucket long, scheme long, keys binary, whole binary, nodes binary, times binary, needs binary, own binary")
-    return packed.repartition(n, "bucket").mapInArrow(meet, "gid long, scheme long, node long, need long")
+    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "gid long, scheme long, node long, need long")
 
 
 def families(entries: DataFrame) -> DataFrame:
@@ -248,10 +299,20 @@ def families(entries: DataFrame) -> DataFrame:
     return components(edges.distinct())
 
 
+def spots(x: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    for k in range(3):
+        yield (textkit.mix(x.astype(_U) + _U(k * 0x9E3779B9)) % _U(bits)).astype(np.int64)
+
+
 def bloom(df: DataFrame, col: str, bits: int = 1 << 26) -> bytes:
     """A filter of fixed size (8 MB) over a long column, built by grouped bitmaps. It grows with nothing; where it fills up, more rows pass it and the join behind it decides."""
-    spots = df.select(F.explode(F.array(*(F.pmod(F.xxhash64(F.col(col), F.lit(k)), F.lit(bits)) + 1 for k in range(3)))).alias("p"))
-    rows = spots.groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("w")).collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*spots(x, bits)]) + 1)], ["p"])
+
+    rows = df.select(col).mapInArrow(run, "p long").groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("w")).collect()
     out = np.zeros(bits // 8, np.uint8)
     for r in rows:
         w = np.frombuffer(bytes(r["w"]), np.uint8)
@@ -260,28 +321,9 @@ def bloom(df: DataFrame, col: str, bits: int = 1 << 26) -> bytes:
     return out.tobytes()
 
 
-def _hash_long(x: np.ndarray, seed: int) -> np.ndarray:
-    """Spark's xxhash64(x, seed) of two long/int columns, as F.xxhash64(col, lit(seed)) gives it."""
-    p1, p2, p3, p4, p5 = (_U(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    rot = lambda v, r: (v << _U(r)) | (v >> _U(64 - r))
-
-    def final(v):
-        v = (v ^ (v >> _U(33))) * p2
-        v = (v ^ (v >> _U(29))) * p3
-        return v ^ (v >> _U(32))
-
-    h = np.full(len(x), _U(42) + p5 + _U(8), _U)
-    h ^= rot(x.astype(_U) * p2, 31) * p1
-    h = final(rot(h, 27) * p1 + p4)
-    h = h + p5 + _U(4)
-    h ^= _U(seed) * p1
-    return final(rot(h, 23) * p2 + p3).astype(np.int64)
-
-
 def in_bloom(filter: np.ndarray, x: np.ndarray, bits: int = 1 << 26) -> np.ndarray:
     ok = np.ones(len(x), bool)
-    for k in range(3):
-        p = _hash_long(x, k) % bits
+    for p in spots(x, bits):
         ok &= (filter[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
     return ok
 
@@ -409,8 +451,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     in_component = joined.join(classes, "node").select("node", "root", "first")
     least = in_component.groupBy("root").agg(F.min("first").alias("least"))
     known = in_component.join(least, "root").select("node", "least")
-    known = classes.join(known, "node", "left").where("n > 1 OR least IS NOT NULL").select("node", F.coalesce("least", "first").alias("least"))
-    return prints.join(known, "node", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "node")
+    known = written(classes.join(known, "node", "left").where("n > 1 OR least IS NOT NULL").select("node", F.coalesce("least", "first").alias("least"), (F.col("n") > HOT).alias("hot")), "classes")
+    # Rows of classes with many rows don't meet in one task: such classes are few, one for HOT rows at most.
+    hot = sent_if_few(known.where("hot").drop("hot"))
+    out = prints.join(hot, "node", "left")
+    cold = known.where("NOT hot").select(F.col("node").alias("other"), F.col("least").alias("known"))
+    spread = F.when(F.col("least").isNull() & F.col("node").isNotNull(), F.col("node")).otherwise(-1 - F.pmod(F.xxhash64("doc_id", "n_shingles"), F.lit(1 << 20)))
+    out = out.withColumn("other", spread).join(cold, "other", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("least", "known", "doc_id").alias("component_id"), "node")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -96,8 +96,8 @@ def test_table(spark):
 def test_index_finds_every_link():
     """Any two linked sets share at least `need` keys of one scheme, whatever the sizes."""
     rng = np.random.default_rng(3)
-    for size in (5, 9, 17, 30, 64, 150, 400, 1200):
-        for _ in range(12):
+    for size in (5, 9, 14, 17, 19, 22, 24, 30, 64, 150, 400, 1200):
+        for _ in range(40 if size < 40 else 12):
             base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
             cut, add = rng.integers(0, size // 9 + 1), rng.integers(0, size // 9 + 1)
             a, b = np.unique(base), np.unique(np.concatenate((base[cut:], rng.integers(0, 1 << 63, add, dtype=np.uint64))))
@@ -115,6 +115,38 @@ def test_index_finds_every_link():
             assert best, (size, cut, add)
 
 
+def test_short_sets_share_no_key_by_being_short(spark):
+    """Unrelated texts of 6 to 25 words, and of up to 60: no family, where keys of empty segments would tie hundreds."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(6, 26 if i < 5000 else 60)))) for i in range(7000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    families = J.families(J.shared_keys(docs, J.fingerprints(docs)))
+    assert max([n for _, n in families.groupBy("root").count().collect()], default=0) <= 3
+
+
+def test_short_sets_of_every_size(spark):
+    """All sizes below and around the limit of the small scheme, with edits: all links, against all pairs."""
+    rng, rows = random.Random(9), []
+    for n in range(4, 36):
+        for _ in range(6):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            rows += [" ".join(base), " ".join(base[1:]), " ".join([*base, "z"]), " ".join(["y", *base, "z"]), " ".join(edited(rng, base, 0.05)), " ".join([*base, "a", "b", "c"])]
+    rows = [*enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(J.near_duplicates(docs)) == brute(rows)
+
+
+def test_hot_class_and_long_text(spark, monkeypatch):
+    """Classes with more rows than HOT are met apart; a text of a million words is taken whole."""
+    monkeypatch.setattr(J, "HOT", 5)
+    long = " ".join(f"l{i % 5000}" for i in range(1_000_000))
+    base = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(base)) for i in range(40, 10, -1)] + [(5, " ".join(["z", *base])), (60, "a b"), (61, "a b"), (62, None), (63, ""), (70, long), (71, long + " end"), (72, "other text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(J.near_duplicates(docs)) == brute(rows)
+
+
 def test_bloom(spark):
     ids = spark.range(0, 5000, 5).selectExpr("id * 7919 - 3000 AS node")
     bits = np.frombuffer(J.bloom(ids, "node"), np.uint8)
