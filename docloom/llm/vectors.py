@@ -12,10 +12,11 @@ place in the order, places are cut into chunks of one size, and a chunk's last r
 next chunk, so that windows reach over its edge. Equal vectors are one row from the start: their copies
 count in n_links, and a vector that a third of all rows repeat stands in one place.
 
-Clusters larger than a window would lose links by it. An exact step follows: in a cluster the angle of
-every vector to the pivot (its least id) is known. Two vectors whose angles to the pivot add up to no more
-than the threshold angle are linked without a comparison (the core). The others, the fringe, are compared
-with the members of their cluster in blocks, and links are counted where they are found, never listed.
+Clusters larger than a window would lose links by it. An exact step follows: in a cluster the angle of every
+vector to the pivot (the cluster's mean direction) is known. Two vectors whose angles to the pivot add up to no
+more than the threshold angle are linked without a comparison: the core, all within half that angle. A cluster
+of near copies of one vector is all core, whatever its size. The others, the fringe, are compared with the
+members of their cluster in blocks, and links are counted where they are found, never listed.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.graph import components
-from docloom.llm.shared import partitions, table, written
+from docloom.llm.shared import partitions, sent_if_few, table, written
+from docloom.llm.shinglejoin import forest
 
 COSINE = 0.95
 #: Least passes; more are taken as the table grows.
@@ -44,6 +46,8 @@ CHUNK = 8192
 BLOCK = 2000
 #: Slack for angles that are added up in floating point; pairs so near to the threshold are compared.
 EPSILON = 1e-9
+#: Bytes of clusters' mean vectors that a join may send to every task.
+SENT = 32_000_000
 
 
 def raw_vectors(df: DataFrame, id: str, embedding: str) -> DataFrame:
@@ -139,6 +143,11 @@ def window_pairs(nodes: DataFrame, threshold: float, passes: int, window: int) -
         if not a:
             return None
         a, b = np.concatenate(a), np.concatenate(b)
+        if not len(a):
+            return None
+        # Of a chunk's pairs those that join its clusters are enough: no more than it has vectors.
+        names, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        a, b = names[np.array(forest(len(names), at.reshape(2, -1).T))].T
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,30 +172,58 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield held
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """root, dim, total: sums of unit vectors by cluster."""
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        root, dim = (np.array(batch.column(k).to_pylist()) for k in (0, 2))
+        for d in np.unique(dim).tolist():
+            at = np.flatnonzero(dim == d)
+            order = at[np.argsort(root[at], kind="stable")]
+            names, first = np.unique(root[order], return_index=True)
+            for name, x in zip(names.tolist(), np.add.reduceat(unit(batch.column(3).take(pa.array(order)).to_pylist(), d), first), strict=True):
+                total[name, d] = total.get((name, d), 0) + x
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total]), pa.array([d for _, d in total], pa.int32()), pa.array([*total.values()], pa.list_(pa.float64()))], ["root", "dim", "total"])
+
+
+def _sums_of_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """root, pivot: rows of _sums, sorted by root, added up."""
+    for rows in _groups(batches, 1):
+        total = np.sum([r[2] for r in rows], 0)
+        total[0] += not total.any()
+        yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), pa.array([total.tobytes()], pa.binary())], ["root", "pivot"])
+
+
 def cluster_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     """node, links: the rows linked with a vector of the node, other copies of its own vector left out, over all vectors of its cluster."""
     spark, n = nodes.sparkSession, partitions(nodes.sparkSession)
     most = math.acos(threshold)
-    members = nodes.join(roots, "node")
-    pivots = members.where("node = root").select("root", F.col("raw").alias("pivot"))
+    members = nodes.join(roots, "node").select("root", "node", "dim", "raw", "copies")
+    # A task's vectors of one cluster are summed before the shuffle.
+    sums = members.mapInArrow(_sums, "root long, dim int, total array<double>")
+    pivots = sums.repartition(n, "root").sortWithinPartitions("root").mapInArrow(_sums_of_sums, "root long, pivot binary")
 
     def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             root, pivot, node, dim, raw, copies = batch.columns
-            core = np.zeros(batch.num_rows, bool)
+            angle = np.zeros(batch.num_rows)
             dims = np.array(dim.to_pylist())
             for d in np.unique(dims).tolist():
                 at = pa.array(np.flatnonzero(dims == d))
                 cos = np.einsum("ij,ij->i", unit(raw.take(at).to_pylist(), d), unit(pivot.take(at).to_pylist(), d))
-                core[at.to_numpy()] = np.arccos(np.clip(cos, -1, 1)) <= most / 2 - EPSILON
-            yield pa.RecordBatch.from_arrays([root, node, dim, raw, copies, pa.array(core)], ["root", "node", "dim", "raw", "copies", "core"])
+                angle[at.to_numpy()] = np.arccos(np.clip(cos, -1, 1))
+            yield pa.RecordBatch.from_arrays([root, node, dim, raw, copies, pa.array(angle), pa.array(angle <= most / 2 - EPSILON)], ["root", "node", "dim", "raw", "copies", "angle", "core"])
 
-    placed = written(members.join(pivots, "root").select("root", "pivot", "node", "dim", "raw", "copies").mapInArrow(angles, "root long, node long, dim int, raw binary, copies long, core boolean"), "clusters")
+    pivots = written(pivots, "pivots")
+    small = (pivots.agg(F.sum(F.length("pivot"))).first()[0] or 0) <= SENT
+    placed = members.join(F.broadcast(pivots) if small else pivots, "root").select("root", "pivot", "node", "dim", "raw", "copies")
+    placed = written(placed.mapInArrow(angles, "root long, node long, dim int, raw binary, copies long, angle double, core boolean"), "clusters")
     totals = placed.where("core").groupBy("root").agg(F.sum("copies").alias("total"))
-    core = placed.where("core").select("root", "node", "copies").join(totals, "root").select("node", (F.col("total") - F.col("copies")).alias("links"))
+    core = placed.where("core").select("root", "node", "copies").join(sent_if_few(totals), "root").select("node", (F.col("total") - F.col("copies")).alias("links"))
 
     sizes = placed.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(~F.col("core")) / BLOCK).cast("int").alias("edges")).where("edges > 0")
-    cut = placed.join(sizes, "root").withColumn("h", F.xxhash64("node"))
+    cut = placed.join(sent_if_few(sizes), "root").withColumn("h", F.xxhash64("node"))
     own = lambda c: F.pmod("h", F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     fringe = cut.where("NOT core").withColumn("f", own("edges")).withColumn("m", every("blocks")).withColumn("side", F.lit(0))

@@ -61,6 +61,22 @@ def test_exact_step_in_blocks(spark, monkeypatch):
     assert sum(got[i] != want[i] for i in want) <= 2
 
 
+def test_near_copies_of_one_vector_are_never_compared(spark, monkeypatch):
+    """Work follows the rows: a cluster twice as large makes about twice as many rows of pairs and none of the exact step."""
+    rng = np.random.default_rng(6)
+    base, made = rng.standard_normal(64), []
+    chosen = V.window_pairs
+    monkeypatch.setattr(V, "window_pairs", lambda *x: made.append(chosen(*x)) or made[-1])
+    for n in (300, 600):
+        rows = [(i, [float(x) for x in base + rng.standard_normal(64) * 0.1]) for i in range(n)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert set(result(V.near_vectors(df)).values()) == {(n - 1, 0, True), (n - 1, 0, False)}
+        nodes = V.raw_vectors(df, "vec_id", "embedding").selectExpr("vec_id AS node", "dim", "raw", "1L AS copies")
+        roots = spark.createDataFrame([(i, 0) for i in range(n)], "node long, root long")
+        assert V.cluster_links(nodes, roots, 0.95).where(f"links <> {n - 1}").count() == 0
+    assert made[1].count() <= 2.2 * made[0].count() <= 2.2 * 300
+
+
 def test_null_id_and_empty(spark):
     df = spark.createDataFrame([(None, [1.0, 2.0]), (3, [1.0, 2.0])], "vec_id long, embedding array<double>")
     assert result(V.near_vectors(df)) == {None: (0, None, None), 3: (0, 3, True)}
