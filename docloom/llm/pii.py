@@ -1,17 +1,23 @@
 """PII by candidate gradient boosting, in DataFrame functions throughout.
 
 Base detectors find emails, IP addresses, card numbers and phone numbers by pattern and check. Next to them
-two loose generators propose spans with high recall (obfuscated addresses, long runs of digits and marks);
-they overlap each other and the base spans. Boosted trees score each proposal from its format (length,
-digits, groups, marks, lead) and its context (the characters on both sides); proposals that score above a
-calibrated threshold and touch no base span are added.
-
-Trees are fitted to weak labels: a proposal is positive if it overlaps a checked base span. Features are
-small integers, so all proposals of the corpus collapse to a table of feature cells with counts, which a
-grouped sum builds over all rows; its size is bounded by the product of the features' ranges (at most
-`MOST_CELLS` rows), whatever the corpus. Half of the documents' cells fit the trees, the other half calibrate
-the threshold: the lowest score from which on at least `PRECISION` of the proposals are positive. The model
-becomes a sum of CASE expressions.
+three loose generators propose spans with high recall: addresses in disguise, runs of digits and marks, and
+tokens that mix letters and digits, as keys and passwords do. Proposals overlap each
+other and the base spans. Boosted trees score each from its format (length, digits, groups, marks, letters, lead)
+and its context (the characters on both sides); proposals that score above a calibrated threshold and touch no
+base span are added, tokens as kind `secret`.
+
+Labels are weak, and not all proposals have one. Positive are those that overlap a checked base span, and tokens
+that a credential's name is assigned (`password=`, `token = "`). Negative are numbers without a base span, and
+tokens of plain shape (one run of digits at an end, as in `covid19` or `2004-05-06`). Addresses in disguise and
+tokens that mix letters and digits, without such a name, have no label: these the trees can add, by likeness. What
+the labels were read from is hidden from the trees: they see neither an at sign nor what stands before a token.
+
+Features are small integers, so all labelled proposals of the corpus collapse to a table of feature cells with
+counts, which a grouped sum builds over all rows; its size is bounded by the product of the features' ranges (at
+most `MOST_CELLS` rows a half), whatever the corpus. Half of the documents' cells fit the trees, the other half
+calibrate the threshold: the lowest score from which on at least `PRECISION` of the proposals are positive. The
+model becomes a sum of CASE expressions.
 
 Patterns use possessive repeats, which match the same (a character that ends a run can't continue it) but
 take time in proportion to the text, and no stack for long runs.
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,30 +43,55 @@ KINDS = {
 }
 LOOSE = {
     "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
-    "number": r"(?<![0-9])[0-9+(](?:[\x20().+-]{0,2}[0-9]){6,40}+",
+    "number": r"(?<![0-9A-Za-z])[0-9+(](?:[\x20().+-]{0,2}[0-9]){0,40}+(?![0-9A-Za-z])",
+    "token": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{8,}+",
 }
 #: A text without these holds no span of any kind.
 HINT = r"[0-9@]|[(\[]at[)\]]"
+#: Names of credentials, before an assignment; tokens of plain shape.
+NAMED = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\x22']?\s?[:=]\s?[\x22']?$"
+PLAIN = r"^(?:[A-Za-z_+/-]*+[0-9]++|[0-9]++[A-Za-z_+/-]*+|[0-9]++(?:[+/_-][0-9]++)*+)$"
 ROUNDS, RATE, LEAVES = 24, 0.4, 1.0
-PRECISION = 0.95
-FEATURES = {"loose": 2, "size": 5, "digits": 5, "groups": 5, "marks": 5, "lead": 4, "before": 4, "after": 4}
+PRECISION = 0.99
+FEATURES = {"loose": 3, "size": 5, "digits": 5, "groups": 5, "marks": 4, "letters": 4, "lead": 3, "before": 4, "after": 4}
 MOST_CELLS = math.prod(FEATURES.values())
+#: Matches whose places are added up in one run.
+RUN = 256
 
 
 def spans_of(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, t>>: the leftmost non-overlapping matches; code points, end exclusive."""
+    """array<struct<s, e, t>>: the leftmost non-overlapping matches; code points, end exclusive.
+
+    Places are running sums of the lengths of matches and of the gaps before them. They are added up in runs of RUN
+    matches, then over the runs, so that a text with very many matches takes little more than its share."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     pairs = F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))), lambda t, g: F.struct(g.alias("g"), t.alias("t")))
-    none = F.array().cast("array<struct<s:int,e:int,t:string>>")
+    pairs = F.filter(pairs, lambda x: x["t"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["t"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["t"].alias("t")))).alias("out"))
+    def summed(pairs: Column) -> Column:
+        none = F.array().cast("array<struct<s:int,e:int,t:string>>")
 
-    pairs = F.filter(pairs, lambda x: x["t"].isNotNull())
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+        def step(acc: Column, x: Column) -> Column:
+            s = acc["at"] + x["g"]
+            e = s + F.length(x["t"])
+            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["t"].alias("t")))).alias("out"))
+
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def in_runs(pairs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(pairs), F.lit(RUN)), lambda i: summed(F.slice(pairs, i, F.lit(RUN))))
+        ends = F.array().cast("array<int>")
+        at = F.aggregate(runs, F.struct(F.lit(0).alias("at"), ends.alias("out")), lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        moved = F.zip_with(runs, at, lambda r, a: F.transform(r["out"], lambda x: F.struct((x["s"] + a).alias("s"), (x["e"] + a).alias("e"), x["t"].alias("t"))))
+        return F.flatten(moved)
+
+    return let(pairs, lambda p: F.when(F.size(p) <= RUN, summed(p)["out"]).otherwise(in_runs(p)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def digits_of(t: Column) -> Column:
@@ -99,8 +131,7 @@ def base_spans(docs: DataFrame, text: str) -> DataFrame:
 
 
 def proposals(docs: DataFrame, text: str) -> DataFrame:
-    """docs with __loose: array of struct<s, e, kind, positive, and the features> of loose spans."""
-    base = F.concat(*(F.col(f"__{k}") for k in KINDS))
+    """docs with __loose: array of struct<s, e, kind, label, and the features> of loose spans. The label is 1, 0 or -1 (none)."""
     columns = []
 
     def by(n: int) -> Callable[[Column], Column]:
@@ -120,17 +151,44 @@ def proposals(docs: DataFrame, text: str) -> DataFrame:
         """0 none or white space, 1 a letter, 2 a digit, 3 a mark."""
         return F.when(c.rlike(r"^\s?$"), 0).when(c.rlike(r"[\p{L}]"), 1).when(c.rlike("[0-9]"), 2).otherwise(3)
 
-    def features(x: Column) -> Column:
-        t, d = x["t"], F.length(digits_of(x["t"]))
-        kind = F.when(x["loose"] == 0, "email").when(F.size(F.split(t, r"\.")) >= 3, "ip").when(t.rlike(r"^[+(]") | (d < 14), "phone").otherwise("card")
+    def features(x: Column, base: Column) -> Column:
+        # An address is looked at as if it stood there undisguised.
+        plain = F.regexp_replace(F.regexp_replace(x["t"], r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", ".")
+        return let(F.when(x["loose"] == 0, plain).otherwise(x["t"]), lambda t: let(overlaps(x, base), lambda of_base: described(x, t, of_base)))
+
+    def overlaps(x: Column, base: Column) -> Column:
+        """Whether a base span meets x. Spans of a kind don't overlap, so both ends ascend: beyond a few, they are halved until the first that ends after x begins is found."""
+
+        def among(spans: Column) -> Column:
+            def step(acc: Column, _: Column) -> Column:
+                mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+                return F.when(F.get(spans, mid)["e"] <= x["s"], F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
+
+            n = F.size(spans)
+            first = F.aggregate(F.sequence(F.lit(0), F.length(F.bin(n.cast("long")))), F.struct(F.lit(0).alias("lo"), n.alias("hi")), step, lambda acc: acc["lo"])
+            met = let(F.get(spans, first), lambda b: F.coalesce(b["s"] < x["e"], F.lit(False)))
+            return F.when(n <= 8, F.exists(spans, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))).otherwise(met)
+
+        return reduce(lambda a, b: a | b, (among(base[k]) for k in KINDS))
+
+    def described(x: Column, t: Column, of_base: Column) -> Column:
+        d, token = F.length(digits_of(t)), x["loose"] == 2
+        kind = F.when(x["loose"] == 0, "email").when(token, "secret").when(F.size(F.split(t, r"\.")) >= 3, "ip").when(t.rlike(r"^[+(]") | (d < 14), "phone").otherwise("card")
+        lead = F.substr(F.col(text), F.greatest(x["s"] - 24, F.lit(0)) + 1, F.least(x["s"], F.lit(24)))
+        label = F.when(of_base, 1).when(x["loose"] == 1, 0).when(x["loose"] == 0, -1).when(lead.rlike(NAMED), 1).when(t.rlike(PLAIN), 0).otherwise(-1)
         return F.struct(
-            x["s"].alias("s"), x["e"].alias("e"), kind.alias("kind"), F.exists(F.col("__base"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])).alias("positive"), x["loose"].alias("loose"),
-            cut(F.length(t), (11, 15, 18, 24)).alias("size"), cut(d, (7, 10, 13, 17)).alias("digits"), cut(F.size(F.split(t, "[^0-9]+")), (2, 3, 4, 5)).alias("groups"),
-            cut(F.length(F.regexp_replace(t, r"[\p{L}0-9\x20]", "")), (1, 2, 3, 4)).alias("marks"), F.when(F.startswith(t, F.lit("+")), 0).when(F.startswith(t, F.lit("(")), 1).when(t.rlike("^[0-9]"), 2).otherwise(3).alias("lead"),
-            side(F.when(x["s"] > 0, F.substr(F.col(text), x["s"], F.lit(1))).otherwise(F.lit(""))).alias("before"), side(F.substr(F.col(text), x["e"] + 1, F.lit(1))).alias("after"),
+            x["s"].alias("s"), x["e"].alias("e"), kind.alias("kind"), of_base.alias("of_base"), label.alias("label"), x["loose"].alias("loose"),
+            cut(F.length(t), (8, 12, 18, 24)).alias("size"), cut(d, (2, 7, 10, 14)).alias("digits"), cut(F.size(F.split(t, "[^0-9]+")), (2, 3, 4, 5)).alias("groups"),
+            cut(F.length(F.regexp_replace(t, r"[\p{L}0-9\x20@]", "")), (1, 2, 4)).alias("marks"),
+            F.when(~t.rlike("[A-Za-z]"), 0).when(~t.rlike("[A-Z]"), 1).when(~t.rlike("[a-z]"), 2).otherwise(3).alias("letters"),
+            F.when(F.startswith(t, F.lit("+")) | F.startswith(t, F.lit("(")), 0).when(t.rlike("^[0-9]"), 1).otherwise(2).alias("lead"),
+            F.when(token, 0).otherwise(side(F.when(x["s"] > 0, F.substr(F.col(text), x["s"], F.lit(1))).otherwise(F.lit("")))).alias("before"),
+            side(F.substr(F.col(text), x["e"] + 1, F.lit(1))).alias("after"),
         )
 
-    return docs.withColumn("__base", base).withColumn("__all", F.concat(*columns)).withColumn("__loose", F.transform("__all", features)).drop("__all")
+    # Base spans are bound once: a column that a lambda refers to may be worked out anew for each element.
+    base = F.struct(*(F.col(f"__{k}").alias(k) for k in KINDS))
+    return docs.withColumn("__loose", let(base, lambda base: F.transform(F.concat(*columns), lambda x: features(x, base))))
 
 
 def fit(cells: list[tuple[tuple[int, ...], float, float]]) -> list[tuple[int, int, tuple, tuple]]:
@@ -206,16 +264,16 @@ def score_column(trees: list, x: Column) -> Column:
 
 
 def train(rows: DataFrame) -> tuple[list, float]:
-    """(trees, threshold) from all proposals of all rows; at most 2 x MOST_CELLS cells are collected."""
-    x = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), F.explode("__loose").alias("x")).select("half", "x.*")
-    cells = x.groupBy("half", *FEATURES).agg(F.sum(F.col("positive").cast("double")).alias("y"), F.count("*").cast("double").alias("n")).collect()
+    """(trees, threshold) from all labelled proposals of all rows; at most 2 x MOST_CELLS cells are collected."""
+    x = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), F.explode("__loose").alias("x")).select("half", "x.*").where("label >= 0")
+    cells = x.groupBy("half", *FEATURES).agg(F.sum(F.col("label").cast("double")).alias("y"), F.count("*").cast("double").alias("n")).collect()
     cells = sorted((r.half or 0, tuple(r[f] for f in FEATURES), r.y, r.n) for r in cells)
     trees = fit([c[1:] for c in cells if c[0] == 0])
     return trees, calibrated(trees, [c[1:] for c in cells if c[0] == 1])
 
 
 def personal_data(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (checked base spans), n_added, base, found for every row.
+    """doc_id, n_email, n_ip, n_card, n_phone (checked base spans), n_added, n_secret (added ones of that kind), base, found for every row.
 
     base and found (base and added spans) are arrays of struct<s, kind_order, e, kind> in order. Null and empty
     texts have none. Repeated rows each get their spans; a null id stays null. Added spans of one document may
@@ -224,7 +282,7 @@ def personal_data(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Da
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     rows = proposals(base_spans(rows, "__text"), "__text")
     trees, threshold = train(rows)
-    order = {k: i for i, k in enumerate(KINDS)}
+    order = {k: i for i, k in enumerate((*KINDS, "secret"))}
 
     def struct(x: Column, kind: Column, n: Column) -> Column:
         return F.struct(x["s"].alias("s"), n.alias("kind_order"), x["e"].alias("e"), kind.alias("kind"))
@@ -235,12 +293,14 @@ def personal_data(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Da
     base = F.concat(*map(of, KINDS))
     number = F.create_map(*(F.lit(v) for kv in order.items() for v in kv))
     if trees and threshold < math.inf:
-        added = F.filter("__loose", lambda x: ~x["positive"] & (score_column(trees, x) >= threshold))
+        # What a check or its own plain shape refutes is not added: bare numbers, and tokens labelled negative.
+        may = lambda x: (x["loose"] == 0) | (x["kind"] == "phone") & (x["lead"] == 0) | (x["loose"] == 2) & (x["label"] != 0)
+        added = F.filter("__loose", lambda x: ~x["of_base"] & may(x) & (score_column(trees, x) >= threshold))
         added = F.transform(added, lambda x: struct(x, x["kind"], number[x["kind"]]))
     else:
         added = F.filter(base, lambda x: F.lit(False))
     out = rows.withColumn("__of_base", F.array_sort(base)).withColumn("__added", added)
-    return out.select("doc_id", *(F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in KINDS), F.size("__added").cast("long").alias("n_added"), F.col("__of_base").alias("base"), F.array_sort(F.concat("__of_base", "__added")).alias("found"))
+    return out.select("doc_id", *(F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in KINDS), F.size("__added").cast("long").alias("n_added"), F.size(F.filter("__added", lambda x: x["kind"] == "secret")).cast("long").alias("n_secret"), F.col("__of_base").alias("base"), F.array_sort(F.concat("__of_base", "__added")).alias("found"))
 
 
 def redacted(docs: DataFrame, found: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -262,7 +322,7 @@ def written_out(spans: Column) -> Column:
 
 def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = personal_data(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(written_out(F.col("base")).cast("binary"), 256).alias("base_sha256"), written_out(F.col("found")).alias("spans"), "n_added")
+    return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(written_out(F.col("base")).cast("binary"), 256).alias("base_sha256"), written_out(F.col("found")).alias("spans"), "n_added", "n_secret", F.size("found").cast("long").alias("n_spans"))
 
 
 QUERIES = {"op3_pii_boosting": op3_pii_boosting}
