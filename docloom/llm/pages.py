@@ -4,13 +4,16 @@ All pages of a host are merged into one tree of element paths (tag with class an
 other). For every path two entropies are measured over the host's m pages:
 
 * presentation: how the child blocks of the element differ from page to page, -sum p log_m p;
-* content: 1 - the mean entropy of its texts, where a text on n pages has entropy log n / log m.
+* content: 1 - the mean entropy of its texts, where a text on n pages has entropy log n / log m; texts that stand
+  in links for the most part count `LINKED` less.
 
 A branch's importance is a mix of both, content taken over all texts in the branch. A host with few pages
 says little, so its importance is shrunk towards that of the same path in the tree of all hosts, by
-m / (m + `PRIOR`). Branches below `LEAST` are removed from each page of the host. What markup states openly
-needs no statistics: navigation, headers, footers, sidebars, forms, scripts and the like are no article,
-whatever they hold. <article> and <main> are a prior: `MARKED` is added to the importance of branches in them, so
+m / (m + `PRIOR`). Branches that are below `LEAST`, with all that is in them, are removed from
+each page of the host. What markup states openly
+needs no statistics, because its text may differ on every page: menus, headers, footers, sidebars, notices,
+adverts, forms, scripts and reader comments are no article, whatever they hold. Names that only hint at it
+(share, related, search and the like) take `HINTED` off the importance. <article> and <main> are a prior: `MARKED` is added to the importance of branches in them, so
 that near copies of an article don't remove it, and what nearly all pages repeat goes there too.
 
 Pages of a host whose texts (those that are no open noise) are all equal count once, so that a copied article
@@ -20,16 +23,20 @@ pages is then summed before its shuffle, with the hash in the key, so that a hos
 no hot key. What comes back
 to the pages is each host's list of branches to remove: sent to all tasks while it has at most `SENT` rows
 (counted first), else joined by host, salted.
+
+A path names its first `DEPTH` elements; deeper ones are told apart by one hash of all that is below, so that rows
+keep a bounded size. Child sequences and long lists of names are hashed whole.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.shared import table, written
@@ -42,8 +49,10 @@ MARKED = 0.35
 GAMMA = 0.9
 SENT = 100_000
 SALT = 32
-#: Levels of a path that are told apart; below, elements count as children of the last one.
-DEPTH = 12
+#: Taken off the content of texts in links, and off the importance of branches with a hinting name.
+LINKED, HINTED = 0.5, 0.2
+#: Levels of a path that are named, and names of an element that are; the rest is hashed.
+DEPTH, NAMES = 12, 6
 
 #: Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,9 +61,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 NOISE = frozenset("head script style noscript template title nav footer aside form iframe button select option textarea svg math canvas object embed dialog menu xmp noembed noframes".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 NOISE_WORDS = frozenset(
-    "ad ads adv advert advertisement adverts advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments disqus respond reply replies "
-    "cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup related recommended share sharing social widget login search pagination pager toolbar skip".split()
+    "menu nav navbar navigation breadcrumb breadcrumbs footer sidebar notice cookie cookies consent ad ads adv advert advertisement adverts advertising sponsor sponsored promo promotion "
+    "comment comments disqus reply replies".split()
 )
+HINTS = frozenset("banner popup modal overlay newsletter subscribe subscription signup related recommended share sharing social widget login search pagination pager toolbar skip gdpr respond".split())
 MAIN = frozenset(("article", "main"))
 #: An opening tag closes these open ones.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -66,10 +76,10 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|
 
 
 class Element:
-    __slots__ = ("children", "depth", "main", "noise", "path", "tag")
+    __slots__ = ("children", "depth", "last", "main", "noise", "path", "tag", "tail")
 
     def __init__(self, tag: str, up: Element | None, attributes: str):
-        self.tag, self.children = tag, []
+        self.tag, self.children, self.last = tag, 0, ""
         names, noise, hidden = [], tag in NOISE, False
         if attributes and tag not in ("html", "body"):
             for name, value in ATTRIBUTE.findall(attributes):
@@ -86,22 +96,42 @@ class Element:
         self.main = main or inside
         self.noise = noise or up is not None and up.noise
         self.depth = 0 if up is None else up.depth + 1
-        own = tag + "".join("." + x for x in sorted({*names})[:6])
-        self.path = own if up is None else f"{up.path}/{own}" if self.depth < DEPTH else up.path
-
-
-def blocks(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
-    """(element, text) of every block that holds text, in page order, and all block elements."""
+        names = sorted({*names})
+        if len(names) > NAMES:
+            hints = [x for x in names if x in HINTS][:1]
+            names = [*names[:NAMES], f"~{zlib.crc32(' '.join(names).encode())}", *hints]
+        own = tag + "".join("." + x for x in names)
+        self.tail = 0 if self.depth < DEPTH else zlib.crc32(own.encode(), up.tail)
+        if up is None:
+            self.path = own
+        elif self.depth < DEPTH:
+            self.path = f"{up.path}/{own}"
+        else:
+            self.path = f"{up.path if self.depth == DEPTH else up.path.rsplit('/', 1)[0]}/~{self.tail}"
+
+    def add(self, tag: str) -> None:
+        """Count a child in: its tag, unless the one before has the same."""
+        if tag != self.last:
+            self.children, self.last = zlib.crc32(tag.encode(), self.children), tag
+
+
+def blocks(page: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
+    """(element, text, whether most of it is in links) of every block that holds text, in page order, and all block elements."""
     root = Element("#", None, "")
     stack, out, elements, held = [root], [], [root], []
     inline_noise: list[str] = []  # open inline elements that hide their text
 
+    link, in_links = False, 0
+
     def flush() -> None:
+        nonlocal in_links
         if held:
-            text = " ".join(_html.unescape("".join(held)).split())
+            raw = "".join(held)
+            text = " ".join(_html.unescape(raw).split())
             held.clear()
             if text:
-                out.append((stack[-1], text))
+                out.append((stack[-1], text, 2 * in_links > len(raw.strip())))
+            in_links = 0
 
     at, n = 0, len(page)
     while at < n:
@@ -109,6 +139,7 @@ def blocks(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
         if lt != at:
             if not inline_noise:
                 held.append(page[at : lt if lt >= 0 else n])
+                in_links += len(held[-1]) if link else 0
             if lt < 0:
                 break
             at = lt
@@ -124,6 +155,8 @@ def blocks(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
         at = m.end()
         close, tag, attributes = m[1], m[2].lower(), m[3]
         if tag in INLINE:
+            if tag == "a":
+                link = not close
             if tag == "br":
                 held.append(" ")
             elif close:
@@ -149,8 +182,7 @@ def blocks(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
             if len(stack) <= k:
                 continue
         element = Element(tag, stack[-1], attributes)
-        if len(stack[-1].children) < 64 and (not stack[-1].children or stack[-1].children[-1] != tag):
-            stack[-1].children.append(tag)
+        stack[-1].add(tag)
         elements.append(element)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -162,7 +194,7 @@ def blocks(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
-    """host, print (hash of all texts), found: one row for pages of a host with equal texts. found has (path, kind: 0 the page has the path, 1 a child sequence, 2 a text, hash); markup that is openly noise is left out."""
+    """host, print (hash of all texts), found: one row for pages of a host with equal texts. found has (path, kind: 0 the page has the path, 1 a child sequence, 2 a text, 3 a text in links, hash); markup that is openly noise is left out."""
     found_type = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32()), ("hash", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +209,8 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
                 for e in elements:
                     if not e.noise:
                         found.add((e.path, 0, 0))
-                        found.add((e.path, 1, hash_of(" ".join(e.children))))
-                own = [(e.path, 2, hash_of(t)) for e, t in texts if not e.noise]
+                        found.add((e.path, 1, e.children))
+                own = [(e.path, 3 if linked else 2, hash_of(t)) for e, t, linked in texts if not e.noise]
                 found.update(own)
                 prints.append(hash_of(" ".join(str(h) for _, _, h in own)))
                 rows.append([{"path": p, "kind": k, "hash": h} for p, k, h in sorted(found)])
@@ -193,6 +225,12 @@ def evidence(distinct: DataFrame, key: list[str]) -> DataFrame:
     return distinct.select(*key, F.explode("found").alias("f")).groupBy(*key, "f.path", "f.kind", "f.hash").agg(F.count("*").alias("n"))
 
 
+def branches(path: str) -> Column:
+    """A path and all that lead to it."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
 def importance(counts: DataFrame, key: list[str]) -> DataFrame:
     """key, path, m (pages), importance of each branch of each tree."""
     pages = counts.where("kind = 0").groupBy(*key, "path").agg(F.sum("n").alias("m"))
@@ -201,31 +239,41 @@ def importance(counts: DataFrame, key: list[str]) -> DataFrame:
     base = F.log(F.greatest(F.col("m"), F.lit(2)))
     share = F.col("n") / F.col("m")
     entropy = F.when(F.col("kind") == 1, -share * F.log(share) / base)
-    repeated = F.when(F.col("kind") == 2, F.log("n") / base * F.col("n"))
-    own = joined.groupBy(*key, "path", "m").agg(F.least(F.lit(1.0), F.coalesce(F.sum(entropy), F.lit(0.0))).alias("presentation"), F.coalesce(F.sum(repeated), F.lit(0.0)).alias("repeated"), F.coalesce(F.sum(F.when(F.col("kind") == 2, F.col("n"))), F.lit(0)).alias("texts"))
-    parts = F.split("path", "/")
-    branches = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    below = own.select(*key, F.explode(branches).alias("path"), "repeated", "texts").groupBy(*key, "path").agg(F.sum("repeated").alias("repeated"), F.sum("texts").alias("texts"))
+    # A text on one page in links counts LINKED, one on all pages 1: what it holds beyond its repetition is worth less.
+    repeated = F.when(F.col("kind") == 2, F.log("n") / base * F.col("n")).when(F.col("kind") == 3, (LINKED + (1 - LINKED) * F.log("n") / base) * F.col("n"))
+    own = joined.groupBy(*key, "path", "m").agg(F.least(F.lit(1.0), F.coalesce(F.sum(entropy), F.lit(0.0))).alias("presentation"), F.coalesce(F.sum(repeated), F.lit(0.0)).alias("repeated"), F.coalesce(F.sum(F.when(F.col("kind") >= 2, F.col("n"))), F.lit(0)).alias("texts"))
+    below = own.select(*key, F.explode(branches("path")).alias("path"), "repeated", "texts").groupBy(*key, "path").agg(F.sum("repeated").alias("repeated"), F.sum("texts").alias("texts"))
     both = own.select(*key, "path", "m", "presentation").join(below, [*key, "path"]).where("texts > 0")
     return both.select(*key, "path", "m", ((1 - GAMMA) * F.col("presentation") + GAMMA * (1 - F.col("repeated") / F.col("texts"))).alias("importance"))
 
 
 def removals(pages: DataFrame) -> DataFrame:
-    """host, path: branches of small importance. The root, html and body are no branches."""
+    """host, path: branches of small importance, and of small importance all through: what wraps an article along with
+    boilerplate stays. The root, html and body are no branches."""
     distinct = written(distinct_pages(pages), "distinct-pages")
     host = importance(written(evidence(distinct, ["host"]), "style-tree"), ["host"])
     once = distinct.groupBy("print").agg(F.min("found").alias("found"))
     every = importance(written(evidence(once, []), "style-tree"), []).select("path", F.col("importance").alias("overall"))
     weight = F.col("m") / (F.col("m") + PRIOR)
-    mixed = host.join(every, "path").withColumn("importance", weight * F.col("importance") + (1 - weight) * F.col("overall"))
+    # Many hosts share a path: paths are sent to all tasks while they are few, else each is there SALT times.
+    every = written(every, "all-hosts")
+    if every.count() <= SENT:
+        joined = host.join(F.broadcast(every), "path", "left")
+    else:
+        salts = every.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        joined = host.withColumn("salt", F.pmod(F.xxhash64("host"), F.lit(SALT)).cast("int")).join(salts, ["path", "salt"], "left")
+    mixed = joined.withColumn("importance", weight * F.col("importance") + (1 - weight) * F.coalesce("overall", "importance"))
     main = F.exists(F.split("path", "/"), lambda t: F.split(t, r"\.")[0].isin(*MAIN))
-    return mixed.where((F.col("importance") + F.when(main, MARKED).otherwise(0.0) < LEAST) & ~F.col("path").rlike("^#(/html)?(/body)?$")).select("host", "path")
+    hinted = F.exists(F.split("path", r"[/.]"), lambda t: t.isin(*HINTS))
+    prior = F.when(main, MARKED).otherwise(0.0) - F.when(hinted, HINTED).otherwise(0.0)
+    scored = mixed.select("host", F.explode(branches("path")).alias("path"), (F.col("importance") + prior).alias("score"))
+    return scored.groupBy("host", "path").agg(F.max("score").alias("score")).where((F.col("score") < LEAST) & ~F.col("path").rlike("^#(/html)?(/body)?$")).select("host", "path")
 
 
 def article(page: str, removed: set[str]) -> str:
     """The texts of blocks that are no noise and in no removed branch, joined by line breaks."""
     out = []
-    for e, text in blocks(page)[0]:
+    for e, text, _ in blocks(page)[0]:
         if not e.noise and not any(e.path == r or e.path.startswith(r + "/") for r in removed):
             out.append(text)
     return "\n".join(out)

@@ -76,3 +76,64 @@ def test_importance_decides_inside_article(spark):
     got = {r.page_id: r.text for r in P.extract(spark.createDataFrame([*(page(i, t) for i, t in texts_of.items()), *near], "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"{t}\nmore {t}" for i, t in texts_of.items())
     assert all(got[1000 + i] == (f"near\none {i}\nnear too" if i < 100 else f"a {i}\nb {i}\nc {i}") for i in range(300))
+
+
+def test_pages_without_telling_markup(spark):
+    """No tag or name tells anything: a menu whose links differ from page to page, boilerplate that repeats, an article."""
+    page = lambda i: f"<div class='qa'><p><a href='/a'>link {i} a</a></p><p><a href='/b'>link {i} b</a> !</p></div><div class='qb'><p>same {i % 2}</p></div><div class='qc'><p>own {i} <a href='/'>see</a> and more words</p><p>end {i}</p></div>"
+    rows = [(i, f"http://h.com/{i}", f"<body>{page(i)}</body>") for i in range(300)]
+    # A hinting name with unlike texts stays in an article and goes where its texts repeat at all.
+    rows += [(1000 + i, f"http://k.com/{i}", f"<body><div class='related'><p>more {i // 3}</p></div><article><p>art {i}</p><div class='widget'><p>figure {i}</p></div></article></body>") for i in range(300)]
+    got = {r.page_id: r.text for r in P.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"own {i} see and more words\nend {i}" for i in range(300))
+    assert all(got[1000 + i] == f"art {i}\nfigure {i}" for i in range(300))
+
+
+def test_importance_against_a_plain_tree(spark, monkeypatch):
+    """Presentation, content and importance of every branch of every host, by loops over pages."""
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    rng, rows = random.Random(4), []
+    for i in range(160):
+        kinds = "".join(f"<div class='{rng.choice(chr(113) + chr(114) + chr(115))}'><p>{rng.choice(('t', 'u'))} {rng.randrange(6)}</p>{'<span><a>go %d</a></span>' % rng.randrange(4) if rng.random() < 0.5 else ''}<ul><li>x {rng.randrange(50)}</li></ul></div>" for _ in range(rng.randrange(1, 4)))
+        rows.append((f"h{i % 3}.com", f"<body>{kinds}</body>"))
+    # Pages of a host with equal texts are one.
+    one = {(h, tuple((e.path, linked, t) for e, t, linked in P.blocks(p)[0])): p for h, p in sorted(rows, reverse=True)}
+    trees = defaultdict(list)
+    for (h, _), p in one.items():
+        trees[h].append(P.blocks(p))
+    want = {}
+    for h, pages in trees.items():
+        found = [({e.path for e in es}, {(e.path, e.children) for e in es}, {(e.path, linked, t) for e, t, linked in ts}) for ts, es in pages]
+        m = Counter(p for f in found for p in f[0])
+        children, texts = Counter(x for f in found for x in f[1]), Counter(x for f in found for x in f[2])
+        for path, n_pages in m.items():
+            base = math.log(max(2, n_pages))
+            presentation = min(1.0, sum(-n / n_pages * math.log(n / n_pages) / base for (p, _), n in children.items() if p == path))
+            below = [(math.log(n) / math.log(max(2, m[p])), linked, n) for (p, linked, _), n in texts.items() if p == path or p.startswith(path + "/")]
+            if total := sum(n for *_, n in below):
+                lost = sum((P.LINKED + (1 - P.LINKED) * x if linked else x) * n for x, linked, n in below)
+                want[h, path] = n_pages, (1 - P.GAMMA) * presentation + P.GAMMA * (1 - lost / total)
+    distinct = P.distinct_pages(spark.createDataFrame(rows, "host string, html string").repartition(3))
+    got = {(r.host, r.path): (r.m, r.importance) for r in P.importance(P.evidence(distinct, ["host"]), ["host"]).collect()}
+    assert got.keys() == want.keys() and len(got) > 30
+    assert all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1], abs_tol=1e-9) for k in want)
+    few = sorted(map(tuple, P.removals(spark.createDataFrame(rows, "host string, html string")).collect()))
+    monkeypatch.setattr(P, "SENT", -1)
+    assert few and sorted(map(tuple, P.removals(spark.createDataFrame(rows, "host string, html string")).collect())) == few
+
+
+def test_nothing_is_cut_in_the_tree(spark):
+    """Twenty levels down, boilerplate and article are told apart; so are ninth names, and children beyond any number."""
+    deep = lambda i, a, b: "<div>" * 20 + f"<p class='q'>{a}</p><section>{b}</section>" + "</div>" * 20
+    rows = [(i, f"http://h.com/{i}", f"<body>{deep(i, 'common', f'own {i}')}</body>") for i in range(300)]
+    names = "k b c d e f g h"
+    rows += [(1000 + i, f"http://n.com/{i}", f"<body><div class='{names} y'><p>common</p></div><div class='{names} z'><p>own {i}</p></div></body>") for i in range(300)]
+    got = {r.page_id: r.text for r in P.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"own {i}" and got[1000 + i] == f"own {i}" for i in range(300))
+    long = lambda end: P.blocks("<body>" + "<p>a</p><i>b</i><div>c</div>" * 500 + end)[1]
+    assert next(e.children for e in long("<p>z") if e.tag == "body") != next(e.children for e in long("<ul>z") if e.tag == "body")
+    text = " ".join(f"w{i}" for i in range(400_000))
+    assert P.article(f"<article><p>{text}</p></article>", set()) == text
