@@ -44,10 +44,7 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
 
 def is_boilerplate(text: Column) -> Column:
     cleaned = F.regexp_replace(F.lower(text), r"[^A-Za-z0-9_\s]", "")
-    out = F.lit(False)
-    for word in BOILERPLATE:
-        out = out | F.contains(cleaned, F.lit(word))
-    return F.coalesce(out, F.lit(False))
+    return F.coalesce(cleaned.rlike("|".join(BOILERPLATE)), F.lit(False))
 
 
 def extract_dob(text: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.text import let, once
+
 #: Known document types, sizes in millimetres.
 DOCUMENT_TYPES = (
     ("aadhaar", "Aadhaar Card", 85.6, 53.98, 1.588),
@@ -98,19 +100,26 @@ def corner_geometry_ok(c: Column) -> Column:
 
 def document_geometry_ok(corners: Column, expected: Column | None = None) -> Column:
     """A near-rectangle: opposite sides alike, area and perimeter those of a rectangle of mean sides, angles 45..135 degrees, aspect within 35 % of an expected one."""
-    p = [F.get(order_corners(corners), k) for k in range(4)]
-    s = [distance(p[k], p[(k + 1) % 4]) for k in range(4)]
-    w, h = (s[0] + s[2]) / 2, (s[1] + s[3]) / 2
-    ok = (F.least(s[0], s[2]) / F.greatest(s[0], s[2]) >= 0.7) & (F.least(s[1], s[3]) / F.greatest(s[1], s[3]) >= 0.7)
-    ok = ok & (area(F.array(*p)) / (w * h)).between(0.8, 1.2) & ((s[0] + s[1] + s[2] + s[3]) / (2 * (w + h))).between(0.9, 1.1)
-    for k in range(4):
-        a, b, c = p[k], p[(k + 1) % 4], p[(k + 2) % 4]
-        dot = (a["x"] - b["x"]) * (c["x"] - b["x"]) + (a["y"] - b["y"]) * (c["y"] - b["y"])
-        cos = dot / (distance(a, b) * distance(b, c))
-        ok = ok & F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))).between(45, 135)
-    if expected is not None:
-        ok = ok & F.when(expected > 0, F.abs(w / h - expected) < 0.35 * expected).otherwise(True)
-    return F.coalesce(ok, F.lit(False))
+
+    def of_corners(c: Column) -> Column:
+        p = [F.get(c, k) for k in range(4)]
+        sides = F.struct(*(distance(p[k], p[(k + 1) % 4]).alias(f"s{k}") for k in range(4)))
+        return let(sides, lambda sides: of_sides(c, p, [sides[f"s{k}"] for k in range(4)]))
+
+    def of_sides(ring: Column, p: list[Column], s: list[Column]) -> Column:
+        w, h = (s[0] + s[2]) / 2, (s[1] + s[3]) / 2
+        ok = (F.least(s[0], s[2]) / F.greatest(s[0], s[2]) >= 0.7) & (F.least(s[1], s[3]) / F.greatest(s[1], s[3]) >= 0.7)
+        ok = ok & (area(ring) / (w * h)).between(0.8, 1.2) & ((s[0] + s[1] + s[2] + s[3]) / (2 * (w + h))).between(0.9, 1.1)
+        for k in range(4):
+            a, b, c = p[k], p[(k + 1) % 4], p[(k + 2) % 4]
+            dot = (a["x"] - b["x"]) * (c["x"] - b["x"]) + (a["y"] - b["y"]) * (c["y"] - b["y"])
+            cos = dot / (s[k] * s[(k + 1) % 4])
+            ok = ok & F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))).between(45, 135)
+        if expected is not None:
+            ok = ok & F.when(expected > 0, F.abs(w / h - expected) < 0.35 * expected).otherwise(True)
+        return ok
+
+    return F.coalesce(let(order_corners(corners), of_corners), F.lit(False))
 
 
 def rectangle_in_frame_ok(c: Column, width: Column, height: Column) -> Column:
@@ -123,14 +132,16 @@ def rectangle_in_frame_ok(c: Column, width: Column, height: Column) -> Column:
 
 def match_document_type(quads: DataFrame, types: DataFrame, tolerance: float = 0.15, mode: str = "absolute", best: bool = True) -> DataFrame:
     """quads (with `detected`, width over height) with the types whose ratio is near: within `tolerance`, or with mode "relative" under that share of the expected ratio; a type without a ratio passes. `best`: only the nearest, the first by id among equals."""
-    gap = F.abs(F.col("detected") - F.col("aspect_ratio"))
-    near = gap <= tolerance if mode == "absolute" else gap < tolerance * F.col("aspect_ratio")
-    pairs = quads.crossJoin(F.broadcast(types.select(F.col("id").alias("type_id"), "aspect_ratio"))).where(near | F.col("aspect_ratio").isNull() | (F.col("aspect_ratio") <= 0)).withColumn("gap", gap)
-    if not best:
-        return pairs
-    keys = quads.columns
-    first = pairs.groupBy("frame_id").agg(F.min_by(F.struct(*(c for c in pairs.columns if c != "frame_id")), F.struct("gap", "type_id")).alias("b"))
-    return first.select("frame_id", "b.*").select(*keys, "type_id", "aspect_ratio", "gap")
+    def tried(t: Column) -> Column:
+        gap = F.abs(F.col("detected") - t["aspect_ratio"])
+        near = gap <= tolerance if mode == "absolute" else gap < tolerance * t["aspect_ratio"]
+        return F.when(near | t["aspect_ratio"].isNull() | (t["aspect_ratio"] <= 0), F.struct(gap.alias("gap"), t["type_id"].alias("type_id"), t["aspect_ratio"].alias("aspect_ratio")))
+
+    # The types are one row, which every quad tries inside its own row: no shuffle, and each quad of a frame keeps its own.
+    known = types.agg(F.collect_list(F.struct(F.col("id").alias("type_id"), "aspect_ratio")).alias("__types"))
+    fits = F.array_compact(F.transform("__types", tried))
+    rows = quads.crossJoin(F.broadcast(known)).withColumn("__t", F.explode(F.filter(F.array(F.array_min(fits)), lambda t: t.isNotNull()) if best else fits))
+    return rows.select(*quads.columns, "__t.type_id", "__t.aspect_ratio", "__t.gap")
 
 
 def scan_region(df: DataFrame, aspect: str = "aspect_ratio", width: str = "frame_width", height: str = "frame_height", rotation: str | None = None) -> DataFrame:
@@ -181,12 +192,12 @@ def rescale_points(points: Column, ratio: Column | float, offset_x: Column | flo
 
 def contour_metrics(contours: DataFrame) -> DataFrame:
     """contours with c_area, c_perimeter, c_box_area, rectangularity, box_aspect, position (1 in the frame's middle, 0 in its corner)."""
-    b = F.col("__b")
-    rows = contours.withColumn("__b", bounds(F.col("points"))).withColumns({"c_area": area(F.col("points")), "c_perimeter": perimeter(F.col("points"))})
+    b = F.col("__m.b")
+    rows = once(contours, "__m", F.struct(bounds(F.col("points")).alias("b"), area(F.col("points")).alias("a"), perimeter(F.col("points")).alias("p")))
     w, h = F.col("frame_width"), F.col("frame_height")
     dx, dy = b["x"] + b["w"] / 2 - w / 2, b["y"] + b["h"] / 2 - h / 2
-    rows = rows.withColumns({"c_box_area": b["w"] * b["h"], "box_aspect": b["w"] / b["h"], "position": 1 - F.sqrt(dx * dx + dy * dy) / F.sqrt(w * w / 4 + h * h / 4)})
-    return rows.withColumn("rectangularity", F.col("c_area") / F.col("c_box_area")).drop("__b")
+    rows = rows.withColumns({"c_area": F.col("__m.a"), "c_perimeter": F.col("__m.p"), "c_box_area": b["w"] * b["h"], "box_aspect": b["w"] / b["h"], "position": 1 - F.sqrt(dx * dx + dy * dy) / F.sqrt(w * w / 4 + h * h / 4)})
+    return rows.withColumn("rectangularity", F.col("c_area") / F.col("c_box_area")).drop("__m")
 
 
 def filter_contours(contours: DataFrame) -> DataFrame:

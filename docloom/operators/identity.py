@@ -9,20 +9,25 @@ from docloom.functions.text import FIELDS, SPACE, is_boilerplate, let, once, tri
 from docloom.operators.matching import center_x, center_y
 
 
-def identity(blocks: Column) -> dict[str, Column]:
-    """For each field the value of the first block that yields it, '' without one; boilerplate blocks are skipped."""
+def facts(blocks: Column) -> Column:
+    """Blocks with what several steps ask of them: text, low (the text in lower case), boundingBox."""
+    return F.transform(blocks, lambda b: F.struct(b["text"].alias("text"), F.lower(b["text"]).alias("low"), b["boundingBox"].alias("boundingBox")))
+
+
+def identity(blocks: Column) -> Column:
+    """A struct with, for each field, the value of the first block that yields it, '' without one; boilerplate blocks are skipped. Each block is read once for all fields."""
     useful = F.filter(blocks, lambda b: b["text"].isNotNull() & (b["text"] != "") & ~is_boilerplate(b["text"]))
+    read = F.transform(useful, lambda b: F.struct(*(of(b["text"]).alias(n) for n, of in FIELDS.items())))
 
-    def first(of: callable) -> Column:
-        values = F.filter(F.transform(useful, lambda b: of(b["text"])), lambda v: v.isNotNull() & (v != ""))
-        return F.coalesce(F.get(values, 0), F.lit(""))
+    def first(found: Column, name: str) -> Column:
+        return F.coalesce(F.get(F.filter(found, lambda v: v[name].isNotNull() & (v[name] != "")), 0)[name], F.lit(""))
 
-    return {name: first(of) for name, of in FIELDS.items()}
+    return let(F.coalesce(read, F.array()), lambda found: F.struct(*(first(found, n).alias(n) for n in FIELDS)))
 
 
 def extract_identity_fields(scans: DataFrame) -> DataFrame:
     """scan_id, name, date_of_birth, gender, id_number."""
-    return scans.select("scan_id", *(c.alias(n) for n, c in identity(F.col("blocks")).items()))
+    return once(scans, "__i", identity(F.col("blocks"))).select("scan_id", "__i.*")
 
 
 def extract_identity_fields_flat(blocks: DataFrame) -> DataFrame:
@@ -64,31 +69,35 @@ def template_layout_flags(templates: DataFrame) -> DataFrame:
     )
 
 
-def flags(blocks: Column) -> dict[str, Column]:
-    """The same flags from recognised text."""
-    seen = F.filter(blocks, lambda b: b["boundingBox"].isNotNull() & b["text"].isNotNull() & (b["text"] != ""))
+def flags(blocks: Column) -> Column:
+    """A struct of the same flags from recognised text, of blocks with `facts`."""
     box = lambda b: b["boundingBox"]
-    low = lambda b: F.lower(b["text"])
-    has = lambda b, word: F.contains(low(b), F.lit(word))
-    issue = F.filter(seen, lambda b: has(b, "aadhaar") & (has(b, "issued") | low(b).rlike(r"\d{4}")))
-    header = F.filter(seen, lambda b: has(b, "government") | has(b, "india"))
-    left_issue = F.exists(issue, lambda b: (box(b)["bottom"] - box(b)["top"] > box(b)["right"] - box(b)["left"]) & (box(b)["left"] < 50))
-    wide = (F.size(issue) > 0) & left_issue & F.coalesce(box(F.try_element_at(header, F.lit(-1)))["left"] > 200, F.lit(False))
-    return {
-        "left_issue": left_issue,
-        "top_right": F.exists(seen, lambda b: (box(b)["top"] < 100) & (box(b)["left"] > 500)),
-        "wide": wide,
-        "compact": F.exists(seen, lambda b: (box(b)["left"] < 50) & trimmed(b["text"]).rlike(r"^\d+[A-Z]*\d*$") & (F.length(b["text"]) >= 6)),
-    }
+    has = lambda b, word: F.contains(b["low"], F.lit(word))
+    seen = F.filter(F.coalesce(blocks, F.array()), lambda b: b["boundingBox"].isNotNull() & b["text"].isNotNull() & (b["text"] != ""))
+
+    def of(seen: Column) -> Column:
+        issue = F.filter(seen, lambda b: has(b, "aadhaar") & (has(b, "issued") | b["low"].rlike(r"\d{4}")))
+        return let(issue, lambda issue: told(seen, issue))
+
+    def told(seen: Column, issue: Column) -> Column:
+        header = F.filter(seen, lambda b: has(b, "government") | has(b, "india"))
+        left_issue = F.exists(issue, lambda b: (box(b)["bottom"] - box(b)["top"] > box(b)["right"] - box(b)["left"]) & (box(b)["left"] < 50))
+        wide = left_issue & F.coalesce(box(F.try_element_at(header, F.lit(-1)))["left"] > 200, F.lit(False))
+        short = lambda b: (box(b)["left"] < 50) & (F.length(b["text"]) >= 6) & trimmed(b["text"]).rlike(r"^\d+[A-Z]*\d*$")
+        found = {"left_issue": left_issue, "top_right": F.exists(seen, lambda b: (box(b)["top"] < 100) & (box(b)["left"] > 500)), "wide": wide, "compact": F.exists(seen, short)}
+        return F.struct(*(F.coalesce(c, F.lit(False)).alias(n) for n, c in found.items()))
+
+    return let(seen, of)
 
 
 def scan_layout_flags(scans: DataFrame) -> DataFrame:
-    return scans.select("scan_id", *(F.coalesce(c, F.lit(False)).alias(n) for n, c in flags(F.col("blocks")).items()))
+    return once(scans, "__f", flags(facts(F.col("blocks")))).select("scan_id", "__f.*")
 
 
-def _base(kind: str, text: Column) -> Column | None:
+def _base(kind: str, block: Column) -> Column | None:
     """A recognised text's score for a block type; null for a type that has none."""
-    has = lambda word: F.contains(F.lower(text), F.lit(word))
+    text = block["text"]
+    has = lambda word: F.contains(block["low"], F.lit(word))
     date = r"\d{1,2}[/\-.]\d{1,2}[/\-.]\d{4}"
     tests = {
         "issued_on": (0.8, has("aadhaar") | text.rlike(r"\d{2}[/\-.]\d{2}[/\-.]\d{4}") | text.rlike(r"\d{8}")),
@@ -109,7 +118,7 @@ def _card_content(blocks: Column, template: dict) -> Column:
 
     def score(t: dict) -> callable:
         def of(b: Column) -> Column:
-            base = _base(t["blockType"], b["text"])
+            base = _base(t["blockType"], b)
             if base is None:
                 return F.lit(0.0)
             return let(base, lambda s: placed(s, b)) if t["boundingBox"] else base
@@ -130,19 +139,19 @@ def _card_content(blocks: Column, template: dict) -> Column:
 
 def with_id_scores(scans: DataFrame, templates: list[dict]) -> DataFrame:
     """scans with the identity fields and scores: array of struct<template_index, score>."""
-    rows = scans
-    known = {f"__{n}": F.coalesce(c, F.lit(False)) for n, c in flags(F.col("blocks")).items()} | identity(F.col("blocks"))
-    rows = once(rows, "__k", F.struct(*(c.alias(n) for n, c in known.items()))).select("*", "__k.*").drop("__k")
+    rows = once(scans, "__facts", facts(F.col("blocks")))
+    rows = once(rows, "__k", F.struct(flags(F.col("__facts")).alias("f"), identity(F.col("__facts")).alias("i")))
+    rows = rows.select("*", *(F.col(f"__k.f.{n}").alias(f"__{n}") for n in ("left_issue", "top_right", "wide", "compact")), "__k.i.*").drop("__k")
     bonus = sum((F.when(F.col(n) != "", w).otherwise(0.0) for n, w in (("name", 0.08), ("date_of_birth", 0.08), ("gender", 0.07), ("id_number", 0.07))), F.lit(0.0))
     entries = []
     for t in templates:
         own = template_flags(t)
         layout = sum((F.when(F.col(f"__{n}") == own[n], 0.25).otherwise(0.0) for n in ("left_issue", "compact", "wide", "top_right")), F.lit(0.0))
         kind = {"printout": F.col("__wide"), "card": F.col("__compact")}.get(t["format"], F.lit(False))
-        score = (layout + _card_content(F.col("blocks"), t) + bonus + F.when(kind, 0.2).otherwise(0.0)) / 2.5
+        score = (layout + _card_content(F.col("__facts"), t) + bonus + F.when(kind, 0.2).otherwise(0.0)) / 2.5
         entries.append(F.struct(F.lit(t["template_index"]).alias("template_index"), score.alias("score")))
     out = F.array(*entries) if entries else F.array().cast("array<struct<template_index:int,score:double>>")
-    return once(rows, "scores", out).drop("__left_issue", "__top_right", "__wide", "__compact")
+    return once(rows, "scores", out).drop("__left_issue", "__top_right", "__wide", "__compact", "__facts")
 
 
 def id_template_score(scans: DataFrame, templates: list[dict]) -> DataFrame:

@@ -163,8 +163,8 @@ def document_bounds(matches: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def crop(images: DataFrame, boxes: DataFrame) -> DataFrame:
-    """image_id, image cut to its box (x, y, width, height); boxes without area yield nothing. Boxes are sent to the images."""
-    rows = images.select("image_id", "image").join(F.broadcast(boxes.where("width > 0 AND height > 0")), "image_id")
+    """image_id, image cut to its box (x, y, width, height); boxes without area yield nothing. Boxes grow with the images, so the join is left to the planner."""
+    rows = images.select("image_id", "image").join(boxes.where("width > 0 AND height > 0"), "image_id")
 
     def of(row: object, a: np.ndarray) -> list[tuple]:
         return [(row.image_id, _packed(a[row.y : row.y + row.height, row.x : row.x + row.width], row.image["origin"]))]

@@ -8,7 +8,7 @@ shuffle (`nest`).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.rules import checked_rules, rule_confidence, rule_extract
@@ -198,7 +198,11 @@ def unmatched_documents(scans: DataFrame, results: DataFrame) -> DataFrame:
 
 def extraction_report(results: DataFrame) -> DataFrame:
     """format, field, documents, filled, fill_rate, mean_score: how often each format's documents yield each field."""
-    per = results.groupBy("format").agg(F.count("*").alias("documents"), F.avg("match_score").alias("mean_score"))
-    filled = results.select("format", F.explode("fields").alias("field", "value")).where("value <> ''").groupBy("format", "field").agg(F.count("*").alias("filled"))
-    # One row for each format and field: both sides are aggregates of a handful of rows.
-    return filled.join(per, "format").select("format", "field", "documents", "filled", (F.col("filled") / F.col("documents")).alias("fill_rate"), "mean_score")
+    # One pass: a document is a row of its own (without a field) next to its fields.
+    none = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
+    rows = results.select("format", "match_score", F.explode(F.concat(none, F.coalesce(F.map_entries("fields"), F.array().cast("array<struct<key:string,value:string>>")))).alias("e"))
+    counts = rows.groupBy("format", F.col("e.key").alias("field")).agg(F.count("*").alias("rows"), F.count_if(F.col("e.value") != "").alias("filled"), F.avg("match_score").alias("mean"))
+    # Of a handful of rows, a format's document row tells all its field rows.
+    every, document = Window.partitionBy("format"), F.col("field").isNull()
+    told = counts.withColumns({"documents": F.max(F.when(document, F.col("rows"))).over(every), "mean_score": F.max(F.when(document, F.col("mean"))).over(every)})
+    return told.where("field IS NOT NULL AND filled > 0 AND format IS NOT NULL").select("format", "field", "documents", "filled", (F.col("filled") / F.col("documents")).alias("fill_rate"), "mean_score")

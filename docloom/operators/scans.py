@@ -33,12 +33,10 @@ def validation_errors() -> Column:
 
     def element(j: Column, i: Column) -> callable:
         def of(e: Column, k: Column) -> Column:
-            place = F.concat(F.lit("element "), text(k), F.lit(" in line "), text(j), F.lit(" of block "), text(i))
             whole = F.concat(F.lit("Element "), text(k), F.lit(" in line "), text(j), F.lit(" of block "), text(i), F.lit(" is not an object"))
             # A box's message puts "of line" and "in block" the other way round.
             box = F.concat(F.lit("Invalid boundingBox in element "), text(k), F.lit(" of line "), text(j), F.lit(" in block "), text(i))
             found = F.array_compact(F.array(F.when(~_box_ok(e["boundingBox"]), box), F.when(e["cornerPoints"].isNull(), F.concat(F.lit("Missing or invalid cornerPoints array in "), _of(k, j, i))), F.when(e["text"].isNull(), F.concat(F.lit("Missing or invalid text property in "), _of(k, j, i)))))
-            del place
             return F.when(e.isNull(), F.array(whole)).otherwise(found)
 
         return of

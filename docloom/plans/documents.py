@@ -207,10 +207,22 @@ ids AS (SELECT scan_id, cc.tidx AS template_index, format, (0.25::DOUBLE * (CAST
   + CASE WHEN format = 'printout' AND wide OR format = 'card' AND compact THEN 0.2::DOUBLE ELSE 0 END) / 2.5::DOUBLE AS score, name, date_of_birth, gender, id_number FROM cc JOIN flags USING (scan_id) JOIN ident USING (scan_id) JOIN tf ON tf.tidx = cc.tidx)""")
 
 
-@query(f", {_TFLAGS} SELECT tidx AS template_index, a AS left_issue, b AS top_right, c AS wide, d AS compact, (SELECT count(*) FROM sb) AS blocks FROM tf")
+_KINDS = ("government_name", "user_full_name", "user_dob", "user_gender", "user_aadhar_no", "issued_on", "aadhar_info")
+
+
+def scan_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template for each derived scan: the same boxes, with block types by position."""
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), F.col("block_pos") + 1)
+    block = F.struct("block_pos", kind.alias("blockType"), F.struct("left", "top", "right", "bottom").alias("boundingBox"))
+    rows = scan_blocks(spark, sf_dir).groupBy(F.col("scan_id").alias("template_index")).agg(F.array_sort(F.collect_list(block)).alias("b"))
+    return rows.select("template_index", F.transform("b", lambda x: F.struct(x["blockType"].alias("text"), x["blockType"].alias("blockType"), x["boundingBox"].alias("boundingBox"))).alias("blocks"))
+
+
+@query(""", per AS (SELECT scan_id, bool_or(block_pos = 5 AND bottom_ - top_ > right_ - left_ AND left_ < 50) AS left_issue, bool_or(top_ < 100 AND left_ > 500) AS top_right,
+  bool_or(block_pos = 5) AND bool_or(block_pos = 0) AS paired, coalesce(max(CASE WHEN block_pos = 0 THEN left_ END), 0) AS header_left FROM sb GROUP BY scan_id)
+SELECT scan_id AS template_index, left_issue, top_right, paired AND left_issue AND header_left > 180 AS wide, paired AND NOT (left_issue AND header_left > 180) AND header_left < 250 AS compact FROM per""")
 def l8_template_layout_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([{"template_index": t["template_index"], "blocks": t["blocks"]} for t in TEMPLATES], "template_index int, blocks array<struct<text:string,blockType:string,boundingBox:struct<left:double,top:double,right:double,bottom:double>>>")
-    return identity.template_layout_flags(rows).crossJoin(F.broadcast(scan_blocks(spark, sf_dir).agg(F.count("*").alias("blocks"))))
+    return identity.template_layout_flags(scan_templates(spark, sf_dir))
 
 
 @query(_ID_SCORES + " SELECT scan_id, CAST(template_index AS INT) AS template_index, round(score, 6) AS score FROM ids")
@@ -257,3 +269,40 @@ def p1_validate_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(" SELECT scan_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY block_pos) - 1 AS INT) AS block_pos, text, left_ AS left FROM sb")
 def p2_explode_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.explode_blocks(nested(spark, sf_dir)).select("scan_id", "block_pos", "block.text", "block.boundingBox.left")
+
+
+def lined_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived scans in which every word is a line, and every letter of it an element."""
+    none = F.lit(None).cast("struct<left:double,top:double,right:double,bottom:double>").alias("boundingBox")
+    letters = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.struct(F.substr(w, i, F.lit(1)).alias("text"), none))
+    lines = lambda t: F.transform(F.split(t, " "), lambda w: F.struct(w.alias("text"), none, letters(w).alias("elements")))
+    return nested(spark, sf_dir).withColumn("blocks", F.transform("blocks", lambda b: F.struct(b["text"].alias("text"), lines(b["text"]).alias("lines"))))
+
+
+_LINES = ", w AS (SELECT scan_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY block_pos) - 1 AS INT) AS block_pos, string_split(text, ' ') AS w FROM sb), ln AS (SELECT scan_id, block_pos, CAST(unnest(range(len(w))) AS INT) AS line_pos, unnest(w) AS text FROM w)"
+
+
+@query(_LINES + " SELECT scan_id, block_pos, line_pos, text FROM ln")
+def p2_explode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.explode_lines(lined_scans(spark, sf_dir)).select("scan_id", "block_pos", "line_pos", "line.text")
+
+
+@query(_LINES + " SELECT scan_id, block_pos, line_pos, CAST(unnest(range(length(text))) AS INT) AS element_pos, unnest(string_split(text, '')) AS text FROM ln")
+def p2_explode_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.explode_elements(lined_scans(spark, sf_dir)).select("scan_id", "block_pos", "line_pos", "element_pos", "element.text")
+
+
+_RAW = """SELECT CAST(o_orderkey AS INT) AS k, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE concat('f', CAST(o_orderkey % 3 AS {text})) END AS format, CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE CAST(o_orderkey % 7 AS INT) END AS format_id,
+  CASE WHEN o_orderkey % 5 <> 0 THEN concat('n', CAST(o_orderkey % 2 AS {text})) WHEN o_orderkey % 10 = 0 THEN '' END AS inner_format, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 4 AS INT) END AS inner_id FROM """
+
+
+@query(f", raw AS ({_RAW.format(text='VARCHAR')} orders) SELECT k AS template_index, coalesce(nullif(format, ''), nullif(inner_format, ''), 'unknown') AS format, coalesce(nullif(format_id, 0), nullif(inner_id, 0), 0) AS format_id, CAST(CASE k % 6 WHEN 0 THEN CASE WHEN inner_format IS NULL THEN 0 ELSE 2 END WHEN 1 THEN 0 ELSE 1 END AS INT) AS n_blocks FROM raw")
+def p3_normalize_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template for each order; a third of them have their parts under textRecognition only."""
+    raw = spark.sql(_RAW.format(text="STRING") + "{orders}", orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    box = "array<struct<text:string,blockType:string,boundingBox:struct<left:double,top:double,right:double,bottom:double>>>"
+    some = lambda n: F.array_repeat(F.struct(F.lit("t").alias("text"), F.lit("user_dob").alias("blockType"), F.lit(None).cast("struct<left:double,top:double,right:double,bottom:double>").alias("boundingBox")), n).cast(box)
+    inner = F.when(F.col("inner_format").isNotNull(), F.struct(some(2).alias("blocks"), F.col("inner_format").alias("format"), F.col("inner_id").alias("formatId")))
+    blocks = F.when(F.col("k") % 6 == 1, some(0)).when(F.col("k") % 6 > 1, some(1))
+    rows = raw.select(F.col("k").alias("template_index"), "format", F.col("format_id").alias("formatId"), blocks.alias("blocks"), inner.alias("textRecognition"), F.lit(None).cast("map<string,string>").alias("extractionRules"))
+    return scans.normalize_templates(rows).select("template_index", "format", "format_id", F.size("blocks").alias("n_blocks"))
