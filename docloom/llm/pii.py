@@ -64,14 +64,13 @@ def spans_of(text: Column, pattern: str) -> Column:
 
     Places are running sums of the lengths of matches and of the gaps before them. They are added up in runs of RUN
     matches, then over the runs, so that a text with very many matches takes little more than its share."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))), lambda t, g: F.struct(g.alias("g"), t.alias("t")))
-    pairs = F.filter(pairs, lambda x: x["t"].isNotNull())
+    none = F.array().cast("array<struct<s:int,e:int,t:string>>")
 
-    def summed(pairs: Column) -> Column:
-        none = F.array().cast("array<struct<s:int,e:int,t:string>>")
+    def paired(found: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        return F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda t, g: F.struct(g.alias("g"), t.alias("t")))
 
+    def summed(pairs: Column) -> Column:
         def step(acc: Column, x: Column) -> Column:
             s = acc["at"] + x["g"]
             e = s + F.length(x["t"])
@@ -79,14 +78,18 @@ def spans_of(text: Column, pattern: str) -> Column:
 
         return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
 
-    def in_runs(pairs: Column) -> Column:
+    def placed(pairs: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.size(pairs), F.lit(RUN)), lambda i: summed(F.slice(pairs, i, F.lit(RUN))))
-        ends = F.array().cast("array<int>")
-        at = F.aggregate(runs, F.struct(F.lit(0).alias("at"), ends.alias("out")), lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-        moved = F.zip_with(runs, at, lambda r, a: F.transform(r["out"], lambda x: F.struct((x["s"] + a).alias("s"), (x["e"] + a).alias("e"), x["t"].alias("t"))))
-        return F.flatten(moved)
+        return let(runs, moved)
+
+    def moved(runs: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        at = F.aggregate(runs, begin, lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(runs, at, lambda r, a: F.transform(r["out"], lambda x: F.struct((x["s"] + a).alias("s"), (x["e"] + a).alias("e"), x["t"].alias("t")))))
 
-    return let(pairs, lambda p: F.when(F.size(p) <= RUN, summed(p)["out"]).otherwise(in_runs(p)))
+    # Most texts have no match: they are looked through once.
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(found, lambda f: F.when(F.size(f) == 0, none).otherwise(let(paired(f), placed)))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -265,7 +268,8 @@ def score_column(trees: list, x: Column) -> Column:
 
 def train(rows: DataFrame) -> tuple[list, float]:
     """(trees, threshold) from all labelled proposals of all rows; at most 2 x MOST_CELLS cells are collected."""
-    x = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), F.explode("__loose").alias("x")).select("half", "x.*").where("label >= 0")
+    # Not explode: the optimizer would first ask whether the array has elements, and work it out twice for it.
+    x = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), F.explode_outer("__loose").alias("x")).select("half", "x.*").where("label >= 0")
     cells = x.groupBy("half", *FEATURES).agg(F.sum(F.col("label").cast("double")).alias("y"), F.count("*").cast("double").alias("n")).collect()
     cells = sorted((r.half or 0, tuple(r[f] for f in FEATURES), r.y, r.n) for r in cells)
     trees = fit([c[1:] for c in cells if c[0] == 0])
