@@ -234,6 +234,8 @@ def branches(path: str) -> Column:
 def importance(counts: DataFrame, key: list[str]) -> DataFrame:
     """key, path, m (pages), importance of each branch of each tree."""
     pages = counts.where("kind = 0").groupBy(*key, "path").agg(F.sum("n").alias("m"))
+    # Most texts stand under a few paths, which would be hot keys of a shuffle join.
+    pages = F.broadcast(pages) if pages.count() <= SENT else pages
     joined = counts.where("kind > 0").groupBy(*key, "path", "kind", "hash").agg(F.sum("n").alias("n")).join(pages, [*key, "path"])
     # log base m; on one page nothing can differ or repeat, which says nothing: no presentation, full content.
     base = F.log(F.greatest(F.col("m"), F.lit(2)))
