@@ -7,8 +7,9 @@ universe is listed exactly if the first level that it fails has an even number.
 in each row, without a join, and without an error.
 
 All steps are DataFrame functions. A level's bits are gathered by a grouped bit_or into words of 64 bits and
-become a binary literal of the expression; a level takes `BITS_A_KEY` bits a key, and a cascade above
-`MOST_BITS` isn't sent to every task: then keys meet the list in a semi-join.
+become a binary literal of the expression. A level takes `BITS_A_KEY` bits a key; where one would exceed
+`MOST_BITS`, the universe is split by a hash of the key into parts with a cascade each, and the rows are
+tested against one part after the other, so that what is sent to a task stays bounded.
 """
 
 from __future__ import annotations
@@ -65,14 +66,28 @@ def encode(keys: DataFrame, count: int, level: int) -> bytes:
     return bytes(out)
 
 
-def cascade(universe: DataFrame, listed: DataFrame) -> list[bytes] | None:
-    """Levels over a universe of distinct keys; None if the first would exceed MOST_BITS."""
-    marked = written(universe.join(listed.select("key", F.lit(True).alias("is_listed")).distinct(), "key", "left").select("key", F.coalesce("is_listed", F.lit(False)).alias("is_listed")), "keys")
+def marked_keys(universe: DataFrame, listed: DataFrame) -> DataFrame:
+    """The universe of distinct keys with is_listed."""
+    return written(universe.join(listed.select("key", F.lit(True).alias("is_listed")).distinct(), "key", "left").select("key", F.coalesce("is_listed", F.lit(False)).alias("is_listed")), "keys")
+
+
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts))
+
+
+def parts_needed(marked: DataFrame) -> int:
+    """How many cascades keep every level within MOST_BITS: level 1 holds the listed keys, level 2 the share of the others that passes it wrongly; those after are smaller."""
+    n = marked.agg(F.count_if("is_listed").alias("inside"), F.count_if(~F.col("is_listed")).alias("outside")).first()
+    wrong = (1 - math.exp(-HASHES / BITS_A_KEY)) ** HASHES
+    # Parts differ in size: a quarter of the bound is left for that.
+    return max(1, math.ceil(max(n.inside, n.outside * wrong) * BITS_A_KEY / (MOST_BITS * 0.75)))
+
+
+def cascade(marked: DataFrame) -> list[bytes]:
+    """Levels over keys with is_listed."""
     inside, outside = marked.where("is_listed").select("key"), marked.where("NOT is_listed").select("key")
     levels: list[bytes] = []
     while n := inside.count():
-        if n * BITS_A_KEY > MOST_BITS:
-            return None
         levels.append(encode(inside, n, len(levels)))
         inside, outside = outside.where(has(F.col("key"), levels[-1], len(levels) - 1)), inside
     return levels
@@ -104,15 +119,19 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple = RULES, url:
     """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(id).alias("page_id"), host.alias("host"), path.alias("path"))
-    hosts = rows.select("host").distinct()
-    universe = hosts.select(F.explode(keys_of(F.col("host"))).alias("key")).distinct()
+    universe = rows.select("host").distinct().select(F.explode(keys_of(F.col("host"))).alias("key")).distinct()
     listed = listed.where("key IS NOT NULL").select("key")
-    levels = cascade(universe, listed)
-    if levels is None:
-        met = hosts.select("host", F.explode(keys_of(F.col("host"))).alias("key")).join(listed.distinct(), "key", "left_semi").select("host").distinct().withColumn("blocked", F.lit(True))
-        rows = rows.join(met, "host", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
-    else:
-        rows = rows.withColumn("blocked", F.exists(keys_of(F.col("host")), lambda k: is_listed(k, levels)))
+    marked = marked_keys(universe, listed)
+    parts, rows = parts_needed(marked), rows.withColumn("blocked", F.lit(False))
+    for part in range(parts):
+        mine = lambda k, part=part: part_of(k, parts) == part
+        levels = cascade(marked.where(mine(F.col("key"))) if parts > 1 else marked)
+        if not levels:
+            continue
+        met = F.exists(keys_of(F.col("host")), lambda k: mine(k) & is_listed(k, levels) if parts > 1 else is_listed(k, levels))
+        rows = rows.withColumn("blocked", F.col("blocked") | met)
+        if part + 1 < parts:  # a plan carries one part's levels only
+            rows = written(rows, "judged")
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
 

@@ -36,7 +36,8 @@ def test_rules_and_list(spark, monkeypatch):
     want = sorted(((i, *brute(u)) for i, u in rows), key=repr)
     pages = table(spark, rows)
     assert sorted((tuple(r) for r in U.filter_urls(pages, listed(spark)).collect()), key=repr) == want
-    monkeypatch.setattr(U, "MOST_BITS", 8)
+    monkeypatch.setattr(U, "MOST_BITS", 128)
+    assert U.parts_needed(U.marked_keys(listed(spark).where("key IS NOT NULL").distinct(), listed(spark))) == 3
     assert sorted((tuple(r) for r in U.filter_urls(pages, listed(spark)).collect()), key=repr) == want
     con = duckdb.connect()
     con.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR)")
@@ -48,7 +49,7 @@ def test_cascade_is_exact(spark, monkeypatch):
     monkeypatch.setattr(U, "BITS_A_KEY", 2)  # many false positives, so several levels
     keys = spark.range(3000).selectExpr("concat('k', id) AS key")
     some = keys.where("substr(key, 2) % 7 = 0").unionByName(spark.createDataFrame([("absent",)], "key string"))
-    levels = U.cascade(keys, some)
+    levels = U.cascade(U.marked_keys(keys, some))
     assert len(levels) > 2
     wrong = keys.where(U.is_listed(keys.key, levels) != (keys.key.substr(2, 9).cast("int") % 7 == 0))
     assert wrong.count() == 0
