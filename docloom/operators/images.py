@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import kernels as K
+from docloom.sources.io import few_rows
 
 LOWER_IS_BETTER = ("SQDIFF", "SQDIFF_NORMED")
 _IMAGE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
@@ -89,7 +90,7 @@ def validate_document_images(images: DataFrame) -> DataFrame:
 
 def _anchors(anchors: DataFrame) -> list[tuple[int, str, np.ndarray]]:
     """(position in the configuration, name, grey pixels) of anchors that were decoded: a few small pictures."""
-    rows = anchors.where("image IS NOT NULL AND image.height > 0").select("config_pos", "name", "image").orderBy("config_pos").collect()
+    rows = few_rows(anchors.where("image IS NOT NULL AND image.height > 0").select("config_pos", "name", "image").orderBy("config_pos"), "anchors")
     return [(r.config_pos, r.name, K.grey(K.pixels(r.image))) for r in rows]
 
 
@@ -178,7 +179,7 @@ def extract_documents(images: DataFrame, anchors: DataFrame, threshold: float =
 
     All anchors are evaluated in the image's own row, so pixels meet no join."""
     details = ("position", "offset_x", "offset_y", "doc_width_ratio", "doc_height_ratio")
-    rows = {r.config_pos: r for r in anchors.select("config_pos", *details).collect()}
+    rows = {r.config_pos: r for r in few_rows(anchors.select("config_pos", *details), "anchors")}
     sent = images.sparkSession.sparkContext.broadcast([(pos, name, t, tuple(rows[pos])[1:]) for pos, name, t in _anchors(anchors)])
 
     def of(row: object, a: np.ndarray) -> list[tuple]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docloom.functions.rules import checked_rules, rule_confidence, rule_extract
 from docloom.functions.text import let, once
 from docloom.operators.scans import normalize_templates
+from docloom.sources.io import few_rows
 
 
 def nest(blocks: DataFrame) -> DataFrame:
@@ -24,8 +25,8 @@ def nest(blocks: DataFrame) -> DataFrame:
 
 
 def load_templates(templates: DataFrame) -> list[dict]:
-    """Templates as plain dicts in index order; a configuration table, so of a few rows."""
-    rows = [r.asDict(recursive=True) for r in normalize_templates(templates).orderBy("template_index").collect()]
+    """Templates as plain dicts in index order; a configuration table, so of a few rows (checked)."""
+    rows = [r.asDict(recursive=True) for r in few_rows(normalize_templates(templates).orderBy("template_index"), "templates")]
     return [r | {"rules": checked_rules(r["rules"])} for r in rows]
 
 

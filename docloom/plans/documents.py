@@ -11,6 +11,8 @@ from docloom.functions.rules import rule_confidence, rule_extract
 from docloom.functions.text import FIELDS
 from docloom.operators import identity, matching, scans
 from docloom.plans.derived import SCAN_BLOCKS, TEMPLATES, scan_blocks
+from docloom.sources import folders, io
+from docloom.streaming.frames import stream_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -306,3 +308,81 @@ def p3_normalize_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = F.when(F.col("k") % 6 == 1, some(0)).when(F.col("k") % 6 > 1, some(1))
     rows = raw.select(F.col("k").alias("template_index"), "format", F.col("format_id").alias("formatId"), blocks.alias("blocks"), inner.alias("textRecognition"), F.lit(None).cast("map<string,string>").alias("extractionRules"))
     return scans.normalize_templates(rows).select("template_index", "format", "format_id", F.size("blocks").alias("n_blocks"))
+
+
+_DEEP = """, b AS (SELECT scan_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY block_pos) - 1 AS INT) AS i FROM sb),
+ln AS (SELECT scan_id, i, j, scan_id + i + j AS key, concat('line ', CAST(j AS VARCHAR), ' of block ', CAST(i AS VARCHAR)) AS name FROM b, (VALUES (0), (1)) AS t(j)),
+el AS (SELECT scan_id, i, j, k, key + k AS key, concat('element ', CAST(k AS VARCHAR), ' of line ', CAST(j AS VARCHAR), ' in block ', CAST(i AS VARCHAR)) AS name FROM ln, (VALUES (0), (1)) AS t(k) WHERE key % 11 <> 0 AND key % 4 <> 0),
+msg AS (SELECT scan_id, i, j, -1 AS k, 0 AS n, concat('Line ', CAST(j AS VARCHAR), ' in block ', CAST(i AS VARCHAR), ' is not an object') AS m FROM ln WHERE key % 11 = 0
+  UNION ALL SELECT scan_id, i, j, -1, 1, 'Invalid boundingBox in ' || name FROM ln WHERE key % 11 <> 0 AND key % 7 = 0 UNION ALL SELECT scan_id, i, j, -1, 2, 'Missing or invalid cornerPoints array in ' || name FROM ln WHERE key % 11 <> 0 AND key % 3 = 0
+  UNION ALL SELECT scan_id, i, j, -1, 3, 'Missing or invalid text property in ' || name FROM ln WHERE key % 11 <> 0 AND key % 5 = 0 UNION ALL SELECT scan_id, i, j, -1, 4, 'Missing or invalid elements array in ' || name FROM ln WHERE key % 11 <> 0 AND key % 4 = 0
+  UNION ALL SELECT scan_id, i, j, k, 1, 'Invalid boundingBox in ' || name FROM el WHERE key % 7 = 0 UNION ALL SELECT scan_id, i, j, k, 2, 'Missing or invalid cornerPoints array in ' || name FROM el WHERE key % 3 = 0
+  UNION ALL SELECT scan_id, i, j, k, 3, 'Missing or invalid text property in ' || name FROM el WHERE key % 5 = 0)
+SELECT s.scan_id, coalesce(string_agg(m, '; ' ORDER BY i, j, k, n), '') AS errors, count(m) = 0 AS is_valid FROM (SELECT DISTINCT scan_id FROM sb) AS s LEFT JOIN msg ON s.scan_id = msg.scan_id GROUP BY s.scan_id"""
+
+
+def messy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans whose blocks are whole, and whose lines and elements lack some of their parts."""
+
+    def part(key: F.Column, text: F.Column, box: F.Column, *more: F.Column) -> F.Column:
+        side = F.struct(box["left"].alias("left"), box["top"].alias("top"), F.when(key % 7 != 0, box["right"]).alias("right"), box["bottom"].alias("bottom"))
+        return F.struct(F.when(key % 5 != 0, text).alias("text"), side.alias("boundingBox"), F.when(key % 3 != 0, corners).alias("cornerPoints"), *more)
+
+    def line(b: F.Column, i: F.Column, j: int) -> F.Column:
+        key = F.col("scan_id") + i + j
+        elements = F.array(*(part(key + k, b["text"], b["boundingBox"]) for k in range(2)))
+        return F.when(key % 11 != 0, part(key, b["text"], b["boundingBox"], F.when(key % 4 != 0, elements).alias("elements")))
+
+    corners = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
+    blocks = F.transform("blocks", lambda b, i: F.struct(b["text"].alias("text"), b["boundingBox"].alias("boundingBox"), corners.alias("cornerPoints"), F.array(line(b, i, 0), line(b, i, 1)).alias("lines")))
+    return nested(spark, sf_dir).select("scan_id", F.lit("text").alias("text"), blocks.alias("blocks"))
+
+
+@query(_DEEP)
+def p1_validate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.validate_scans(messy_lines(spark, sf_dir)).select("scan_id", F.array_join("errors", "; ").alias("errors"), "is_valid")
+
+
+@query(" SELECT scan_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY block_pos) - 1 AS INT) AS block_pos, text, left_ AS left, right_ AS right FROM sb")
+def s1_read_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived scans, written as JSON and read back."""
+    path = folders.new_folder(spark, "scans")
+    nested(spark, sf_dir).write.json(path)
+    return scans.explode_blocks(io.read_scans(spark, path)).select("scan_id", "block_pos", "block.text", "block.boundingBox.left", "block.boundingBox.right")
+
+
+@query(""", per AS (SELECT p_brand, count(*) AS n, min(p_size) AS lo, max(p_size) AS hi FROM part GROUP BY p_brand)
+SELECT CAST(row_number() OVER (ORDER BY p_brand) - 1 AS INT) AS template_index, p_brand AS format, CAST(n % 5 AS INT) AS format_id, CAST(lo AS DOUBLE) AS left, CAST(hi AS DOUBLE) AS right FROM per""")
+def s2_read_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template for each brand of parts, written as one file with a JSON array and read back."""
+    per = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").agg(F.count("*").alias("n"), F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))
+    box = F.struct(F.col("lo").cast("double").alias("left"), F.lit(0.0).alias("top"), F.col("hi").cast("double").alias("right"), F.lit(1.0).alias("bottom"))
+    inner = F.struct(F.col("p_brand").alias("format"), F.lit(0).alias("formatId"))
+    whole = F.struct("p_brand", F.array(F.struct(F.lit("t").alias("text"), F.lit("user_dob").alias("blockType"), box.alias("boundingBox"))).alias("blocks"), (F.col("n") % 5).cast("int").alias("formatId"), inner.alias("textRecognition"))
+    path = folders.new_folder(spark, "templates")
+    per.agg(F.to_json(F.array_sort(F.collect_list(whole))).alias("value")).write.text(path)
+    rows = scans.normalize_templates(io.read_templates(spark, path))
+    return rows.select(F.col("template_index").cast("int").alias("template_index"), "format", "format_id", F.col("blocks")[0]["boundingBox"]["left"].alias("left"), F.col("blocks")[0]["boundingBox"]["right"].alias("right"))
+
+
+@query(""" SELECT l_orderkey AS anchor, CAST(l_linenumber AS INT) AS config_pos, CASE WHEN l_orderkey % 2 = 0 THEN CAST(l_partkey % 90 AS DOUBLE) ELSE 0 END AS offset_x, CASE WHEN l_orderkey % 3 = 0 THEN CAST(l_suppkey % 90 AS DOUBLE) ELSE 0 END AS offset_y,
+  CASE WHEN l_orderkey % 5 = 0 THEN 0.25 ELSE 0.1 END AS doc_width_ratio, CASE WHEN l_orderkey % 7 = 0 THEN 0.5 ELSE 0.1 END AS doc_height_ratio FROM lineitem WHERE l_linenumber % 3 <> 0 AND l_partkey % 4 <> 0""")
+def s6_normalize_anchor_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An anchor for each order line: some without a picture, some whose picture can't be read, some without numbers."""
+    key, image = F.col("l_orderkey"), F.struct(F.when(F.col("l_partkey") % 4 != 0, 4).otherwise(-1).alias("height"))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        key.alias("anchor"), F.col("l_linenumber").cast("int").alias("config_pos"), F.when(key % 2 == 0, F.col("l_partkey") % 90).alias("offset_x"), F.when(key % 3 == 0, F.col("l_suppkey") % 90).alias("offset_y"),
+        F.when(key % 5 == 0, 0.25).alias("doc_width_ratio"), F.when(key % 7 == 0, 0.5).alias("doc_height_ratio"), F.when(F.col("l_linenumber") % 3 != 0, image).alias("image"),
+    )
+    return io.normalize_anchor_configs(rows).drop("image")
+
+
+@query(_RESULTS + " SELECT scan_id, template_index, format, format_id, round(match_score, 6) AS match_score, fields, matched FROM full_")
+def t4_stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived scans arrive as a stream of files; the results are what its sink holds when all have been read."""
+    arriving, sink, state = (folders.new_folder(spark, name) for name in ("arriving", "results", "state"))
+    stored = nested(spark, sf_dir)
+    stored.write.parquet(arriving)
+    results = stream_documents(spark.readStream.schema(stored.schema).parquet(arriving), TEMPLATES)
+    results.writeStream.format("parquet").option("checkpointLocation", state).option("path", sink).trigger(availableNow=True).start().awaitTermination()
+    return flat_results(spark.read.schema(results.schema).parquet(sink))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.schemas import SCAN, TEMPLATE
@@ -33,6 +33,27 @@ def decode_base64(df: DataFrame, column: str, to: str = "data") -> DataFrame:
     return out.withColumn("is_bad", F.col(column).isNotNull() & F.col(to).isNull())
 
 
+#: The built-in anchors (name, position, offsets in pixels, share of the document's width and height).
+ANCHORS = (("ashoka_emblem", "top-left", 30.0, 20.0, 0.08, 0.12), ("aadhaar_logo", "top-right", 150.0, 20.0, 0.06, 0.10))
+#: Rows of a configuration table (templates, anchors) that may be read to the driver.
+MOST_CONFIGS = 1000
+
+
+def few_rows(df: DataFrame, what: str) -> list[Row]:
+    """The rows of a configuration table; one with more than MOST_CONFIGS is an error, since each becomes a part of the plan."""
+    rows = df.limit(MOST_CONFIGS + 1).collect()
+    if len(rows) > MOST_CONFIGS:
+        raise ValueError(f"more than {MOST_CONFIGS} {what}: a configuration is meant to be a small table")
+    return rows
+
+
+def builtin_anchors(pictures: DataFrame) -> DataFrame:
+    """The built-in anchors with their pictures (name, image), config_pos 0 and 1; one without a readable picture is left out."""
+    rows = [(k, *a) for k, a in enumerate(ANCHORS)]
+    known = pictures.sparkSession.createDataFrame(rows, "config_pos int, name string, position string, offset_x double, offset_y double, doc_width_ratio double, doc_height_ratio double")
+    return normalize_anchor_configs(pictures.select("name", "image").join(F.broadcast(known), "name"))
+
+
 def normalize_anchor_configs(anchors: DataFrame) -> DataFrame:
     """Anchors with their defaults: offsets 0, ratios 0.1; those whose picture can't be read are dropped."""
     defaults = {"offset_x": 0.0, "offset_y": 0.0, "doc_width_ratio": 0.1, "doc_height_ratio": 0.1}

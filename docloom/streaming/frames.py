@@ -4,15 +4,18 @@ A fold over one session's events in time order is written once, as a Python step
 keeps that state between micro-batches, the batch twin runs the same step over a sorted session. Events are
 put in order within a micro-batch; order across micro-batches is that of arrival. The batch twins sort by
 session and time in the shuffle and fold in one pass over each partition, so a session of any length takes
-constant memory.
+constant memory. Events without a session are a session of their own; those without an id or a time have no
+place in the order and are left out; a mark (has_quad, is_valid, is_blurry) that is null counts as false.
 """
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -71,24 +74,28 @@ def feedback_step(gap_ms: int) -> Step:
 
 def _prepared(events: DataFrame, columns: list[str]) -> DataFrame:
     # Stream times may be without zone; the arithmetic needs only differences.
-    return events.select("session_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), *columns)
+    return events.where("event_id IS NOT NULL AND ts IS NOT NULL").select("session_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), *columns)
+
+
+_TYPES = {"long": pa.int64(), "string": pa.string()}
 
 
 def _batch(events: DataFrame, columns: list[str], start: tuple, step: Step, out: str) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in out.split(", ")]
+    schema = pa.schema([(name, _TYPES[kind]) for name, kind in (c.split() for c in out.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         session, state = object(), start
-        for frame in frames:
-            rows = []
-            for e in frame.itertuples(index=False):
+        for batch in batches:
+            event, rows = namedtuple("Event", batch.schema.names), []
+            for e in map(event, *(c.to_pylist() for c in batch.columns)):
                 if e.session_id != session:
                     session, state = e.session_id, start
                 state, found = step(state, e)
                 rows += [(session, *f) for f in found]
-            yield pd.DataFrame(rows, columns=names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     rows = _prepared(events, columns)
-    return rows.repartition("session_id").sortWithinPartitions("session_id", "us", "event_id").mapInPandas(run, out)
+    return rows.repartition("session_id").sortWithinPartitions("session_id", "us", "event_id").mapInArrow(run, out)
 
 
 def _stream(events: DataFrame, columns: list[str], start: tuple, step: Step, out: str, state_schema: str) -> DataFrame:
@@ -96,11 +103,12 @@ def _stream(events: DataFrame, columns: list[str], start: tuple, step: Step, out
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get if state.exists else start
+        session = None if pd.isna(key[0]) else key[0]
         whole = pd.concat([*frames]).sort_values(["us", "event_id"])
         rows = []
         for e in whole.itertuples(index=False):
             now, found = step(now, e)
-            rows += [(key[0], *f) for f in found]
+            rows += [(session, *f) for f in found]
         state.update(tuple(now))
         yield pd.DataFrame(rows, columns=names)
 

@@ -32,6 +32,21 @@ def test_rate_and_feedback(spark):
     assert T.rate_gate(frames.limit(0)).collect() == []
 
 
+def test_nulls_and_large_ids(spark, tmp_path):
+    big = 2**53 + 1
+    rows = [(None, big + k, T0 + dt.timedelta(seconds=k), None if k == 2 else True, True, None, "m") for k in range(5)]
+    rows += [(big, k, T0, True, True, False, "m") for k in (1, 2)] + [(1, None, T0, True, True, False, "m"), (1, 5, None, True, True, False, "m")]
+    events = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(map(tuple, T.feedback_dedup(events, 60_000).collect()), key=repr)
+    assert got == sorted([(None, big, "m"), (big, 1, "m")], key=repr)
+    kinds = sorted((r.event_id, r.kind) for r in T.capture_stability(events, 3).where("session_id IS NULL").collect())
+    assert kinds == [(big, "contour"), (big + 1, "contour"), (big + 3, "contour"), (big + 4, "capture"), (big + 4, "contour")]
+    events.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = T.feedback_dedup(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in"), 60_000)
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()), key=repr) == got
+
+
 @pytest.mark.parametrize("of", [lambda f: T.rate_gate(f, 3_600_000), lambda f: T.capture_stability(f, 3), lambda f: T.feedback_dedup(f, 7_200_000)])
 def test_stream_equals_batch(spark, tmp_path, of):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")

@@ -5,6 +5,7 @@ import pytest
 
 from docloom.functions import kernels as K
 from docloom.operators import images as I
+from docloom.sources import io
 
 IMAGE = "image_id long, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 
@@ -106,3 +107,23 @@ def test_anchors(spark):
     got = {r.image_id: (r.status, r.matches, r.image and (r.image.width, r.image.height)) for r in I.extract_documents(images, anchors, 0.9).collect()}
     bounds = I.document_bounds(found.join(anchors.drop("image", "name"), "config_pos"), spark.createDataFrame([(1, 120, 90)], "image_id long, width int, height int")).collect()[0]
     assert got[1] == ("ok", 2, (bounds.width, bounds.height)) and got[2] == got[3] == ("no anchors", 0, None)
+
+
+def test_read_images_and_builtin_anchors(spark, tmp_path):
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    pixels = bytes([0, 10, 20, 30, 0, 40, 50, 60])  # two rows of three grey pixels, each after a filter byte
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(pixels)) + chunk(b"IEND", b"")
+    (tmp_path / "a.png").write_bytes(png)
+    (tmp_path / "b.png").write_bytes(b"no image")
+    rows = {r.image.origin[-5:]: r for r in io.read_images(spark, str(tmp_path)).collect()}
+    assert rows["a.png"].error is None and (rows["a.png"].image.width, rows["a.png"].image.height) == (3, 2) and bytes(rows["a.png"].image.data) == bytes([10, 20, 30, 40, 50, 60])
+    assert rows["b.png"].error == "IMAGE_DECODE" and io.read_images(spark, str(tmp_path), drop_bad=True).count() == 1
+    image = io.read_images(spark, str(tmp_path), drop_bad=True).select("image")
+    pictures = image.selectExpr("explode(array('ashoka_emblem', 'aadhaar_logo', 'other')) AS name", "image")
+    got = io.builtin_anchors(pictures).orderBy("config_pos").select("name", "position", "offset_x", "offset_y", "doc_width_ratio", "doc_height_ratio").collect()
+    assert [tuple(r) for r in got] == list(io.ANCHORS)
+    with pytest.raises(ValueError):
+        io.few_rows(spark.range(1001), "anchors")

@@ -23,7 +23,7 @@ def plain(value):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("orders", "events", "lineitem", "embeddings"):
+    for name in ("orders", "events", "lineitem", "part", "embeddings"):
         path = f"{SF}/{name}.parquet"
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     return con
