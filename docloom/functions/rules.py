@@ -41,13 +41,24 @@ def checked_rules(rules: dict[str, dict]) -> dict[str, dict]:
     return {k: r | {"patterns": [p for p in _get(r, "patterns") or () if (k, p) not in bad]} if _get(r, "patterns") else r for k, r in (rules or {}).items()}
 
 
+class Reading:
+    """What rules ask of a trimmed text. Columns may stand for expressions or for columns of a table in which they were worked out once."""
+
+    def __init__(self, text: Column, length: Column, n_words: Column, digits: Column, upper: Column, lower: Column, match: Callable[[str], Column]):
+        self.text, self.length, self.n_words, self.digits, self.upper, self.lower, self.match = text, length, n_words, digits, upper, lower, match
+
+    @classmethod
+    def of(cls, t: Column) -> Reading:
+        return cls(t, F.length(t), F.size(words(t)), digits(t), F.upper(t), F.lower(t), lambda p: t.rlike(f"(?i){p}"))
+
+
 def rule_confidence(text: Column, rule: dict | None) -> Column:
     """How well a text fits a rule, 0 to 1; 0 for null and blank texts. Without a rule by length alone."""
-    return let(trimmed(text), lambda t: _confidence(t, rule))
+    return let(trimmed(text), lambda t: confidence(Reading.of(t), rule))
 
 
-def _confidence(t: Column, rule: dict | None) -> Column:
-    length = F.length(t)
+def confidence(read: Reading, rule: dict | None) -> Column:
+    t, length = read.text, read.length
     if not rule:
         score = F.when(length < 2, 0.1).when(length > 200, 0.3).otherwise(0.4)
         return F.when(F.coalesce(length, F.lit(0)) == 0, 0.0).otherwise(score)
@@ -57,8 +68,8 @@ def _confidence(t: Column, rule: dict | None) -> Column:
     patterns = _get(rule, "patterns") or ()
     matched = F.lit(False)
     for p in patterns:
-        matched = matched | t.rlike(f"(?i){p}")
-    n_words, n_digits = F.size(words(t)), F.length(digits(t))
+        matched = matched | read.match(p)
+    n_words, n_digits = read.n_words, F.length(read.digits)
 
     def add(value: float, when: Column) -> None:
         nonlocal total
@@ -75,14 +86,14 @@ def _confidence(t: Column, rule: dict | None) -> Column:
                 found = F.when(count.cast("string") == k, v).otherwise(found)
             total = total + found
     if check.get("allowedValues"):
-        add(bonus("exactMatchBonus"), F.upper(t).isin(*(v.upper() for v in check["allowedValues"])))
+        add(bonus("exactMatchBonus"), read.upper.isin(*(v.upper() for v in check["allowedValues"])))
     if check.get("mustContain") is not None:
         every = F.lit(True)
         for k in check["mustContain"]:
-            every = every & F.contains(F.lower(t), F.lit(k.lower()))
+            every = every & F.contains(read.lower, F.lit(k.lower()))
         add(bonus("keywordMatchBonus"), every)
     add(bonus("lengthBonus"), length >= (check.get("minLength") or 0))
-    add(bonus("allCapsBonus"), (t == F.upper(t)) & t.rlike("[A-Z]"))
+    add(bonus("allCapsBonus"), (t == read.upper) & t.rlike("[A-Z]"))
     add(bonus("commaBonus"), F.contains(t, F.lit(",")))
     add(bonus("dateFormatBonus"), t.rlike(r"\d{1,2}[/\-.]\d{1,2}[/\-.]\d{4}"))
     add(bonus("formatMatchBonus"), matched)
@@ -139,18 +150,20 @@ def capitalized(text: Column) -> Column:
 
 def rule_extract(text: Column, rule: dict | None) -> Column:
     """The value of a text under a rule: capture by the first matching pattern, then post-processing in a fixed order. Null stays null."""
-    return let(trimmed(text), lambda t: F.when(t == "", t).otherwise(_value(t, rule)) if rule else t)
+    return let(trimmed(text), lambda t: value(Reading.of(t), rule))
 
 
-def _value(t: Column, rule: dict) -> Column:
-    out = t
+def value(read: Reading, rule: dict | None) -> Column:
+    t = out = read.text
+    if not rule:
+        return t
     strategy = _get(rule, "extractionStrategy")
     if strategy:
         for p in reversed(_get(rule, "patterns") or []):
-            out = F.when(t.rlike(f"(?i){p}"), _captured(t, p, strategy)).otherwise(out)
+            out = F.when(read.match(p), _captured(t, p, strategy)).otherwise(out)
     for step in _steps(_get(rule, "postProcess") or {}):
         out = let(out, step)
-    return out
+    return F.when(t == "", t).otherwise(out)
 
 
 def _steps(post: dict) -> list[Callable[[Column], Column]]:

@@ -1,9 +1,9 @@
 """Template matching and field extraction on nested scans.
 
-Templates are configuration: their rows are read to the driver, and each becomes column expressions over a
-scan's own array of blocks. A scan is matched against all templates, and its fields extracted, inside one
-row: no join, no shuffle, in batch and on streams alike. Flat tables of blocks are nested first by one
-shuffle (`nest`).
+Rules become columns once (operators.facts); templates are data: a scan's best one is found by an index
+(operators.templates), its blocks then meet the scan by a join on the template's index, and fields are picked
+inside the row. The plan's size depends on the number of distinct rules, not on that of templates. Flat tables
+of blocks are nested by one shuffle (`nest`), with their facts where rules are given.
 """
 
 from __future__ import annotations
@@ -11,22 +11,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.rules import checked_rules, rule_confidence, rule_extract
+from docloom.functions.rules import checked_rules
 from docloom.functions.text import let, once
+from docloom.operators.facts import RuleBook, row_facts, with_facts
 from docloom.operators.scans import normalize_templates
-from docloom.sources.io import few_rows
+from docloom.operators.templates import SENT_TEMPLATES, TemplateIndex, best_of, content, structural, template_table
+from docloom.sources.folders import written
+from docloom.sources.io import MOST_CONFIGS, few_rows
 
+#: Templates that may be read to the driver.
+MOST_TEMPLATES = 200_000
 
-def nest(blocks: DataFrame) -> DataFrame:
-    """scan_id, blocks from rows scan_id, block_pos, text, left, top, right, bottom."""
-    item = F.struct("block_pos", "text", F.struct("left", "top", "right", "bottom").alias("boundingBox"))
+
+def nest(blocks: DataFrame, templates: list[dict] | None = None) -> DataFrame:
+    """scan_id, blocks from rows scan_id, block_pos, text, left, top, right, bottom; with templates, blocks carry the facts that
+    their rules ask for. A row without a block_pos has no block: a scan of such rows alone has an empty array."""
+    rows = blocks if templates is None else with_facts(blocks, RuleBook(templates))
+    parts = ["text", F.struct("left", "top", "right", "bottom").alias("boundingBox"), *(["facts"] if templates is not None else [])]
+    item = F.when(F.col("block_pos").isNotNull(), F.struct("block_pos", *parts))
     ordered = F.array_sort(F.collect_list(item))
-    return blocks.groupBy("scan_id").agg(F.transform(ordered, lambda b: F.struct(b["text"].alias("text"), b["boundingBox"].alias("boundingBox"))).alias("blocks"))
+    names = ["text", "boundingBox", *(["facts"] if templates is not None else [])]
+    return rows.groupBy("scan_id").agg(F.transform(ordered, lambda b: F.struct(*(b[n].alias(n) for n in names))).alias("blocks"))
 
 
 def load_templates(templates: DataFrame) -> list[dict]:
-    """Templates as plain dicts in index order; a configuration table, so of a few rows (checked)."""
-    rows = [r.asDict(recursive=True) for r in few_rows(normalize_templates(templates).orderBy("template_index"), "templates")]
+    """Templates as plain dicts in index order. They are configuration: read to the driver, at most MOST_TEMPLATES (checked)."""
+    rows = [r.asDict(recursive=True) for r in few_rows(normalize_templates(templates).orderBy("template_index"), "templates", MOST_TEMPLATES)]
     return [r | {"rules": checked_rules(r["rules"])} for r in rows]
 
 
@@ -57,139 +67,105 @@ def layout_features(scans: DataFrame, blocks: str = "blocks") -> DataFrame:
     return once(scans, "__l", layout(F.col(blocks))).select(*scans.columns, "__l.*")
 
 
-def _features(template: dict) -> dict | None:
-    boxes = [b["boundingBox"] for b in template["blocks"] or () if b and b["boundingBox"]]
-    xs, ys = [(b["left"] + b["right"]) / 2 for b in boxes], [(b["top"] + b["bottom"]) / 2 for b in boxes]
-    if not boxes:
-        return None
-    x, n = sum(xs) / len(xs), len(xs)
-    return {"n": n, "avg_x": x, "left_ratio": sum(v < x for v in xs) / n, "avg_y": sum(ys) / n}
-
-
-def structural(of: Column, template: dict) -> Column:
-    """Similarity of a scan's layout to a template's: position, share on the left, number of blocks. May be negative; 0 without blocks on a side."""
-    t = _features(template)
-    if t is None:
-        return F.lit(0.0)
-    position = 1 - F.abs(of["avg_x"] - t["avg_x"]) / 1000
-    left = 1 - F.abs(of["left_ratio"] - t["left_ratio"])
-    count = 1 - F.abs(of["n"] - t["n"]) / F.greatest(of["n"], F.lit(t["n"]))
-    return F.coalesce((position + left + count) / 3, F.lit(0.0))
-
-
-def _typed(template: dict) -> list[dict]:
-    return [b for b in template["blocks"] or () if b and b["blockType"]]
+def _book(templates: list[dict]) -> RuleBook:
+    book = RuleBook(templates)
+    if len(book.rules) > MOST_CONFIGS:
+        raise ValueError(f"more than {MOST_CONFIGS} distinct rules: each becomes a part of the plan")
+    return book
 
 
-def content(blocks: Column, template: dict) -> Column:
-    """Mean over the template's typed blocks of the best fit of any recognised block to the type's rule."""
-    typed = _typed(template)
-    if not typed:
-        return F.lit(0.0)
-    times: dict[str, int] = {}
-    for b in typed:
-        times[b["blockType"]] = times.get(b["blockType"], 0) + 1
-    total = F.lit(0.0)
-    for k, n in times.items():  # each type once, however many blocks have it
-        total = total + F.coalesce(F.array_max(F.transform(blocks, _fit(template["rules"].get(k)))), F.lit(0.0)) * n
-    return total / len(typed)
+def _measured(scans: DataFrame, book: RuleBook) -> DataFrame:
+    """scans with __l (layout) and __best (best fit of any block, by rule); blocks get their facts where they don't carry them."""
+    if "facts" not in scans.selectExpr("blocks[0] AS b").schema["b"].dataType.names:
+        facts = F.transform("__plain", lambda b: F.struct(b["text"].alias("text"), b["boundingBox"].alias("boundingBox"), row_facts(b["text"], book).alias("facts")))
+        scans = once(scans.withColumnRenamed("blocks", "__plain"), "blocks", facts).drop("__plain")
+    fit = lambda k: F.array_max(F.transform("blocks", lambda b: b["facts"][k]["score"]))
+    best = F.array(*(F.coalesce(fit(k), F.lit(0.0)) for k in range(len(book.rules))))
+    rows = once(scans, "__l", layout(F.col("blocks")))
+    return once(rows, "__best", best)
 
 
-def _fit(rule: dict | None) -> callable:
-    return lambda b: rule_confidence(b["text"], rule)
-
-
-def scored(scans: DataFrame, templates: list[dict], prune: bool = True) -> DataFrame:
-    """scans with scores: array of struct<template_index, structure, content, score>, one for each template with blocks.
-
-    Content lies in 0..1, so a template whose structure score is more than 0.25 below the best can't win; with
-    `prune` its content isn't worked out and counts 0."""
-    used = [t for t in templates if t["blocks"]]
-    base = once(scans, "__l", layout(F.col("blocks")))
-    base = once(base, "__s", F.array(*(structural(F.col("__l"), t) for t in used)).cast("array<double>"))
-    entries = []
-    for k, t in enumerate(used):
-        s = F.get(F.col("__s"), k)
-        c = content(F.col("blocks"), t)
-        if prune:
-            c = F.when(0.8 * s + 0.2 >= 0.8 * F.array_max("__s"), c).otherwise(0.0)
-        entries.append(F.struct(F.lit(t["template_index"]).alias("template_index"), s.alias("structure"), c.alias("content"), (s * 0.8 + c * 0.2).alias("score")))
-    out = F.array(*entries) if entries else F.array().cast("array<struct<template_index:int,structure:double,content:double,score:double>>")
-    return once(base, "scores", out).drop("__l", "__s")
+def scored(scans: DataFrame, templates: list[dict]) -> DataFrame:
+    """scan_id, template_index, structure, content, score for every scan and every template with blocks."""
+    book = _book(templates)
+    table = template_table(scans.sparkSession, templates, book).select("template_index", F.struct("n", "avg_x", "left_ratio", "kinds").alias("__t"))
+    rows = _measured(scans, book).crossJoin(F.broadcast(table))  # what is asked for are all pairs; templates were read to the driver
+    t = F.col("__t")
+    pairs = rows.select("scan_id", "template_index", structural(F.col("__l"), t["n"], t["avg_x"], t["left_ratio"]).alias("structure"), content(F.col("__best"), t["kinds"]).alias("content"))
+    return pairs.withColumn("score", F.col("structure") * 0.8 + F.col("content") * 0.2)
 
 
 def structural_similarity(scans: DataFrame, templates: list[dict]) -> DataFrame:
     """scan_id, template_index, similarity for every scan and template with blocks."""
-    return scored(scans, templates, prune=False).select("scan_id", F.explode("scores").alias("s")).select("scan_id", "s.template_index", F.col("s.structure").alias("similarity"))
+    return scored(scans, templates).select("scan_id", "template_index", F.col("structure").alias("similarity"))
 
 
 def content_similarity(scans: DataFrame, templates: list[dict]) -> DataFrame:
-    return scored(scans, templates, prune=False).select("scan_id", F.explode("scores").alias("s")).select("scan_id", "s.template_index", F.col("s.content").alias("similarity"))
+    return scored(scans, templates).select("scan_id", "template_index", F.col("content").alias("similarity"))
 
 
-def with_best(scans: DataFrame, templates: list[dict], prune: bool = True) -> DataFrame:
-    """scans with best (struct<score, template_index>): the highest score above 0, the lowest index among equals; null if there is none."""
-    best = F.array_max(F.transform("scores", lambda s: F.struct(s["score"].alias("score"), (-s["template_index"]).alias("last"))))
-    found = let(best, lambda b: F.when(b["score"] > 0, F.struct(b["score"].alias("score"), (-b["last"]).alias("template_index"))))
-    return once(scored(scans, templates, prune), "best", found).drop("scores")
+def _with_best(scans: DataFrame, templates: list[dict], book: RuleBook) -> DataFrame:
+    """scans with best (struct<template_index, score>): the highest score above 0, the lowest index among equals; null if there is none."""
+    rows = _measured(scans, book)
+    empty = F.coalesce(F.size("blocks") <= 0, F.lit(True))
+    return rows.withColumn("best", F.when(~empty, best_of(TemplateIndex(templates, book), F.col("__l"), F.col("__best")))).drop("__l", "__best")
 
 
-def best_template(scans: DataFrame, templates: list[dict], prune: bool = True) -> DataFrame:
+def best_template(scans: DataFrame, templates: list[dict]) -> DataFrame:
     """scan_id, template_index, score of scans with blocks that some template fits."""
-    return with_best(scans.where(F.size("blocks") > 0), templates, prune).where("best IS NOT NULL").select("scan_id", "best.template_index", "best.score")
+    return _with_best(scans, templates, _book(templates)).where("best IS NOT NULL").select("scan_id", "best.template_index", "best.score")
 
 
-def _value(blocks: Column, tblock: dict, rule: dict | None) -> Column:
-    """The extracted value for a template block; null if no block's score exceeds 0.1. The first of equal blocks wins."""
-    box = tblock["boundingBox"]
+def _picked(blocks: Column, tblocks: Column) -> Column:
+    """Of each typed block of a template, kind and value: the value of the best block by fit and nearness, the first of equals, if its
+    score exceeds 0.1; others are left out."""
+    seen = F.filter(F.transform(blocks, lambda b, i: F.struct(b["text"].alias("text"), center_x(b["boundingBox"]).alias("x"), center_y(b["boundingBox"]).alias("y"), b["facts"].alias("facts"), (-i).alias("last"))), lambda b: b["text"].isNotNull())
 
-    def total(b: Column, i: Column) -> Column:
-        near = F.lit(0.0)
-        if box:
-            dx = (center_x(b["boundingBox"]) - (box["left"] + box["right"]) / 2) / 1000
-            dy = (center_y(b["boundingBox"]) - (box["top"] + box["bottom"]) / 2) / 1000
+    def of(t: Column, seen: Column) -> Column:
+        def total(b: Column) -> Column:
+            dx, dy = (b["x"] - t["x"]) / 1000, (b["y"] - t["y"]) / 1000
             near = F.coalesce(F.greatest(F.lit(0.0), 1 - F.sqrt(dx * dx + dy * dy)), F.lit(0.0))
-        return F.struct((rule_confidence(b["text"], rule) * 0.7 + near * 0.3).alias("score"), (-i).alias("last"), b["text"].alias("text"))
+            fact = F.get(b["facts"], t["rule"])
+            return F.struct((fact["score"] * 0.7 + near * 0.3).alias("score"), b["last"].alias("last"), fact["value"].alias("value"))
+
+        return F.struct(t["kind"].alias("kind"), F.array_max(F.transform(seen, total)).alias("best"))
 
-    best = F.array_max(F.transform(F.filter(blocks, lambda b: b["text"].isNotNull()), total))
-    return let(best, lambda b: F.when(b["score"] > 0.1, rule_extract(b["text"], rule)))
+    found = let(seen, lambda seen: F.transform(tblocks, lambda t: of(t, seen)))
+    kept = F.filter(found, lambda f: (f["best"]["score"] > 0.1) & f["best"]["value"].isNotNull())
+    return F.transform(kept, lambda f: F.struct(f["kind"].alias("kind"), f["best"]["value"].alias("value")))
 
 
-def extracted(blocks: Column, template: dict) -> Column:
-    """struct<fields map, matched array> of one template: a later block of a type overwrites the value, `matched` keeps both."""
-    typed = _typed(template)
-    values = [(b["blockType"], _value(blocks, b, template["rules"].get(b["blockType"]))) for b in typed]
-    entry = "array<struct<key:string,value:string>>"
-    if not values:
-        return F.struct(F.map_from_entries(F.array().cast(entry)).alias("fields"), F.array().cast("array<string>").alias("matched"))
-    order = list(dict.fromkeys(k for k, _ in values))
+def judged_documents(scans: DataFrame, templates: list[dict]) -> DataFrame:
+    """Every scan with its outcome: `matched`, `no_blocks` (null or empty), `no_template` (there is none with blocks) or `no_fit` (no score
+    above 0); and, where matched, template_index, format, format_id, match_score, fields (map), matched (array), else nulls.
 
-    def of(found: Column) -> Column:
-        v = [F.get(found, k) for k in range(len(values))]
-        last = {kind: F.coalesce(*(v[k] for k in reversed(range(len(values))) if values[k][0] == kind)) for kind in order}
-        fields = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), last[k].alias("value")) for k in order)), lambda e: e["value"].isNotNull())
-        matched = F.array_compact(F.array(*(F.when(v[k].isNotNull(), values[k][0]) for k in range(len(values)))))
-        return F.struct(F.map_from_entries(fields).alias("fields"), matched.alias("matched"))
+    Of template blocks of one kind a later one overwrites the value, `matched` keeps both."""
+    book = _book(templates)
+    table = template_table(scans.sparkSession, templates, book).select("template_index", "format", "format_id", F.col("blocks").alias("__tb"))
+    rows = _with_best(scans, templates, book).withColumn("template_index", F.col("best.template_index"))
+    rows = rows.join(F.broadcast(table) if len(templates) <= SENT_TEMPLATES else table, "template_index", "left")
+    rows = once(rows, "__p", F.when(F.col("best").isNotNull(), _picked(F.col("blocks"), F.col("__tb"))))
+    names = F.array_distinct(F.transform("__p", lambda f: f["kind"]))
+    order = F.filter(F.array_distinct(F.transform("__tb", lambda t: t["kind"])), lambda k: F.array_contains(names, k))
+    last = lambda k: F.try_element_at(F.filter("__p", lambda f: f["kind"] == k), F.lit(-1))["value"]
+    fields = let(order, lambda ks: F.map_from_arrays(ks, F.transform(ks, last)))
+    outcome = F.when(F.col("best").isNotNull(), "matched").when(F.coalesce(F.size("blocks") <= 0, F.lit(True)), "no_blocks").when(F.lit(not any(t["blocks"] for t in templates)), "no_template").otherwise("no_fit")
+    told = rows.select("scan_id", outcome.alias("outcome"), "template_index", "format", "format_id", F.col("best.score").alias("match_score"), F.when(F.col("best").isNotNull(), fields).alias("fields"), F.transform("__p", lambda f: f["kind"]).alias("matched"))
+    return told
 
-    return let(F.array(*(v for _, v in values)), of)
 
+_RESULT = ("scan_id", "template_index", "format", "format_id", "match_score", "fields", "matched")
 
-def process_documents(scans: DataFrame, templates: list[dict], prune: bool = True) -> DataFrame:
+
+def process_documents(scans: DataFrame, templates: list[dict]) -> DataFrame:
     """scan_id, template_index, format, format_id, match_score, fields (map), matched (array): one row for each scan that has blocks and a template that fits."""
-    best = with_best(scans.where(F.size("blocks") > 0), templates, prune).where("best IS NOT NULL")
-    result = formats = ids = None
-    for t in templates:
-        if not t["blocks"]:
-            continue
-        chosen = F.col("best.template_index") == t["template_index"]
-        result = F.when(chosen, extracted(F.col("blocks"), t)) if result is None else result.when(chosen, extracted(F.col("blocks"), t))
-        formats = F.when(chosen, t["format"]) if formats is None else formats.when(chosen, t["format"])
-        ids = F.when(chosen, t["format_id"]) if ids is None else ids.when(chosen, t["format_id"])
-    if result is None:
-        empty = F.lit(None)
-        return best.select("scan_id", F.lit(None).cast("int").alias("template_index"), empty.cast("string").alias("format"), empty.cast("int").alias("format_id"), empty.cast("double").alias("match_score"), empty.cast("map<string,string>").alias("fields"), empty.cast("array<string>").alias("matched"))
-    out = best.select("scan_id", F.col("best.template_index").alias("template_index"), formats.alias("format"), ids.alias("format_id"), F.col("best.score").alias("match_score"), F.explode(F.array(result)).alias("r"))
-    return out.select("scan_id", "template_index", "format", "format_id", "match_score", "r.fields", "r.matched")
+    return judged_documents(scans, templates).where("outcome = 'matched'").select(*_RESULT)
+
+
+def split_documents(scans: DataFrame, templates: list[dict]) -> tuple[DataFrame, DataFrame]:
+    """(results, the other scans with their outcome), both read from one written table: no scan is worked on twice."""
+    told = written(judged_documents(scans, templates), "judged")
+    return told.where("outcome = 'matched'").select(*_RESULT), told.where("outcome <> 'matched'").select("scan_id", "outcome")
 
 
 def unmatched_documents(scans: DataFrame, results: DataFrame) -> DataFrame:
@@ -197,13 +173,33 @@ def unmatched_documents(scans: DataFrame, results: DataFrame) -> DataFrame:
     return scans.join(results.select("scan_id"), "scan_id", "left_anti")
 
 
-def extraction_report(results: DataFrame) -> DataFrame:
-    """format, field, documents, filled, fill_rate, mean_score: how often each format's documents yield each field."""
+def report_parts(results: DataFrame, *by: str) -> DataFrame:
+    """Sums from which a report is made: format, the columns `by` (a day, say), field, rows, filled, score. Parts of several batches,
+    stored as they come, add up (`merged_parts`) to those of all."""
     # One pass: a document is a row of its own (without a field) next to its fields.
     none = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
-    rows = results.select("format", "match_score", F.explode(F.concat(none, F.coalesce(F.map_entries("fields"), F.array().cast("array<struct<key:string,value:string>>")))).alias("e"))
-    counts = rows.groupBy("format", F.col("e.key").alias("field")).agg(F.count("*").alias("rows"), F.count_if(F.col("e.value") != "").alias("filled"), F.avg("match_score").alias("mean"))
+    rows = results.select("format", *by, "match_score", F.explode(F.concat(none, F.coalesce(F.map_entries("fields"), F.array().cast("array<struct<key:string,value:string>>")))).alias("e"))
+    return rows.groupBy("format", *by, F.col("e.key").alias("field")).agg(F.count("*").alias("rows"), F.count_if(F.col("e.value") != "").alias("filled"), F.sum("match_score").alias("score"))
+
+
+def merged_parts(*parts: DataFrame) -> DataFrame:
+    """The sums of several tables of parts, as parts again."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy(*(c for c in every.columns if c not in ("rows", "filled", "score"))).agg(*(F.sum(c).alias(c) for c in ("rows", "filled", "score")))
+
+
+def report_of(parts: DataFrame) -> DataFrame:
+    """format, the parts' own columns, field, documents, filled, fill_rate, mean_score."""
+    keys = [c for c in parts.columns if c not in ("field", "rows", "filled", "score")]
+    counts = merged_parts(parts)
     # Of a handful of rows, a format's document row tells all its field rows.
-    every, document = Window.partitionBy("format"), F.col("field").isNull()
-    told = counts.withColumns({"documents": F.max(F.when(document, F.col("rows"))).over(every), "mean_score": F.max(F.when(document, F.col("mean"))).over(every)})
-    return told.where("field IS NOT NULL AND filled > 0 AND format IS NOT NULL").select("format", "field", "documents", "filled", (F.col("filled") / F.col("documents")).alias("fill_rate"), "mean_score")
+    every, document = Window.partitionBy(*keys), F.col("field").isNull()
+    told = counts.withColumns({"documents": F.max(F.when(document, F.col("rows"))).over(every), "mean_score": F.max(F.when(document, F.col("score") / F.col("rows"))).over(every)})
+    return told.where("field IS NOT NULL AND filled > 0 AND format IS NOT NULL").select(*keys, "field", "documents", "filled", (F.col("filled") / F.col("documents")).alias("fill_rate"), "mean_score")
+
+
+def extraction_report(results: DataFrame, *by: str) -> DataFrame:
+    """How often each format's documents yield each field."""
+    return report_of(report_parts(results, *by))

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.rules import rule_confidence, rule_extract
 from docloom.functions.text import FIELDS
-from docloom.operators import identity, matching, scans
+from docloom.operators import facts, identity, matching, scans
 from docloom.plans.derived import SCAN_BLOCKS, TEMPLATES, scan_blocks
 from docloom.sources import folders, io
 from docloom.streaming.frames import stream_documents
@@ -34,6 +33,11 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.nest(scan_blocks(spark, sf_dir))
 
 
+def with_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested scans whose blocks carry what the templates' rules say of their texts."""
+    return matching.nest(scan_blocks(spark, sf_dir), TEMPLATES)
+
+
 def r6(c: str) -> F.Column:
     return F.round(F.col(c), 6).alias(c)
 
@@ -99,16 +103,20 @@ _TB = "tb AS (SELECT * FROM (VALUES " + ", ".join(f"({t['template_index']}, {i},
 
 @query(f", k AS (SELECT unnest([{', '.join(repr(k) for k in _KINDS)}]) AS kind), m AS (SELECT scan_id, block_pos, kind, text AS t, 0 AS tidx FROM sb, k) SELECT scan_id, block_pos, kind, round({_CONF_OF}, 6) AS confidence FROM m")
 def x6_rule_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = TEMPLATES[0]["rules"]
-    each = F.array(*(F.struct(F.lit(k).alias("kind"), rule_confidence(F.col("text"), rules.get(k)).alias("confidence")) for k in _KINDS))
-    return scan_blocks(spark, sf_dir).select("scan_id", "block_pos", F.explode(each).alias("e")).select("scan_id", "block_pos", "e.kind", F.round("e.confidence", 6).alias("confidence"))
+    return of_kinds(spark, sf_dir, "score").select("scan_id", "block_pos", "kind", F.round("score", 6).alias("confidence"))
+
+
+def of_kinds(spark: SparkSession, sf_dir: str, fact: str) -> DataFrame:
+    """A fact of every block under the rule of every kind of block of the first template."""
+    book = facts.RuleBook(TEMPLATES[:1])
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.col("facts")[book.number(TEMPLATES[0]["rules"].get(k))][fact].alias(fact)) for k in _KINDS))
+    rows = facts.with_facts(scan_blocks(spark, sf_dir).select("scan_id", "block_pos", "text"), book)
+    return rows.select("scan_id", "block_pos", F.explode(each).alias("e")).select("scan_id", "block_pos", "e.kind", f"e.{fact}")
 
 
 @query(f", k AS (SELECT unnest([{', '.join(repr(k) for k in _KINDS)}]) AS kind), m AS (SELECT scan_id, block_pos, kind, text AS t, 0 AS tidx FROM sb, k) SELECT scan_id, block_pos, kind, {_VALUE_OF} AS value FROM m")
 def x7_rule_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = TEMPLATES[0]["rules"]
-    each = F.array(*(F.struct(F.lit(k).alias("kind"), rule_extract(F.col("text"), rules.get(k)).alias("value")) for k in _KINDS))
-    return scan_blocks(spark, sf_dir).select("scan_id", "block_pos", F.explode(each).alias("e")).select("scan_id", "block_pos", "e.kind", "e.value")
+    return of_kinds(spark, sf_dir, "value")
 
 
 _LAYOUT = """, c AS (SELECT scan_id, (left_ + right_) / 2 AS x, (top_ + bottom_) / 2 AS y FROM sb), mean AS (SELECT scan_id, count(*) AS n, avg(x) AS avg_x, avg(y) AS avg_y FROM c GROUP BY scan_id),
@@ -131,17 +139,17 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER
 
 @query(_SCORES + " SELECT scan_id, tidx AS template_index, round(s, 6) AS similarity FROM sc")
 def l2_structural_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.structural_similarity(nested(spark, sf_dir), TEMPLATES).select("scan_id", "template_index", r6("similarity"))
+    return matching.structural_similarity(with_facts(spark, sf_dir), TEMPLATES).select("scan_id", "template_index", r6("similarity"))
 
 
 @query(_SCORES + " SELECT scan_id, tidx AS template_index, round(c, 6) AS similarity FROM sc")
 def l3_content_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.content_similarity(nested(spark, sf_dir), TEMPLATES).select("scan_id", "template_index", r6("similarity"))
+    return matching.content_similarity(with_facts(spark, sf_dir), TEMPLATES).select("scan_id", "template_index", r6("similarity"))
 
 
 @query(_SCORES + " SELECT scan_id, tidx AS template_index, round(score, 6) AS score FROM best")
 def l4_best_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.best_template(nested(spark, sf_dir), TEMPLATES).select("scan_id", "template_index", r6("score"))
+    return matching.best_template(with_facts(spark, sf_dir), TEMPLATES).select("scan_id", "template_index", r6("score"))
 
 
 _RESULTS = _SCORES + f""", near AS (SELECT conf.*, conf * 0.7::DOUBLE + 0.3::DOUBLE * greatest(0, 1 - sqrt(power(((left_ + right_) / 2 - (l + r) / 2) / 1000, 2) + power(((top_ + bottom_) / 2 - (t_ + b) / 2) / 1000, 2))) AS total, best.score FROM conf JOIN best USING (scan_id, tidx)),
@@ -158,20 +166,21 @@ def flat_results(results: DataFrame) -> DataFrame:
 
 @query(_RESULTS + " SELECT scan_id, template_index, format, format_id, round(match_score, 6) AS match_score, fields, matched FROM full_")
 def l6_process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_results(matching.process_documents(nested(spark, sf_dir), TEMPLATES))
+    return flat_results(matching.process_documents(with_facts(spark, sf_dir), TEMPLATES))
 
 
 @query(_RESULTS + " SELECT scan_id, kind AS block_type, value FROM pick")
 def l5_extract_with_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.process_documents(nested(spark, sf_dir), TEMPLATES, prune=False).select("scan_id", F.explode("fields").alias("block_type", "value"))
+    return matching.process_documents(with_facts(spark, sf_dir), TEMPLATES).select("scan_id", F.explode("fields").alias("block_type", "value"))
 
 
 @query(" SELECT DISTINCT o_orderkey AS scan_id FROM orders WHERE o_orderkey NOT IN (SELECT scan_id FROM sb WHERE scan_id % 4 <> 0)")
 def l7_unmatched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("scan_id")).distinct()
-    # Every fourth scan has lost its blocks.
-    seen = scan_blocks(spark, sf_dir).where("scan_id % 4 <> 0")
-    return matching.unmatched_documents(rows, matching.process_documents(matching.nest(seen), TEMPLATES))
+    """Every fourth scan has lost its blocks."""
+    rows = scan_blocks(spark, sf_dir)
+    lost = rows.withColumns({c: F.when(F.col("scan_id") % 4 != 0, F.col(c)).alias(c) for c in ("block_pos", "text")})
+    _, others = matching.split_documents(matching.nest(lost, TEMPLATES), TEMPLATES)
+    return others.select("scan_id")
 
 
 @query(
@@ -180,7 +189,7 @@ def l7_unmatched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM pick JOIN (SELECT scan_id, format FROM full_) USING (scan_id) JOIN per USING (format) WHERE value <> '' GROUP BY format, kind"""
 )
 def l13_extraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = matching.extraction_report(matching.process_documents(nested(spark, sf_dir), TEMPLATES))
+    report = matching.extraction_report(matching.process_documents(with_facts(spark, sf_dir), TEMPLATES))
     return report.select("format", "field", "documents", "filled", r6("fill_rate"), r6("mean_score"))
 
 

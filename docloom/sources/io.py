@@ -39,11 +39,11 @@ ANCHORS = (("ashoka_emblem", "top-left", 30.0, 20.0, 0.08, 0.12), ("aadhaar_logo
 MOST_CONFIGS = 1000
 
 
-def few_rows(df: DataFrame, what: str) -> list[Row]:
-    """The rows of a configuration table; one with more than MOST_CONFIGS is an error, since each becomes a part of the plan."""
-    rows = df.limit(MOST_CONFIGS + 1).collect()
-    if len(rows) > MOST_CONFIGS:
-        raise ValueError(f"more than {MOST_CONFIGS} {what}: a configuration is meant to be a small table")
+def few_rows(df: DataFrame, what: str, most: int = MOST_CONFIGS) -> list[Row]:
+    """The rows of a configuration table; one with more than `most` is an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}: a configuration is meant to be a small table")
     return rows
 
 

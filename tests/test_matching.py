@@ -1,15 +1,19 @@
 """Rules and templates: the worked example, every kind of bonus and post-processing, ties, and odd input."""
 
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions.rules import checked_rules, rule_confidence, rule_extract
+from docloom.operators import facts
 from docloom.operators import matching as M
 from docloom.operators import scans as S
 from docloom.plans import documents
 from docloom.sources import io
+from docloom.sources.folders import written
 
 BOX = "struct<left:double,top:double,right:double,bottom:double>"
 SCAN = f"scan_id long, blocks array<struct<text:string,boundingBox:{BOX}>>"
@@ -26,8 +30,9 @@ def test_worked_example(spark):
     r = M.process_documents(scan, [TEMPLATE]).collect()
     assert len(r) == 1 and r[0].match_score == pytest.approx(0.792889, abs=1e-6) and r[0].format == "card" and r[0].format_id == 3
     assert r[0].fields == {"user_full_name": "Asha Rao", "user_aadhar_no": "1234 1234 1234"} and r[0].matched == ["user_full_name", "user_aadhar_no"]
-    s = M.scored(scan.where("scan_id = 1"), [TEMPLATE]).collect()[0].scores[0]
+    s = M.scored(scan.where("scan_id = 1"), [TEMPLATE]).first()
     assert (s.structure, s.content) == (pytest.approx(0.816111, abs=1e-6), pytest.approx(0.7))
+    assert {r.scan_id: r.outcome for r in M.judged_documents(scan, [TEMPLATE]).collect()} == {1: "matched", 2: "no_blocks", 3: "no_blocks"}
 
 
 def test_ties_negative_and_nothing(spark):
@@ -40,10 +45,74 @@ def test_ties_negative_and_nothing(spark):
     assert M.structural_similarity(same, [TEMPLATE]).collect()[0].similarity == pytest.approx(1)
 
 
-def test_pruning_changes_nothing(spark):
-    scans = documents.nested(spark, "/root/testdata/sf0.001")
-    rows = lambda prune: sorted(map(tuple, documents.flat_results(M.process_documents(scans, documents.TEMPLATES, prune)).collect()))
-    assert rows(True) == rows(False)
+def many_templates(n, seed=1):
+    """Templates with random layouts and one of a few sets of rules; some have no boxes, some no blocks."""
+    rng, out = random.Random(seed), []
+    rules = [{}, {"user_aadhar_no": NUMBER}, documents.TEMPLATES[0]["rules"]]
+    for k in range(n):
+        blocks = []
+        for _ in range(rng.randint(0 if k % 50 == 0 else 1, 9)):
+            left, top = rng.uniform(0, 900), rng.uniform(0, 700)
+            box = {"left": left, "top": top, "right": left + 100, "bottom": top + 30} if k % 70 else None
+            blocks.append({"text": "", "blockType": rng.choice(["user_full_name", "user_aadhar_no", "user_dob", "other", None]), "boundingBox": box})
+        out.append({"template_index": k, "format": f"f{k % 5}", "format_id": k, "blocks": blocks, "rules": rng.choice(rules)})
+    return out
+
+
+def test_index_against_all_templates(spark):
+    """The same winners and scores as all pairs give, from a few templates a scan, under a plan that doesn't grow."""
+    scans = documents.nested(spark, "/root/testdata/sf0.001").where("scan_id % 5 = 0")
+    templates = many_templates(10_000)
+    got = {r.scan_id: (r.template_index, r.score) for r in M.best_template(scans, templates).collect()}
+    book = M.RuleBook(templates)
+    index = M.TemplateIndex(templates, book)
+    rows = M._measured(scans, book).select("scan_id", "__l.avg_x", "__l.left_ratio", "__l.n", "__best").collect()
+    layouts, fits = np.array([(r.avg_x, r.left_ratio, r.n) for r in rows], float), np.array([r["__best"] for r in rows])
+    content = index.contents(fits)
+    for k, r in enumerate(rows):
+        scores = index._layout(layouts[k][None], index.points) * 0.8 + content[k, index.signature] * 0.2
+        assert got[r.scan_id] == (int(index.index[scores.argmax()]), scores.max())
+    found, _, met = index.best(layouts, fits)
+    assert (found >= 0).all() and met < len(rows) * len(templates) * 0.05
+    plan = lambda ts: len(M.process_documents(scans, ts)._jdf.queryExecution().optimizedPlan().toString())
+    assert plan(templates) < 1.2 * plan(templates[:200])
+
+
+def test_index_agrees_with_columns(spark):
+    scans, templates = documents.nested(spark, "/root/testdata/sf0.001").where("scan_id % 40 = 0"), many_templates(120, 3)
+    best = {}
+    for r in M.scored(scans, templates).collect():
+        best[r.scan_id] = max(best.get(r.scan_id, (0, 0)), (round(r.score, 9), -r.template_index))
+    got = {r.scan_id: (round(r.score, 9), -r.template_index) for r in M.best_template(scans, templates).collect()}
+    assert got == {k: v for k, v in best.items() if v[0] > 0}
+
+
+def test_facts_by_text_and_by_row(spark, monkeypatch):
+    """The same results from facts of distinct texts (sent, and met by a shuffle with hot texts apart) as from facts worked out in the row."""
+    blocks = documents.scan_blocks(spark, "/root/testdata/sf0.001").unionByName(spark.createDataFrame([(-1, 0, None, 1.0, 1.0, 2.0, 2.0), (-1, 1, "", 1.0, 1.0, 2.0, 2.0), (-2, None, None, None, None, None, None)], "scan_id long, block_pos int, text string, left double, top double, right double, bottom double"))
+    rows = lambda scans: sorted(map(tuple, documents.flat_results(M.process_documents(scans, documents.TEMPLATES)).collect()))
+    want = rows(M.nest(blocks))
+    assert len(want) > 1000 and rows(M.nest(blocks, documents.TEMPLATES)) == want
+    monkeypatch.setattr(facts, "SENT_TEXTS", 0)
+    monkeypatch.setattr(facts, "HOT", 0.01)
+    assert rows(M.nest(blocks, documents.TEMPLATES)) == want
+
+
+def test_outcomes_in_one_pass(spark):
+    scans = spark.createDataFrame([(1, BLOCKS), (2, []), (3, None), (4, [("far away", (90000.0, 9.0, 90100.0, 20.0))])], SCAN)
+    results, others = M.split_documents(scans, [TEMPLATE])
+    assert [r.scan_id for r in results.collect()] == [1] and {(r.scan_id, r.outcome) for r in others.collect()} == {(2, "no_blocks"), (3, "no_blocks"), (4, "no_fit")}
+    assert {r.outcome for r in M.split_documents(scans, [TEMPLATE | {"blocks": []}])[1].collect()} == {"no_blocks", "no_template"}
+
+
+def test_merged_report(spark):
+    """The parts of two halves add up to the report of the whole, by day too."""
+    results = M.process_documents(documents.nested(spark, "/root/testdata/sf0.001"), documents.TEMPLATES).withColumn("day", F.col("scan_id") % 3)
+    results = written(results, "results")
+    halves = [M.report_parts(results.where(f"scan_id % 2 = {k}"), "day") for k in (0, 1)]
+    tell = lambda df: sorted((*r[:5], round(r[5], 9), round(r[6], 9)) for r in map(tuple, df.collect()))
+    want = tell(M.extraction_report(results, "day"))
+    assert len(want) > 20 and tell(M.report_of(M.merged_parts(*halves))) == want == tell(M.report_of(halves[0].unionByName(halves[1])))
 
 
 def confidence(spark, text, rule):
