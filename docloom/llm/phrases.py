@@ -20,6 +20,7 @@ Words are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,7 @@ SAMPLE_DOCS = 4000
 SAMPLE = 200_000
 #: Exact for counts of up to 17 digits.
 SCORE = "1000 * cast(a AS decimal(17,0)) * cast(n AS decimal(17,0)) DIV (cast(l AS decimal(17,0)) * cast(r AS decimal(17,0)))"
+PARTS = 32
 _U = np.uint64
 #: Pieces end at .,;:!? and line ends; words end at blanks and tabs too.
 ENDS = np.zeros(256, bool)
@@ -201,12 +203,17 @@ def range_ends(docs: DataFrame, dictionary: Dictionary, rows: int, places: int,
 
 
 def routed(docs: DataFrame, dictionary: Broadcast[Dictionary], ends: dict[str, np.ndarray]) -> DataFrame:
-    """lang, range, rows, n: packed suffixes and their counts, by range of the order of suffixes."""
+    """lang, range, rows, n: packed suffixes and their counts, a partition for each range. Languages that the sample hasn't met have a
+    range each among those of the others."""
+    total, first = 0, {}
+    for lang, edge in sorted(ends.items()):
+        first[lang], total = total, total + len(edge) + 1
+    total = max(total, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
         for lang, rows, n in _gathered(batches, dictionary.value):
-            edge = ends.get(lang, np.zeros(0, "S1"))
+            edge, base = ends.get(lang, np.zeros(0, "S1")), first.get(lang, zlib.crc32(lang.encode()) % total)
             keys = _packed(rows)
             low, high = np.searchsorted(edge, keys, "left"), np.searchsorted(edge, keys, "right")
             # A suffix that is the end of several ranges may lie in each of them: tasks take turns.
@@ -216,9 +223,9 @@ def routed(docs: DataFrame, dictionary: Broadcast[Dictionary], ends: dict[str, n
             rows, n, to = rows[order], n[order].astype(np.uint32), to[order]
             cut = np.flatnonzero(np.diff(to, prepend=-1))
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(to)], strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([int(to[a])], pa.int32()), pa.array([rows[a:b].tobytes()], pa.binary()), pa.array([n[a:b].tobytes()], pa.binary())], ["lang", "range", "rows", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([base + int(to[a])], pa.int32()), pa.array([rows[a:b].tobytes()], pa.binary()), pa.array([n[a:b].tobytes()], pa.binary())], ["lang", "range", "rows", "n"])
 
-    return docs.mapInArrow(run, "lang string, range int, rows binary, n binary")
+    return docs.mapInArrow(run, "lang string, range int, rows binary, n binary").repartitionById(total, F.col("range"))
 
 
 def sorted_partitions(rows: np.ndarray, n: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -283,15 +290,19 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int) -> DataFrame:
     ends, kind = range_ends(docs, dictionary, docs.count(), places, ranges), dictionary.kind
     sent = docs.sparkSession.sparkContext.broadcast(dictionary)
 
-    def count(part: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(x, kind) for x in part["rows"].to_pylist()]).reshape(-1, DEPTH)
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in part["n"].to_pylist()]).astype(np.int64)
-        found, a = counts_in_range(rows, n, least)
-        size = np.concatenate(([0], np.cumsum((found != 0).sum(axis=1))))
-        hashes = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(sent.value.hashes(found[found != 0]).view(np.int64)))
-        return pa.table([pa.array([part["lang"][0].as_py()] * len(a), pa.string()), hashes, pa.array(a)], ["lang", "hashes", "a"])
-
-    parts = routed(docs, sent, ends).groupBy("lang", "range").applyInArrow(count, "lang string, hashes array<long>, a long")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[bytes, bytes]]] = {}  # a partition is one range
+        for batch in batches:
+            for lang, rows, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "rows", "n")), strict=True):
+                held.setdefault(lang, []).append((rows, n))
+        for lang in list(held):
+            rows, n = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held.pop(lang), strict=True), (kind, np.uint32), strict=True))
+            found, a = counts_in_range(rows.reshape(-1, DEPTH), n.astype(np.int64), least)
+            size = np.concatenate(([0], np.cumsum((found != 0).sum(axis=1))))
+            hashes = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(sent.value.hashes(found[found != 0]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), hashes, pa.array(a)], ["lang", "hashes", "a"])
+
+    parts = routed(docs, sent, ends).mapInArrow(count, "lang string, hashes array<long>, a long")
     return parts.groupBy("lang", "hashes").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
@@ -327,8 +338,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str
     cuts = cuts.join(F.broadcast(totals), "lang").withColumn("score", F.expr(SCORE))
     worst = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     scored = worst.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").cast("long").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # First within parts of a language, so that the last ranking meets no more than PARTS * top phrases of each.
+    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
+    first = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).withColumn("rank", place("lang", "part")).where(F.col("rank") <= top)
+    return first.withColumn("rank", place("lang")).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op12_suffix_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
