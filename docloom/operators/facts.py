@@ -75,6 +75,8 @@ def text_facts(texts: DataFrame, book: RuleBook) -> DataFrame:
 def with_facts(blocks: DataFrame, book: RuleBook) -> DataFrame:
     """blocks (with a column text) and their facts; a null text has facts of its own (score 0, value null)."""
     counted = blocks.where(F.col("text").isNotNull()).groupBy("text").agg(F.count("*").alias("__n"))
+    # Few bytes, but much work each: not left to partitions that were merged for their size.
+    counted = counted.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     table = written(text_facts(counted, book), "facts")
     size = table.agg(F.count("*").alias("texts"), F.coalesce(F.sum("__n"), F.lit(0)).alias("rows")).first()
     none = row_facts(F.lit(None).cast("string"), book)

@@ -84,10 +84,16 @@ TEMPLATES = [
 ]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few files dealt to all cores, since a derived row takes far longer than reading it; one of many files stays as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def spark_table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A derivation over the driver's table that it names."""
     name = SOURCES[sql]
-    return spark.sql(sql.replace(f"FROM {name}", f"FROM {{{name}}}"), **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet")})
+    return spark.sql(sql.replace(f"FROM {name}", f"FROM {{{name}}}"), **{name: spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))})
 
 
 def scan_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
