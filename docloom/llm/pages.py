@@ -10,11 +10,13 @@ other). For every path two entropies are measured over the host's m pages:
 A branch's importance is a mix of both, content taken over all texts in the branch. A host with few pages
 says little, so its importance is shrunk towards that of the same path in the tree of all hosts, by
 m / (m + `PRIOR`). Branches that are below `LEAST`, with all that is in them, are removed from
-each page of the host. What markup states openly
-needs no statistics, because its text may differ on every page: menus, headers, footers, sidebars, notices,
-adverts, forms, scripts and reader comments are no article, whatever they hold. Names that only hint at it
-(share, related, search and the like) take `HINTED` off the importance. <article> and <main> are a prior: `MARKED` is added to the importance of branches in them, so
-that near copies of an article don't remove it, and what nearly all pages repeat goes there too.
+each page of the host. Markup is a prior of it: in <article> and <main> `MARKED` is added, so that near copies of an
+article don't remove it, while what nearly all pages repeat goes there too; where a host's pages have these
+elements, `OUTSIDE` is taken off all that stands beside them, by the share of pages that have them. A class or id that is
+named for a menu, sidebar, notice, advert, comments and the like (its last word is: cookie-notice, but not notice-of-award)
+takes off `NAMED`, one that only hints at it (another word, or share, related, search) `HINTED`.
+What elements and roles state openly needs no statistics, because its text may differ on every page: <nav>, <footer>,
+<aside>, <form>, <script> and their like, a <header> outside the article, and what is `hidden` are no article.
 
 Pages of a host whose texts (those that are no open noise) are all equal count once, so that a copied article
 doesn't look like boilerplate; in the tree of all hosts they count once over all hosts. Each page has one row,
@@ -24,8 +26,9 @@ no hot key. What comes back
 to the pages is each host's list of branches to remove: sent to all tasks while it has at most `SENT` rows
 (counted first), else joined by host, salted.
 
-A path names its first `DEPTH` elements; deeper ones are told apart by one hash of all that is below, so that rows
-keep a bounded size. Child sequences and long lists of names are hashed whole.
+A path names its first `DEPTH` elements and has a hash for each of those below, which stands for an element with its
+names. Elements more than `LEVELS` deep (far beyond what browsers' pages have) are told apart by one hash of all that
+is between. Child sequences and long lists of names are hashed whole.
 """
 
 from __future__ import annotations
@@ -44,15 +47,15 @@ from docloom.llm.urls import host_and_path
 
 LEAST = 0.7
 PRIOR = 100
-#: Added to the importance of what stands in <article> or <main>.
-MARKED = 0.35
+#: Added to the importance of what stands in <article> or <main>, and taken off what stands beside them.
+MARKED, OUTSIDE = 0.35, 0.35
 GAMMA = 0.9
 SENT = 100_000
 SALT = 32
-#: Taken off the content of texts in links, and off the importance of branches with a hinting name.
-LINKED, HINTED = 0.5, 0.2
-#: Levels of a path that are named, and names of an element that are; the rest is hashed.
-DEPTH, NAMES = 12, 6
+#: Taken off the content of texts in links, and off the importance of branches with a hinting or a telling name.
+LINKED, HINTED, NAMED = 0.5, 0.2, 0.7
+#: Levels of a path that are named, those that are told apart at all, and names of an element that are; the rest is hashed.
+DEPTH, LEVELS, NAMES = 12, 128, 6
 
 #: Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,10 +72,13 @@ MAIN = frozenset(("article", "main"))
 #: An opening tag closes these open ones.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+WORDS = re.compile("[a-z]+")
 #: A quote opens a value only behind an equals sign.
 TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|[^>=]+|=)*+)(?:>|\Z)""")
 OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*))?""")
+#: In a path, an element that is named for what is no article.
+TELLING = "!"
 
 
 class Element:
@@ -80,34 +86,38 @@ class Element:
 
     def __init__(self, tag: str, up: Element | None, attributes: str):
         self.tag, self.children, self.last = tag, 0, ""
-        names, noise, hidden = [], tag in NOISE, False
+        inside = up is not None and up.main
+        self.main = tag in MAIN or inside
+        names, noise, telling = [], tag in NOISE or tag == "header" and not inside, False
         if attributes and tag not in ("html", "body"):
             for name, value in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'").lower()
                 if name == "hidden":
-                    hidden = True
+                    noise = True
                 elif name == "role":
                     noise |= value in NOISE_ROLES
-                else:
-                    names += re.findall("[a-z]+", value)
-        main = tag in MAIN
-        inside = up is not None and up.main
-        noise |= hidden or any(x in NOISE_WORDS for x in names) or tag == "header" and not inside or not inside and "header" in names and not main
-        self.main = main or inside
+                elif name in ("class", "id"):
+                    for token in value.split():
+                        words = WORDS.findall(token)
+                        names += words
+                        telling |= words[-1:] != [] and (words[-1] in NOISE_WORDS or words[-1] == "header" and not self.main)
         self.noise = noise or up is not None and up.noise
         self.depth = 0 if up is None else up.depth + 1
         names = sorted({*names})
         if len(names) > NAMES:
-            hints = [x for x in names if x in HINTS][:1]
+            hints = [x for x in names if x in HINTS or x in NOISE_WORDS][:1]
             names = [*names[:NAMES], f"~{zlib.crc32(' '.join(names).encode())}", *hints]
-        own = tag + "".join("." + x for x in names)
+        own = ".".join([tag, *names, *([TELLING] if telling else [])])
         self.tail = 0 if self.depth < DEPTH else zlib.crc32(own.encode(), up.tail)
         if up is None:
             self.path = own
         elif self.depth < DEPTH:
             self.path = f"{up.path}/{own}"
         else:
-            self.path = f"{up.path if self.depth == DEPTH else up.path.rsplit('/', 1)[0]}/~{self.tail}"
+            # The tail takes in all that is above; marks that the prior reads stay legible.
+            kept = "".join(f".{x}" for x in (TELLING if telling else "", next((x for x in names if x in HINTS or x in NOISE_WORDS), "")) if x)
+            level = f"{tag if tag in MAIN else ''}~{self.tail}{kept}"
+            self.path = f"{up.path if self.depth < LEVELS else up.path.rsplit('/', 1)[0]}/{level}"
 
     def add(self, tag: str) -> None:
         """Count a child in: its tag, unless the one before has the same."""
@@ -193,30 +203,40 @@ def blocks(page: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
     return out, elements
 
 
+def _hash(s: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(s) - (1 << 63)
+
+
+def found_in(page: str) -> tuple[int, list[tuple[str, int, int]]]:
+    """(print: hash of all texts, evidence: (path, kind, hash)) of a page. Kind 0: it has the path, 1: a child sequence, 2: a text, 3: a text
+    in links; markup that is openly noise is left out."""
+    texts, elements = blocks(page)
+    found = set()
+    for e in elements:
+        if not e.noise:
+            found.add((e.path, 0, 0))
+            found.add((e.path, 1, e.children))
+    own = [(e.path, 3 if linked else 2, _hash(t)) for e, t, linked in texts if not e.noise]
+    found.update(own)
+    return _hash(" ".join(str(h) for _, _, h in own)), sorted(found)
+
+
+FOUND = "found array<struct<path: string, kind: int, hash: long>>"
+
+
 def distinct_pages(pages: DataFrame) -> DataFrame:
-    """host, print (hash of all texts), found: one row for pages of a host with equal texts. found has (path, kind: 0 the page has the path, 1 a child sequence, 2 a text, 3 a text in links, hash); markup that is openly noise is left out."""
+    """host, print, found: one row for pages of a host with equal texts."""
     found_type = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32()), ("hash", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        hash_of = lambda s: xxhash.xxh3_64_intdigest(s) - (1 << 63)
         for batch in batches:
-            prints, rows = [], []
-            for page in batch.column(1).to_pylist():
-                texts, elements = blocks(page or "")
-                found = set()
-                for e in elements:
-                    if not e.noise:
-                        found.add((e.path, 0, 0))
-                        found.add((e.path, 1, e.children))
-                own = [(e.path, 3 if linked else 2, hash_of(t)) for e, t, linked in texts if not e.noise]
-                found.update(own)
-                prints.append(hash_of(" ".join(str(h) for _, _, h in own)))
-                rows.append([{"path": p, "kind": k, "hash": h} for p, k, h in sorted(found)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(rows, found_type)], ["host", "print", "found"])
-
-    found = pages.mapInArrow(run, "host string, print long, found array<struct<path: string, kind: int, hash: long>>")
+            told = [found_in(page or "") for page in batch.column(1).to_pylist()]
+            rows = [[{"path": p, "kind": k, "hash": h} for p, k, h in found] for _, found in told]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in told], pa.int64()), pa.array(rows, found_type)], ["host", "print", "found"])
+
+    found = pages.mapInArrow(run, f"host string, print long, {FOUND}")
     return found.groupBy("host", "print").agg(F.min("found").alias("found"))
 
 
@@ -265,20 +285,32 @@ def removals(pages: DataFrame) -> DataFrame:
         salts = every.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         joined = host.withColumn("salt", F.pmod(F.xxhash64("host"), F.lit(SALT)).cast("int")).join(salts, ["path", "salt"], "left")
     mixed = joined.withColumn("importance", weight * F.col("importance") + (1 - weight) * F.coalesce("overall", "importance"))
-    main = F.exists(F.split("path", "/"), lambda t: F.split(t, r"\.")[0].isin(*MAIN))
-    hinted = F.exists(F.split("path", r"[/.]"), lambda t: t.isin(*HINTS))
-    prior = F.when(main, MARKED).otherwise(0.0) - F.when(hinted, HINTED).otherwise(0.0)
+    main = F.exists(F.split("path", "/"), lambda t: F.regexp_extract(t, "^[^.~]*", 0).isin(*MAIN))
+    # The share of a host's pages with a marked article: at most that of the commonest path to one.
+    marked = host.where(F.split(F.element_at(F.split("path", "/"), -1), "[.~]")[0].isin(*MAIN)).groupBy("host").agg(F.max("m").alias("marked"))
+    sizes = distinct.groupBy("host").agg(F.count("*").alias("size"))
+    hosts = written(sizes.join(marked, "host").select("host", (F.col("marked") / F.col("size")).alias("share")), "hosts")
+    mixed = mixed.join(F.broadcast(hosts) if hosts.count() <= SENT else hosts, "host", "left")
+    words = F.split("path", r"[/.]")
+    hinted, telling = F.exists(words, lambda t: t.isin(*HINTS, *NOISE_WORDS)), F.exists(words, lambda t: t == TELLING)
+    prior = F.when(main, MARKED).otherwise(-OUTSIDE * F.coalesce("share", F.lit(0.0))) - F.when(telling, NAMED).when(hinted, HINTED).otherwise(0.0)
     scored = mixed.select("host", F.explode(branches("path")).alias("path"), (F.col("importance") + prior).alias("score"))
     return scored.groupBy("host", "path").agg(F.max("score").alias("score")).where((F.col("score") < LEAST) & ~F.col("path").rlike("^#(/html)?(/body)?$")).select("host", "path")
 
 
 def article(page: str, removed: set[str]) -> str:
     """The texts of blocks that are no noise and in no removed branch, joined by line breaks."""
-    out = []
-    for e, text, _ in blocks(page)[0]:
-        if not e.noise and not any(e.path == r or e.path.startswith(r + "/") for r in removed):
-            out.append(text)
-    return "\n".join(out)
+    gone: dict[str, bool] = {}
+
+    def is_gone(path: str) -> bool:
+        if path not in gone:
+            at = len(path)
+            while at > 0 and path[:at] not in removed:
+                at = path.rfind("/", 0, at)
+            gone[path] = at > 0
+        return gone[path]
+
+    return "\n".join(text for e, text, _ in blocks(page)[0] if not e.noise and not is_gone(e.path))
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", id: str = "page_id") -> DataFrame:
