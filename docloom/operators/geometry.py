@@ -200,6 +200,93 @@ def contour_metrics(contours: DataFrame) -> DataFrame:
     return rows.withColumn("rectangularity", F.col("c_area") / F.col("c_box_area")).drop("__m")
 
 
+def _turn(o: Column, a: Column, b: Column) -> Column:
+    return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
+
+
+def hull(points: Column) -> Column:
+    """The convex hull of a shape by the monotone chain: each step of a fold takes the last point off the chain or puts the next one on."""
+
+    def chain(s: Column) -> Column:
+        start = F.struct(F.slice(s, 1, 0).alias("h"), F.lit(0).alias("i"))
+
+        def step(c: Column, _: Column) -> Column:
+            h, i = c["h"], c["i"]
+            n = F.size(h)
+            off = (n >= 2) & (_turn(F.get(h, n - 2), F.get(h, n - 1), F.get(s, i)) <= 0)
+            moved = F.when(off, F.struct(F.slice(h, F.lit(1), n - 1).alias("h"), i.alias("i"))).otherwise(F.struct(F.array_append(h, F.get(s, i)).alias("h"), (i + 1).alias("i")))
+            return F.when(i >= F.size(s), c).otherwise(moved)
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(s) * 2), start, step)["h"]
+
+    def of(s: Column) -> Column:
+        low, high = chain(s), let(F.reverse(s), chain)
+        both = let(low, lambda a: let(high, lambda b: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(b, F.lit(1), F.size(b) - 1))))
+        return F.when(F.size(s) < 3, s).otherwise(both)
+
+    return let(F.array_sort(F.array_distinct(points)), of)
+
+
+def simplified(points: Column, tolerance: Column) -> Column:
+    """A closed outline cut down to points that are farther than the tolerance from the line between their neighbours (Douglas and
+    Peucker). It begins at the point farthest from the middle; the stretches still to be split are a stack in the state of a fold."""
+
+    def farthest(ring: Column, p: Column) -> Column:
+        square = lambda q: (q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"])
+        return -F.array_max(F.transform(ring, lambda q, i: F.struct(square(q).alias("d"), (-i).alias("i"))))["i"]
+
+    def turned(points: Column) -> Column:
+        n = F.size(points)
+        middle = F.struct((F.aggregate(points, F.lit(0.0), lambda a, q: a + q["x"]) / n).alias("x"), (F.aggregate(points, F.lit(0.0), lambda a, q: a + q["y"]) / n).alias("y"))
+        start = let(middle, lambda m: farthest(points, m))
+        return let(start, lambda k: F.concat(F.slice(points, k + 1, n), F.slice(points, F.lit(1), k)))
+
+    def split(ring: Column, tolerance: Column) -> Column:
+        n, far = F.size(ring), farthest(ring, F.get(ring, 0))
+        stretch = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+        at = lambda k: F.get(ring, k % n)
+
+        def off(a: Column, b: Column) -> Column:
+            """struct<o, k>: how far the farthest point between two is off their line, and minus its place."""
+            def of(p: Column, q: Column, k: Column) -> Column:
+                dx, dy, px, py = q["x"] - p["x"], q["y"] - p["y"], at(k)["x"] - p["x"], at(k)["y"] - p["y"]
+                length = F.sqrt(dx * dx + dy * dy)
+                return F.struct(F.when(length > 0, F.abs(dx * py - dy * px) / length).otherwise(F.sqrt(px * px + py * py)).alias("o"), (-k).alias("k"))
+
+            return F.array_max(F.transform(F.sequence(a + 1, b - 1), lambda k: of(at(a), at(b), k)))
+
+        def step(c: Column, _: Column) -> Column:
+            stack, kept = c["stack"], c["kept"]
+            last = F.get(stack, F.size(stack) - 1)
+            rest = F.slice(stack, F.lit(1), F.size(stack) - 1)
+
+            def cut(o: Column) -> Column:
+                k = -o["k"]
+                more = F.struct(F.concat(rest, F.array(stretch(last["a"], k), stretch(k, last["b"]))).alias("stack"), F.array_append(kept, k).alias("kept"))
+                return F.when(o["o"] > tolerance, more).otherwise(F.struct(rest.alias("stack"), kept.alias("kept")))
+
+            short = F.struct(rest.alias("stack"), kept.alias("kept"))
+            return F.when(F.size(stack) == 0, c).when(last["b"] - last["a"] < 2, short).otherwise(let(off(last["a"], last["b"]), cut))
+
+        def fold(far: Column) -> Column:
+            start = F.struct(F.array(stretch(F.lit(0), far), stretch(far, n)).alias("stack"), F.array_distinct(F.array(F.lit(0), far)).alias("kept"))
+            kept = F.aggregate(F.sequence(F.lit(1), n * 2), start, step)["kept"]
+            return F.transform(F.array_sort(kept), lambda k: F.get(ring, k))
+
+        return let(far, fold)
+
+    cut = let(tolerance, lambda tolerance: let(let(points, turned), lambda ring: split(ring, tolerance)))
+    return F.when(F.size(points) < 4, points).otherwise(cut)
+
+
+def outline_metrics(contours: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """Contours with metrics and what their outlines tell: solidity (area over that of the hull) and vertices (of the outline
+    simplified at a share of its perimeter)."""
+    told = F.struct(let(hull(F.col("points")), area).alias("hull"), F.size(simplified(F.col("points"), F.col("c_perimeter") * tolerance)).alias("vertices"))
+    rows = once(contours, "__o", told)
+    return rows.select(*contours.columns, F.col("__o.vertices").alias("vertices"), F.when(F.col("__o.hull") > 0, F.col("c_area") / F.col("__o.hull")).alias("solidity"))
+
+
 def filter_contours(contours: DataFrame) -> DataFrame:
     """Contours (with metrics and `vertices`, the corners of their simplified outline) that can be documents."""
     share = F.col("c_area") / (F.col("frame_width") * F.col("frame_height"))

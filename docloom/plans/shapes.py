@@ -204,6 +204,74 @@ def g14_best_contour_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.best_contour(contours(spark, sf_dir), "complexity").select("frame_id", "contour_id", r6("score"))
 
 
+def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's quads as outlines of 64 points: sixteen a side, uneven, one in six with a notch, one in five with a blunt corner."""
+    rows = spark_table(spark, sf_dir, QUADS)
+    corner = lambda c, k: F.get(F.array(*(F.col(f"{c}{n}") for n in range(4))), k.cast("int") % 4)
+
+    def at(k: F.Column) -> F.Column:
+        side, t = F.floor(k / 16), (k % 16).cast("double")
+        on = lambda c: corner(c, side) + (corner(c, side + 1) - corner(c, side)) * t / 16
+        notch = F.when((F.col("frame_id") % 6 == 0) & k.between(20, 24), 60.0).when((F.col("frame_id") % 5 == 0) & k.between(30, 34), 45.0).otherwise(0.0)
+        return G.point(on("x") - notch, on("y") + ((F.col("frame_id") * 7 + k * 13) % 5 - 2).cast("double") / 4)
+
+    points = F.transform(F.sequence(F.lit(0), F.lit(63)), at)
+    rows = rows.withColumn("points", points)
+    return G.contour_metrics(rows.select(F.col("user_id").alias("frame_id"), F.col("frame_id").alias("contour_id"), "frame_width", "frame_height", "points"))
+
+
+def _outlined(tolerance: float) -> str:
+    """SQL of outlines: the same folds over lists."""
+    corner = lambda c, k: f"[{c}0, {c}1, {c}2, {c}3][({k}) % 4 + 1]"
+    on = lambda c: f"{corner(c, 'k // 16')} + ({corner(c, 'k // 16 + 1')} - {corner(c, 'k // 16')}) * CAST(k % 16 AS DOUBLE) / 16"
+    notch = "CASE WHEN q.frame_id % 6 = 0 AND k BETWEEN 20 AND 24 THEN 60.0 WHEN q.frame_id % 5 = 0 AND k BETWEEN 30 AND 34 THEN 45.0 ELSE 0 END"
+    turn = lambda o, a, b: f"({a}.x - {o}.x) * ({b}.y - {o}.y) - ({a}.y - {o}.y) * ({b}.x - {o}.x)"
+    chain = lambda s: f"""list_reduce([{{'h': {s}[1:0], 'i': k}} for k in range(2 * len({s}))], lambda a, b: CASE WHEN a.i > len({s}) THEN a
+      WHEN len(a.h) >= 2 AND {turn("a.h[-2]", "a.h[-1]", f"{s}[a.i]")} <= 0 THEN {{'h': a.h[1:len(a.h) - 1], 'i': a.i}} ELSE {{'h': list_append(a.h, {s}[a.i]), 'i': a.i + 1}} END, {{'h': {s}[1:0], 'i': CAST(1 AS BIGINT)}}).h"""
+    area = lambda p: f"abs(list_sum([{p}[i].x * {p}[i % len({p}) + 1].y - {p}[i % len({p}) + 1].x * {p}[i].y for i in range(1, len({p}) + 1)])) / 2"
+    square = lambda p, q: f"({p}.x - {q}.x) * ({p}.x - {q}.x) + ({p}.y - {q}.y) * ({p}.y - {q}.y)"
+    cross = "abs((q.x - p.x) * (z.y - p.y) - (q.y - p.y) * (z.x - p.x)) / nullif(sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)), 0)"
+    for name, at in (("p", "c[a.st[-1].a + 1]"), ("q", "c[a.st[-1].b + 1]"), ("z", "c[k + 1]")):
+        cross = cross.replace(f"{name}.", f"{at}.")
+    last = "list_max([{'o': " + f"coalesce({cross}, sqrt({square('c[k + 1]', 'c[a.st[-1].a + 1]')}))" + ", 'k': -k} for k in range(a.st[-1].a + 1, a.st[-1].b)])"
+    state = "{'st': %s, 'n': %s}"
+    rest = "a.st[1:len(a.st) - 1]"
+    cut = state % (f"list_concat({rest}, [{{'a': a.st[-1].a, 'b': -({last}).k}}, {{'a': -({last}).k, 'b': a.st[-1].b}}])", "a.n + 1")
+    step = f"CASE WHEN len(a.st) = 0 THEN a WHEN a.st[-1].b - a.st[-1].a < 2 THEN {state % (rest, 'a.n')} WHEN ({last}).o > tol THEN {cut} ELSE {state % (rest, 'a.n')} END"
+    return f""", ol AS (SELECT user_id AS frame_id, frame_id AS contour_id, frame_width AS fw, frame_height AS fh, [{{'x': {on("x")} - {notch}, 'y': {on("y")} + CAST((q.frame_id * 7 + k * 13) % 5 - 2 AS DOUBLE) / 4}} for k in range(64)] AS p FROM q),
+    om AS (SELECT *, {area("p")} AS area, list_sum([sqrt({square("p[i]", "p[i % 64 + 1]")}) for i in range(1, 65)]) AS per, list_sort(list_distinct(p)) AS s, {{'x': list_sum([z.x for z in p]) / 64, 'y': list_sum([z.y for z in p]) / 64}} AS mid,
+      list_min([z.x for z in p]) AS bx, list_min([z.y for z in p]) AS by_, list_max([z.x for z in p]) - list_min([z.x for z in p]) + 1 AS bw, list_max([z.y for z in p]) - list_min([z.y for z in p]) + 1 AS bh FROM ol),
+    oh AS (SELECT *, list_reverse(s) AS r, -list_max([{{'d': {square("p[k + 1]", "mid")}, 'k': -k}} for k in range(64)]).k AS start FROM om),
+    oc AS (SELECT *, {chain("s")} AS lo, {chain("r")} AS hi, list_concat(p[start + 1:], p[1:start]) AS g FROM oh),
+    og AS (SELECT *, list_concat(lo[1:len(lo) - 1], hi[1:len(hi) - 1]) AS hull, list_append(g, g[1]) AS c, -list_max([{{'d': {square("g[k + 1]", "g[1]")}, 'k': -k}} for k in range(64)]).k AS far, per * {tolerance} AS tol FROM oc),
+    ov AS (SELECT *, {area("hull")} AS hull_area, list_reduce([{{'st': [{{'a': far, 'b': far}}], 'n': k}} for k in range(128)], lambda a, b: {step}, {{'st': [{{'a': CAST(0 AS BIGINT), 'b': far}}, {{'a': far, 'b': CAST(64 AS BIGINT)}}], 'n': CAST(2 AS BIGINT)}}).n AS v FROM og),
+    ct AS (SELECT frame_id, contour_id, fw * fh AS fa, area, per, area / (bw * bh) AS rect, bw / bh AS ba, CAST(v AS INT) AS v, area / nullif(hull_area, 0) AS sol,
+      1 - sqrt((bx + bw / 2 - fw / 2.0) * (bx + bw / 2 - fw / 2.0) + (by_ + bh / 2 - fh / 2.0) * (by_ + bh / 2 - fh / 2.0)) / sqrt(fw * fw / 4.0 + fh * fh / 4.0) AS pos FROM ov)"""
+
+
+@query(_outlined(0.02) + " SELECT frame_id, contour_id, v AS vertices, round(sol, 6) AS solidity FROM ct")
+def g13_outline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.outline_metrics(outlines(spark, sf_dir), 0.02).select("frame_id", "contour_id", "vertices", r6("solidity"))
+
+
+@query(_outlined(0.05) + " SELECT frame_id, contour_id, v AS vertices FROM ct WHERE area / fa BETWEEN 0.05 AND 0.90 AND per >= 100 AND rect >= 0.3 AND v BETWEEN 3 AND 8")
+def g13_filter_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.filter_contours(G.outline_metrics(outlines(spark, sf_dir))).select("frame_id", "contour_id", "vertices")
+
+
+@query(_best("least(1, area / (fa * 0.5::DOUBLE)) * 0.3::DOUBLE + sol * 0.25::DOUBLE + rect * 0.2::DOUBLE + CASE WHEN v = 4 THEN 1.0::DOUBLE WHEN v BETWEEN 3 AND 6 THEN 0.8::DOUBLE - abs(v - 4) * 0.1::DOUBLE ELSE 0.3::DOUBLE END * 0.15::DOUBLE + pos * 0.1::DOUBLE", "per >= 200 AND ba BETWEEN 0.3 AND 3.5 AND rect > 0.5 AND sol > 0.75").replace(_CONTOURS, _outlined(0.02)))
+def g14_best_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.best_contour(G.outline_metrics(outlines(spark, sf_dir), 0.02), "composite").select("frame_id", "contour_id", r6("score"))
+
+
+@query(
+    _METRICS + """, z AS (SELECT frame_id, least(greatest(w, 200), frame_width * 2) AS w, least(greatest(h, 200), frame_height * 2) AS h, 1.588::DOUBLE AS e FROM m)
+    SELECT frame_id, CAST(trunc(CASE WHEN abs(w / h - e) > 0.1 AND w / h > e THEN h * e ELSE w END) AS INT) AS out_width, CAST(trunc(CASE WHEN abs(w / h - e) > 0.1 AND w / h <= e THEN w / e ELSE h END) AS INT) AS out_height FROM z"""
+)
+def g19_scaled_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.rectified_size(G.quad_metrics(quads(spark, sf_dir)), "scaled", F.lit(1.588)).select("frame_id", "out_width", "out_height")
+
+
 @query(_CONTOURS + " SELECT frame_id, contour_id, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY area DESC, contour_id) AS k FROM ct) WHERE k <= 5")
 def g15_top_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.top_contours(contours(spark, sf_dir)).select("frame_id", "contour_id", "rank")
