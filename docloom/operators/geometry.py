@@ -6,6 +6,8 @@ and they are sent to every task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ DOCUMENT_TYPES = (
     ("usd", "US Dollar", 156.0, 66.3, 2.35),
 )
 
+#: Types that may be one row; ratios of a fine band; bands of a part.
+ROW_TYPES, BAND_TYPES, PART_BANDS = 200, 4, 1000
+
 
 def document_types(spark: SparkSession) -> DataFrame:
     """id, name, width, height, aspect_ratio: six rows."""
@@ -131,19 +136,69 @@ def rectangle_in_frame_ok(c: Column, width: Column, height: Column) -> Column:
 
 
 def match_document_type(quads: DataFrame, types: DataFrame, tolerance: float = 0.15, mode: str = "absolute", best: bool = True) -> DataFrame:
-    """quads (with `detected`, width over height) with the types whose ratio is near: within `tolerance`, or with mode "relative" under that share of the expected ratio; a type without a ratio passes. `best`: only the nearest, the first by id among equals."""
+    """quads (with `detected`, width over height) with the types whose ratio is near: within `tolerance`, or with mode "relative" under that share of the expected ratio; a type without a ratio passes. `best`: only the nearest, the first by id among equals.
+
+    Up to ROW_TYPES types are one row, which every quad tries inside its own row. More are gathered in bands of ratios (`banded`),
+    and a quad meets those of its band alone. Either way a quad stays in its row."""
     def tried(t: Column) -> Column:
         gap = F.abs(F.col("detected") - t["aspect_ratio"])
         near = gap <= tolerance if mode == "absolute" else gap < tolerance * t["aspect_ratio"]
         return F.when(near | t["aspect_ratio"].isNull() | (t["aspect_ratio"] <= 0), F.struct(gap.alias("gap"), t["type_id"].alias("type_id"), t["aspect_ratio"].alias("aspect_ratio")))
 
-    # The types are one row, which every quad tries inside its own row: no shuffle, and each quad of a frame keeps its own.
-    known = types.agg(F.collect_list(F.struct(F.col("id").alias("type_id"), "aspect_ratio")).alias("__types"))
+    types = types.select(F.col("id").alias("type_id"), "aspect_ratio")
+    if types.limit(ROW_TYPES + 1).count() <= ROW_TYPES:
+        known = types.agg(F.collect_list(F.struct("type_id", "aspect_ratio")).alias("__types"))
+        rows = quads.crossJoin(F.broadcast(known))
+    else:
+        rows = banded(quads, types, tolerance, mode, best)
     fits = F.array_compact(F.transform("__types", tried))
-    rows = quads.crossJoin(F.broadcast(known)).withColumn("__t", F.explode(F.filter(F.array(F.array_min(fits)), lambda t: t.isNotNull()) if best else fits))
+    rows = rows.withColumn("__t", F.explode(F.filter(F.array(F.array_min(fits)), lambda t: t.isNotNull()) if best else fits))
     return rows.select(*quads.columns, "__t.type_id", "__t.aspect_ratio", "__t.gap")
 
 
+def banded(quads: DataFrame, types: DataFrame, tolerance: float, mode: str, best: bool) -> DataFrame:
+    """quads with __types: candidates among many types, by an equi-join on a band of ratios.
+
+    For all near types a band is as wide as the tolerance reaches (relative ones are bands of logarithms), and a type is in its own
+    and both neighbours. For the best one bands are fine, a few ratios each; the nearest ratio to any value of a band is in it,
+    or is the last one below it or the first one above. Types without a ratio, of which there may be ROW_TYPES, are in all."""
+    plain = F.col("aspect_ratio").isNull() | (F.col("aspect_ratio") <= 0)
+    open_ = types.where(plain)
+    if open_.limit(ROW_TYPES + 1).count() > ROW_TYPES:
+        raise ValueError(f"more than {ROW_TYPES} types without a ratio: all of them pass for every quad")
+    always = open_.agg(F.collect_list(F.struct("type_id", "aspect_ratio")).alias("__open"))
+    rows = types.where(~plain).groupBy("aspect_ratio").agg(F.min("type_id").alias("type_id")).select("type_id", "aspect_ratio") if best else types.where(~plain)
+    if best:
+        size = rows.agg(F.count("*").alias("n"), F.min("aspect_ratio").alias("low"), F.max("aspect_ratio").alias("high")).first()
+        count = max(1, size.n // BAND_TYPES)
+        width = ((size.high or 0.0) - (size.low or 0.0)) / count or 1.0
+        # Quads beyond all ratios belong to the outer bands.
+        place = lambda c: F.least(F.greatest(F.floor((c - F.lit(size.low or 0.0)) / width), F.lit(0)), F.lit(count - 1)).cast("long")
+        own = rows.groupBy(place(F.col("aspect_ratio")).alias("band")).agg(F.collect_list(F.struct("type_id", "aspect_ratio")).alias("own"), F.min(F.struct("aspect_ratio", "type_id")).alias("first"), F.max(F.struct("aspect_ratio", "type_id")).alias("last"))
+        every = rows.sparkSession.range(count).withColumnRenamed("id", "band").join(own, "band", "left")
+        # Bands number a fraction of the types; running over them in parts keeps no part large.
+        part = (F.col("band") / PART_BANDS).cast("long")
+        ends = every.groupBy(part.alias("part")).agg(F.max("last").alias("last"), F.min("first").alias("first"))
+        over = Window.orderBy("part")
+        ends = ends.select("part", F.max("last").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__below"), F.min("first").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("__above"))
+        inside = Window.partitionBy("part").orderBy("band")
+        seen = every.withColumn("part", part).join(F.broadcast(ends), "part")
+        below = F.coalesce(F.max("last").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("__below"))
+        above = F.coalesce(F.min("first").over(inside.rowsBetween(1, Window.unboundedFollowing)), F.col("__above"))
+        flip = lambda s: F.when(s.isNotNull(), F.struct(s["type_id"].alias("type_id"), s["aspect_ratio"].alias("aspect_ratio")))
+        lists = seen.select("band", F.array_compact(F.concat(F.coalesce("own", F.array().cast("array<struct<type_id:string,aspect_ratio:double>>")), F.array(flip(below), flip(above)))).alias("__types"))
+        rows = quads.withColumn("band", place(F.col("detected"))).join(lists, "band", "left")
+    else:
+        step = tolerance if mode == "absolute" else -math.log(1 - tolerance)
+        value = (lambda c: c) if mode == "absolute" else F.log
+        place = lambda c: F.floor(value(c) / step).cast("long")
+        lists = rows.withColumn("band", F.explode(F.sequence(place(F.col("aspect_ratio")) - 1, place(F.col("aspect_ratio")) + 1))).groupBy("band").agg(F.collect_list(F.struct("type_id", "aspect_ratio")).alias("__types"))
+        rows = quads.withColumn("band", place(F.col("detected"))).join(lists, "band", "left")
+    none = F.array().cast("array<struct<type_id:string,aspect_ratio:double>>")
+    rows = rows.crossJoin(F.broadcast(always))  # one row
+    return rows.withColumn("__types", F.concat(F.coalesce("__types", none), F.coalesce("__open", none))).drop("band", "__open")
+
+
 def scan_region(df: DataFrame, aspect: str = "aspect_ratio", width: str = "frame_width", height: str = "frame_height", rotation: str | None = None) -> DataFrame:
     """region_x, region_y, region_w, region_h: the largest centred box of an aspect in 85 % of the (rotated) frame, no side under 200."""
     w, h, a = F.col(width).cast("double"), F.col(height).cast("double"), F.col(aspect)

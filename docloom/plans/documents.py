@@ -360,6 +360,20 @@ def s1_read_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.explode_blocks(io.read_scans(spark, path)).select("scan_id", "block_pos", "block.text", "block.boundingBox.left", "block.boundingBox.right")
 
 
+@query(""" SELECT CAST(o_orderkey % 4 AS INT) AS kind, CASE o_orderkey % 4 WHEN 1 THEN 'not JSON' WHEN 2 THEN 'wrong type' WHEN 3 THEN 'cut off' END AS reason, count(*) AS records FROM orders GROUP BY ALL""")
+def s1_rejected_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each order: some aren't JSON, some have a part of a wrong type, some are cut off."""
+    key = F.col("o_orderkey")
+    whole = F.concat(F.lit('{"scan_id": '), key.cast("string"), F.lit(', "text": "k'), (key % 4).cast("string"), F.lit('", "blocks": [{"text": "a", "boundingBox": {"left": '), F.when(key % 4 == 2, '"x"').otherwise("1.5"), F.lit("}}]}"))
+    raw = F.when(key % 4 == 1, F.concat(F.lit("k1 "), key.cast("string"))).when(key % 4 == 3, F.concat(F.lit('{"k3": '), key.cast("string"))).otherwise(whole)
+    path = folders.new_folder(spark, "records")
+    spark.read.parquet(f"{sf_dir}/orders.parquet").select(raw.alias("value")).write.text(path)
+    scans_, rejects = io.read_scans_checked(spark, path)
+    told = rejects.select(F.when(F.col("reason") == "wrong type", 2).when(F.col("reason") == "cut off", 3).otherwise(1).alias("kind"), "reason")
+    good = scans_.where("scan_id % 4 = 0 AND blocks[0].boundingBox.left = 1.5").select(F.lit(0).alias("kind"), F.lit(None).cast("string").alias("reason"))
+    return told.unionByName(good).groupBy("kind", "reason").agg(F.count("*").alias("records"))
+
+
 @query(""", per AS (SELECT p_brand, count(*) AS n, min(p_size) AS lo, max(p_size) AS hi FROM part GROUP BY p_brand)
 SELECT CAST(row_number() OVER (ORDER BY p_brand) - 1 AS INT) AS template_index, p_brand AS format, CAST(n % 5 AS INT) AS format_id, CAST(lo AS DOUBLE) AS left, CAST(hi AS DOUBLE) AS right FROM per""")
 def s2_read_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,6 +400,16 @@ def s6_normalize_anchor_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.normalize_anchor_configs(rows).drop("image")
 
 
+@query(_RESULTS + " SELECT scan_id, template_index, format, format_id, round(match_score, 6) AS match_score, fields, matched FROM full_")
+def s7_write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written in two batches by format, the first of them twice, as a replay does, and read back."""
+    results = folders.written(matching.process_documents(with_facts(spark, sf_dir), TEMPLATES), "results")
+    path = folders.new_folder(spark, "sink")
+    for batch in (0, 1, 0):
+        io.write_batch(results.where(F.col("scan_id") % 2 == batch), batch, path)
+    return flat_results(io.read_batches(spark, path, results.schema))
+
+
 @query(_RESULTS + " SELECT scan_id, template_index, format, format_id, round(match_score, 6) AS match_score, fields, matched FROM full_")
 def t4_stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived scans arrive as a stream of files; the results are what its sink holds when all have been read."""
