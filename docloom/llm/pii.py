@@ -2,16 +2,18 @@
 
 Base detectors find emails, IP addresses, card numbers and phone numbers by pattern and check. Next to them
 three loose generators propose spans with high recall: addresses in disguise, runs of digits and marks, and
-tokens that mix letters and digits, as keys and passwords do. Proposals overlap each
+tokens that mix letters and digits, or upper and lower case, as keys and passwords do. Proposals overlap each
 other and the base spans. Boosted trees score each from its format (length, digits, groups, marks, letters, lead)
-and its context (the characters on both sides); proposals that score above a calibrated threshold and touch no
-base span are added, tokens as kind `secret`.
+and its context (the characters on both sides, a credential's name before it); proposals that score above a calibrated
+threshold and touch no base span are added, tokens as kind `secret`.
 
 Labels are weak, and not all proposals have one. Positive are those that overlap a checked base span, and tokens
-that a credential's name is assigned (`password=`, `token = "`). Negative are numbers without a base span, and
-tokens of plain shape (one run of digits at an end, as in `covid19` or `2004-05-06`). Addresses in disguise and
-tokens that mix letters and digits, without such a name, have no label: these the trees can add, by likeness. What
-the labels were read from is hidden from the trees: they see neither an at sign nor what stands before a token.
+that a credential's name is assigned (`password=`, `token = "`). Negative are numbers without a base span, and, without
+such a name, tokens that are short, hex digests, UUIDs, or ordinary: every part between marks has one run of digits at
+most (covid19, 2004-05-06, paths, versions). Addresses in disguise and other tokens have no label: these
+the trees can add, by likeness. The trees don't see an at sign. So that they learn more than the names that labels come from,
+a named token is also shown without its name: as positive if it is long and no ordinary one, but a hex key's alphabet
+is hidden then, for hex without a name is a digest as a rule, which is shown as negative.
 
 Features are small integers, so all labelled proposals of the corpus collapse to a table of feature cells with
 counts, which a grouped sum builds over all rows; its size is bounded by the product of the features' ranges (at
@@ -29,6 +31,7 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,16 +47,20 @@ KINDS = {
 LOOSE = {
     "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
     "number": r"(?<![0-9A-Za-z])[0-9+(](?:[\x20().+-]{0,2}[0-9]){0,40}+(?![0-9A-Za-z])",
-    "token": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{8,}+",
+    "token": r"(?<![A-Za-z0-9_+/-])(?:(?=[A-Za-z_+/-]*+[0-9])|(?=[A-Za-z_+/-]{16})(?=[a-z_+/-]*+[A-Z])(?=[A-Z_+/-]*+[a-z]))[A-Za-z0-9_+/-]{8,}+",
 }
 #: A text without these holds no span of any kind.
-HINT = r"[0-9@]|[(\[]at[)\]]"
-#: Names of credentials, before an assignment; tokens of plain shape.
+HINT = r"[0-9@]|[a-z][A-Z]|[(\[]at[)\]]"
+#: Names of credentials, before an assignment and anywhere; hex digests and UUIDs; ordinary tokens.
 NAMED = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\x22']?\s?[:=]\s?[\x22']?$"
-PLAIN = r"^(?:[A-Za-z_+/-]*+[0-9]++|[0-9]++[A-Za-z_+/-]*+|[0-9]++(?:[+/_-][0-9]++)*+)$"
+NEAR = r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|key|auth|credentials?|bearer)(?![a-z])"
+HEX = r"^(?:[0-9a-f]++|[0-9A-F]++|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12})$"
+ORDINARY = r"^[A-Za-z]*+[0-9]*+[A-Za-z]*+(?:[_+/-]++[A-Za-z]*+[0-9]*+[A-Za-z]*+)*+$"
+#: Characters of a token that isn't short.
+LONG = 16
 ROUNDS, RATE, LEAVES = 24, 0.4, 1.0
 PRECISION = 0.99
-FEATURES = {"loose": 3, "size": 5, "digits": 5, "groups": 5, "marks": 4, "letters": 4, "lead": 3, "before": 4, "after": 4}
+FEATURES = {"loose": 3, "size": 5, "digits": 5, "groups": 5, "marks": 4, "letters": 4, "lead": 3, "before": 4, "after": 4, "near": 3}
 MOST_CELLS = math.prod(FEATURES.values())
 #: Matches whose places are added up in one run.
 RUN = 256
@@ -177,17 +184,27 @@ def proposals(docs: DataFrame, text: str) -> DataFrame:
     def described(x: Column, t: Column, of_base: Column) -> Column:
         d, token = F.length(digits_of(t)), x["loose"] == 2
         kind = F.when(x["loose"] == 0, "email").when(token, "secret").when(F.size(F.split(t, r"\.")) >= 3, "ip").when(t.rlike(r"^[+(]") | (d < 14), "phone").otherwise("card")
-        lead = F.substr(F.col(text), F.greatest(x["s"] - 24, F.lit(0)) + 1, F.least(x["s"], F.lit(24)))
-        label = F.when(of_base, 1).when(x["loose"] == 1, 0).when(x["loose"] == 0, -1).when(lead.rlike(NAMED), 1).when(t.rlike(PLAIN), 0).otherwise(-1)
-        return F.struct(
-            x["s"].alias("s"), x["e"].alias("e"), kind.alias("kind"), of_base.alias("of_base"), label.alias("label"), x["loose"].alias("loose"),
-            cut(F.length(t), (8, 12, 18, 24)).alias("size"), cut(d, (2, 7, 10, 14)).alias("digits"), cut(F.size(F.split(t, "[^0-9]+")), (2, 3, 4, 5)).alias("groups"),
-            cut(F.length(F.regexp_replace(t, r"[\p{L}0-9\x20@]", "")), (1, 2, 4)).alias("marks"),
-            F.when(~t.rlike("[A-Za-z]"), 0).when(~t.rlike("[A-Z]"), 1).when(~t.rlike("[a-z]"), 2).otherwise(3).alias("letters"),
-            F.when(F.startswith(t, F.lit("+")) | F.startswith(t, F.lit("(")), 0).when(t.rlike("^[0-9]"), 1).otherwise(2).alias("lead"),
-            F.when(token, 0).otherwise(side(F.when(x["s"] > 0, F.substr(F.col(text), x["s"], F.lit(1))).otherwise(F.lit("")))).alias("before"),
-            side(F.substr(F.col(text), x["e"] + 1, F.lit(1))).alias("after"),
-        )
+        before = lambda n: F.substr(F.col(text), F.greatest(x["s"] - n, F.lit(0)) + 1, F.least(x["s"], F.lit(n)))
+        near = F.when(~token, 0).when(before(24).rlike(NAMED), 2).when(before(48).rlike(NEAR), 1).otherwise(0)
+        shape = F.when(t.rlike(ORDINARY), 2).when(t.rlike(HEX), 1).otherwise(0)
+        # How often a token turns between small letters, capitals and digits, beyond its parts between marks.
+        turns = F.length(F.regexp_replace(t, "[a-z]++|[A-Z]++|[0-9]++|[^a-zA-Z0-9]++", "x")) - F.size(F.split(t, "[^a-zA-Z0-9]++")) * 2
+
+        def told(near: Column, shape: Column) -> Column:
+            weak = F.when(near == 2, 1).when((shape == 2) | (F.length(t) < LONG) | (shape == 1) & (near == 0), 0).otherwise(-1)
+            label = F.when(of_base, 1).when(x["loose"] == 1, 0).when(x["loose"] == 0, -1).otherwise(weak)
+            lead = F.when(token, shape).when(F.startswith(t, F.lit("+")) | F.startswith(t, F.lit("(")), 0).when(t.rlike("^[0-9]"), 1).otherwise(2)
+            return F.struct(
+                x["s"].alias("s"), x["e"].alias("e"), kind.alias("kind"), of_base.alias("of_base"), label.alias("label"), x["loose"].alias("loose"),
+                cut(F.length(t), (8, 12, LONG, 24)).alias("size"), cut(d, (2, 7, 10, 14)).alias("digits"),
+                F.when(token, cut(turns, (2, 4, 7, 11))).otherwise(cut(F.size(F.split(t, "[^0-9]+")), (2, 3, 4, 5))).alias("groups"),
+                cut(F.length(F.regexp_replace(t, r"[\p{L}0-9\x20@]", "")), (1, 2, 4)).alias("marks"),
+                F.when(~t.rlike("[A-Za-z]"), 0).when(~t.rlike("[A-Z]"), 1).when(~t.rlike("[a-z]"), 2).otherwise(3).alias("letters"), lead.alias("lead"),
+                side(F.when(x["s"] > 0, F.substr(F.col(text), x["s"], F.lit(1))).otherwise(F.lit(""))).alias("before"),
+                side(F.substr(F.col(text), x["e"] + 1, F.lit(1))).alias("after"), near.alias("near"),
+            )
+
+        return let(F.struct(near.alias("near"), shape.alias("shape")), lambda v: told(v["near"], v["shape"]))
 
     # Base spans are bound once: a column that a lambda refers to may be worked out anew for each element.
     base = F.struct(*(F.col(f"__{k}").alias(k) for k in KINDS))
@@ -199,41 +216,32 @@ def fit(cells: list[tuple[tuple[int, ...], float, float]]) -> list[tuple[int, in
 
     A tree is (feature, bound, left, right): left where the feature is at most the bound; a side is
     (feature, bound, value left, value right)."""
-    score = [0.0] * len(cells)
-    trees = []
+    if not cells:
+        return []
+    x, (y, n) = np.array([c[0] for c in cells]), (np.array([c[k] for c in cells], float) for k in (1, 2))
+    score, trees = np.zeros(len(cells)), []
 
-    def leaf(part: list[int], g: list[float], h: list[float]) -> float:
-        return sum(g[i] for i in part) / (sum(h[i] for i in part) + LEAVES)
-
-    def split(part: list[int], g: list[float], h: list[float]) -> tuple[float, int, int]:
+    def split(part: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, int]:
         best = 0.0, 0, 10**6
-        total_g, total_h = sum(g[i] for i in part), sum(h[i] for i in part)
-        for f, n in enumerate(FEATURES.values()):
-            by_g, by_h = [0.0] * n, [0.0] * n
-            for i in part:
-                by_g[cells[i][0][f]] += g[i]
-                by_h[cells[i][0][f]] += h[i]
-            a = b = 0.0
-            for v in range(n - 1):
-                a, b = a + by_g[v], b + by_h[v]
-                gain = a * a / (b + LEAVES) + (total_g - a) ** 2 / (total_h - b + LEAVES) - total_g**2 / (total_h + LEAVES)
-                if gain > best[0] + 1e-12:
-                    best = gain, f, v
-        return best
-
-    for _ in range(ROUNDS if cells else 0):
-        p = [1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s in score]
-        g = [y - n * q for (_, y, n), q in zip(cells, p, strict=True)]
-        h = [n * q * (1 - q) for (_, _, n), q in zip(cells, p, strict=True)]
-        _, f, v = split([*range(len(cells))], g, h)
-        sides = []
-        for part in ([i for i, c in enumerate(cells) if c[0][f] <= v], [i for i, c in enumerate(cells) if c[0][f] > v]):
-            _, f2, v2 = split(part, g, h)
+        total_g, total_h = g[part].sum(), h[part].sum()
+        for f, size in enumerate(FEATURES.values()):
+            a, b = (np.cumsum(np.bincount(x[part, f], v[part], size))[:-1] for v in (g, h))
+            gain = a * a / (b + LEAVES) + (total_g - a) ** 2 / (total_h - b + LEAVES) - total_g**2 / (total_h + LEAVES)
+            v = int(gain.argmax())
+            if gain[v] > best[0] + 1e-12:
+                best = float(gain[v]), f, v
+        return best[1:]
+
+    for _ in range(ROUNDS):
+        p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+        g, h, sides = y - n * p, n * p * (1 - p), []
+        f, v = split(np.arange(len(cells)), g, h)
+        for part in (np.flatnonzero(x[:, f] <= v), np.flatnonzero(x[:, f] > v)):
+            f2, v2 = split(part, g, h)
             values = []
-            for inner in ([i for i in part if cells[i][0][f2] <= v2], [i for i in part if cells[i][0][f2] > v2]):
-                values.append(RATE * leaf(inner, g, h))
-                for i in inner:
-                    score[i] += values[-1]
+            for inner in (part[x[part, f2] <= v2], part[x[part, f2] > v2]):
+                values.append(float(RATE * g[inner].sum() / (h[inner].sum() + LEAVES)))
+                score[inner] += values[-1]
             sides.append((f2, v2, *values))
         trees.append((f, v, *sides))
     return trees
@@ -270,6 +278,13 @@ def train(rows: DataFrame) -> tuple[list, float]:
     """(trees, threshold) from all labelled proposals of all rows; at most 2 x MOST_CELLS cells are collected."""
     # Not explode: the optimizer would first ask whether the array has elements, and work it out twice for it.
     x = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), F.explode_outer("__loose").alias("x")).select("half", "x.*").where("label >= 0")
+    # A named token is shown without its name too: see the module's docstring.
+    named, long = (F.col("near") == 2) & ~F.col("of_base"), F.col("size") >= 3
+    shown = lambda near, lead, label: F.struct(near.alias("near"), lead.alias("lead"), label.alias("label"))
+    bare = F.when(named & long & (F.col("lead") < 2), shown(F.lit(0), F.lit(0), F.lit(1)))
+    digest = F.when(named & (F.col("lead") == 1), shown(F.lit(0), F.lit(1), F.lit(0)))
+    views = F.array_compact(F.array(shown(F.col("near"), F.col("lead"), F.col("label")), bare, digest))
+    x = x.withColumn("v", F.explode(views)).withColumns({c: F.col(f"v.{c}") for c in ("near", "lead", "label")})
     cells = x.groupBy("half", *FEATURES).agg(F.sum(F.col("label").cast("double")).alias("y"), F.count("*").cast("double").alias("n")).collect()
     cells = sorted((r.half or 0, tuple(r[f] for f in FEATURES), r.y, r.n) for r in cells)
     trees = fit([c[1:] for c in cells if c[0] == 0])
@@ -297,8 +312,8 @@ def personal_data(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Da
     base = F.concat(*map(of, KINDS))
     number = F.create_map(*(F.lit(v) for kv in order.items() for v in kv))
     if trees and threshold < math.inf:
-        # What a check or its own plain shape refutes is not added: bare numbers, and tokens labelled negative.
-        may = lambda x: (x["loose"] == 0) | (x["kind"] == "phone") & (x["lead"] == 0) | (x["loose"] == 2) & (x["label"] != 0)
+        # What a check refutes is not added: bare numbers, also as tokens without a letter or a name.
+        may = lambda x: (x["loose"] == 0) | (x["loose"] == 1) & (x["kind"] == "phone") & (x["lead"] == 0) | (x["loose"] == 2) & ((x["letters"] > 0) | (x["near"] == 2))
         added = F.filter("__loose", lambda x: ~x["of_base"] & may(x) & (score_column(trees, x) >= threshold))
         added = F.transform(added, lambda x: struct(x, x["kind"], number[x["kind"]]))
     else:
