@@ -19,6 +19,7 @@ again writes files under a new name; the manifest names the files of the attempt
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 import zlib
@@ -42,6 +43,9 @@ _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 #: Words kept with their ids in each Python worker.
 CACHE = 500_000
+#: Bytes of text that a shard should hold, and rows whose mean length tells how many shards that makes.
+SHARD_BYTES = 1 << 28
+MEAN_ROWS = 1000
 
 
 def mask(crc: int) -> int:
@@ -156,19 +160,34 @@ def encoded(docs: DataFrame, path: str, width: int, text: str = "text", id: str
 def write_records(docs: DataFrame, folder: str, path: str | None = None, width: int = 2, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Encode every text and write shards in ascending id order; returns the manifest, one row per shard.
 
-    Rows of a null id come first; rows of one id are ordered by their number of ids and checksum, so the
-    files are the same whenever they are written again. Null and empty texts are the end id alone. An empty
-    table writes no shard. `width`: bytes of an id in a payload, 2 while the vocabulary has at most 65,536.
+    Rows of a null id come first, in the order of their checksum and number of ids; rows of one id are ordered by
+    their number of ids and checksum, so the files are the same whenever they are written again. Null and empty
+    texts are the end id alone. An empty table writes no shard. `width`: bytes of an id in a payload, 2 while the
+    vocabulary has at most 65,536.
+
+    Shards are counted so that one holds about SHARD_BYTES of text, by the number of rows and the mean length of some of
+    them, and number at least the shuffle partitions; each is written by a task of its own. Rows of null ids are
+    dealt to shards by ranges of their checksum.
     """
     spark = docs.sparkSession
     path = path or tokenizer_path()
-    n = partitions(spark)
+    key = F.col(id).cast("long")
+    rows = docs.agg(F.count("*").alias("all"), F.count_if(key.isNull()).alias("null")).first()
+    mean = docs.select(F.coalesce(F.octet_length(F.col(text)), F.lit(0)).alias("b")).limit(MEAN_ROWS).agg(F.avg("b")).first()[0] or 0
+    shards_for = lambda count: math.ceil(count * mean / SHARD_BYTES)
+    n, nulls = max(partitions(spark), shards_for(rows["all"])), max(1, shards_for(rows["null"])) if rows["null"] else 0
     # Shard edges from the id column alone: the texts are read once.
-    edges = docs.select(F.percentile_approx(F.col(id).cast("long"), [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    edges = docs.select(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0] or []
     edges = sorted(set(edges))
-    shard = F.coalesce(F.size(F.filter(F.lit(edges).cast("array<long>"), lambda e: e <= F.col("doc_id"))) if edges else F.lit(0), F.lit(0))
-    rows = encoded(docs, path, width, text, id).withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(shard))
-    rows = rows.repartition(n, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "n_tokens", "crc").select("shard", "doc_id", "n_tokens", "payload")
+    # The first edge that lies above an id, found by halving, in one expression of constant size.
+    known = F.lit(edges).cast("array<long>")
+    step = lambda s, _: F.when(s["lo"] < s["hi"], F.when(F.get(known, F.shiftright(s["lo"] + s["hi"], 1)) <= F.col("doc_id"), F.struct((F.shiftright(s["lo"] + s["hi"], 1) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), F.shiftright(s["lo"] + s["hi"], 1).alias("hi")))).otherwise(s)
+    place = F.aggregate(F.sequence(F.lit(0), F.lit(len(edges).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(edges)).alias("hi")), step)["lo"] if edges else F.lit(0)
+    shard = F.when(F.col("doc_id").isNull(), F.floor(F.col("crc") * max(nulls, 1) / 2**32).cast("int")).otherwise(place + nulls)
+    rows = encoded(docs, path, width, text, id).withColumn("shard", shard.cast("int"))
+    null = F.col("doc_id").isNull()
+    order = ("shard", F.asc_nulls_first("doc_id"), F.when(null, F.col("crc")), "n_tokens", "crc")
+    rows = rows.repartitionById(nulls + len(edges) + 1, F.col("shard")).sortWithinPartitions(*order).select("shard", "doc_id", "n_tokens", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -218,21 +237,21 @@ def read_records(spark: SparkSession, folder: str, manifest: list) -> DataFrame:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for name, records, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with store.open_input_stream(f"{root}/{name}.idx") as f:
-                    index = list(struct.iter_unpack("<QI", f.read()))
-                if len(index) != records:
-                    raise ValueError(f"{name}: index has {len(index)} records, manifest {records}")
-                with store.open_input_file(f"{root}/{name}.rec") as f:
+                with store.open_input_file(f"{root}/{name}.idx") as index, store.open_input_file(f"{root}/{name}.rec") as f:
+                    if index.size() != records * 12:
+                        raise ValueError(f"{name}: index has {index.size() / 12} records, manifest {records}")
                     head = f.read(16)
                     if head[:8] != MAGIC:
                         raise ValueError(f"{name} isn't a record file")
                     size, kind = f.size(), np.uint16 if head[8] == 2 else np.uint32
-                    for a in range(0, len(index), 256):
-                        part = index[a : a + 256]
-                        lo, hi = part[0][0], index[a + 256][0] if a + 256 < len(index) else size
+                    for a in range(0, records, 256):
+                        # The entries of some records, and one more to know where the last of them ends.
+                        index.seek(a * 12)
+                        part = list(struct.iter_unpack("<QI", index.read(12 * min(257, records - a))))
+                        lo, hi = part[0][0], part[256][0] if len(part) > 256 else size
                         f.seek(lo)
                         data, out = f.read(hi - lo), []
-                        for offset, k in part:
+                        for offset, k in part[:256]:
                             body, _ = parse(data, offset - lo)
                             i, null, n = struct.unpack_from("<qBI", body)
                             ids = np.frombuffer(unpack.decompress(body[13:]), kind).astype("<u4")

@@ -47,3 +47,27 @@ def test_table_against_library(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = sorted(map(tuple, R.token_records(docs).collect()), key=lambda r: r[1])
     assert got == brute(rows)
+
+
+def test_many_shards_and_null_ids(spark, monkeypatch):
+    """More shards than shuffle partitions, one task each; rows without an id are spread over several, in a fixed order."""
+    monkeypatch.setattr(R, "SHARD_BYTES", 200)
+    rows = [(None, f"null {k % 37} " * 5) for k in range(120)] + [(k % 300, f"text {k} " * 4) for k in range(350)] + [(7, "hot")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    folder = R.new_folder(spark, "records")
+    manifest = R.write_records(docs, folder).collect()
+    assert len(manifest) > 40 and sum(m["records"] for m in manifest) == len(rows) and max(m["records"] for m in manifest if m["shard"] > 30) < 120
+    first = R.read_records(spark, folder, manifest)
+    got = [tuple(r) for r in first.orderBy("start").collect()]
+    starts = [0]
+    for r in got:
+        assert r[1] == starts[-1]
+        starts.append(r[1] + r[2])
+    assert [r[0] for r in got] == sorted((r[0] for r in got), key=lambda i: (i is not None, i or 0))
+    want = sorted((i, n, c) for i, _, n, c in brute(rows) if i is not None)
+    assert sorted((r[0], r[2], zlib.crc32(bytes(r[3]))) for r in got if r[0] is not None) == want
+    null = [zlib.crc32(bytes(r[3])) for r in got if r[0] is None]
+    assert sum(m["shard"] < 20 for m in manifest) > 5 and sorted(null) == sorted(c for i, _, _, c in brute(rows) if i is None)
+    again = R.new_folder(spark, "records")
+    second = R.read_records(spark, again, R.write_records(docs.repartition(2), again).collect())
+    assert [tuple(r) for r in second.orderBy("start").collect()] == got
