@@ -108,6 +108,21 @@ def passage(doc: np.ndarray, at: int, item: np.ndarray, j: int) -> tuple[int, in
     return None
 
 
+def _merged(doc: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges (a to b) of each text and item, in order, those that meet or follow each other made one."""
+    order = np.lexsort((a, item, doc))
+    doc, item, a, b = doc[order], item[order], a[order], b[order]
+    group = np.cumsum(np.concatenate((np.zeros(min(1, len(doc)), np.int64), (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))))
+    wide = int(max(b.max(initial=0), -a.min(initial=0))) * 2 + 4
+    reach = np.maximum.accumulate(group * wide + b)
+    begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(doc)), bool), (group * wide + a)[1:] > reach[:-1] + 1)))
+    return doc[begin], item[begin], a[begin], (reach[np.append(begin[1:], len(doc)) - 1] - (group * wide)[begin]) if len(doc) else b
+
+
+#: Meetings of windows looked at in one step.
+PAIRS = 1 << 20
+
+
 class Tests:
     """Sorted test hashes with a bit table in front: most windows of a document end there."""
 
@@ -117,8 +132,13 @@ class Tests:
         parts = [(h, np.full(len(h), i, np.int64), p) for i, w in items.items() for h, p in (test_seeds(w),)]
         self.items = items
         self.hash, self.item, self.at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        order = np.argsort(self.hash)
+        order = np.lexsort((self.at, self.item, self.hash))
         self.hash, self.item, self.at = self.hash[order], self.item[order], self.at[order]
+        # Runs: equal windows of an item that follow each other, as where one word repeats.
+        n = len(self.hash)
+        goes_on = (self.hash[1:] == self.hash[:-1]) & (self.item[1:] == self.item[:-1]) & (self.at[1:] == self.at[:-1] + 1)
+        self.run = np.flatnonzero(np.concatenate((np.ones(min(1, n), bool), ~goes_on)))
+        self.run_last = self.at[np.append(self.run[1:], n) - 1] if n else self.at
         self.table = np.zeros(1 << self.BITS, bool)
         self.table[self.hash >> _U(64 - self.BITS)] = True
         self.short = sorted({len(w) for w in items.values() if len(w) < SPAN})
@@ -132,24 +152,41 @@ class Tests:
                 ok = self.hash[np.minimum(k, len(self.hash) - 1)] == s[p]
                 yield p[ok], s[p[ok]]
 
-    def hits(self, h: np.ndarray, woff: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, first word, words, words that agree) of every passage in texts whose word hashes follow each other in h; the longest for each text and item."""
-        found = set()
+    def diagonals(self, h: np.ndarray, woff: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, first place in the texts minus place in the item) at which windows meet, each once, in order. Runs of equal
+        windows meet runs in one step, since they meet on all diagonals between two."""
+        parts, run_hash = [], self.hash[self.run]
         for p, s in self.windows(h):
-            lo, hi = np.searchsorted(self.hash, s, "left"), np.searchsorted(self.hash, s, "right")
             doc = np.searchsorted(woff, p, "right") - 1
-            for x, d, a, b in zip(p.tolist(), doc.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                for k in range(a, b):
-                    found.add((d, int(self.item[k]), x - int(self.at[k])))
+            new = np.ones(len(p), bool)
+            new[1:] = (s[1:] != s[:-1]) | (p[1:] != p[:-1] + 1) | (doc[1:] != doc[:-1])
+            begin = np.flatnonzero(new)
+            first, last = p[begin], p[np.append(begin[1:], len(p)) - 1] if len(p) else p
+            lo, hi = np.searchsorted(run_hash, s[begin], "left"), np.searchsorted(run_hash, s[begin], "right")
+            ends = np.cumsum(hi - lo)
+            for a in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+                pair = np.arange(a, min(a + PAIRS, int(ends[-1])))
+                mine = np.searchsorted(ends, pair, "right")
+                k = pair - (ends - (hi - lo))[mine] + lo[mine]
+                parts.append(_merged(doc[begin][mine], self.item[self.run[k]], first[mine] - self.run_last[k], last[mine] - self.at[self.run[k]]))
+        if parts:
+            for d, i, a, b in zip(*(x.tolist() for x in _merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))), strict=True):
+                for shift in range(a, b + 1):
+                    yield d, i, shift
+
+    def hits(self, h: np.ndarray, woff: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item, first word, words, words that agree) of every passage in texts whose word hashes follow each other in h; the longest for each text and item."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, i, shift in sorted(found):
+        for d, i, shift in self.diagonals(h, woff):
             words, item = h[woff[d] : woff[d + 1]], self.items[i]
             at = shift - int(woff[d])
             j = max(0, -at)
-            if at + j >= len(words) or j >= len(item):
+            room, known = min(len(words) - at - j, len(item) - j), best.get((d, i))
+            # Diagonals come in order: one can't be better without room for more, nor behind a whole and equal item.
+            if room <= 0 or known and (room < known[1] or known[1] == known[2] == len(item)):
                 continue
             got = passage(words, at + j, item, j)
-            if got and ((d, i) not in best or (*got[1:], -got[0]) > (*best[d, i][1:], -best[d, i][0])):
+            if got and (known is None or (*got[1:], -got[0]) > (*known[1:], -known[0])):
                 best[d, i] = got
         for (d, i), (first, n, agree) in best.items():
             yield d, i, first, n, agree

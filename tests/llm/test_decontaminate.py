@@ -5,7 +5,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from docloom.llm import decontaminate as D
+from docloom.llm import textkit
 
 VOCABULARY = [f"w{i}" for i in range(3000)]
 
@@ -126,3 +129,32 @@ def test_every_placing_of_allowed_substitutions_is_found(spark):
     left = spark.createDataFrame(docs, "doc_id long, text string")
     right = spark.createDataFrame(items, "item_id long, text string")
     assert {tuple(r) for r in both_ways(left, right)} == want
+
+
+def test_diagonals_against_all_meetings():
+    """Runs that meet runs give the diagonals that single meetings give, each once and in order."""
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        items = {int(i): textkit.mix(rng.integers(0, 3, int(rng.integers(1, 30))).astype(np.uint64)) for i in rng.choice(50, 4, replace=False)}
+        tests = D.Tests(items)
+        lengths = rng.integers(0, 40, 5)
+        woff = np.concatenate(([0], np.cumsum(lengths)))
+        h = textkit.mix(rng.integers(0, 3, int(woff[-1])).astype(np.uint64))
+        want = set()
+        for p, s in tests.windows(h):
+            for x, y in zip(p.tolist(), s.tolist(), strict=True):
+                for k in np.flatnonzero(tests.hash == np.uint64(y)):
+                    want.add((int(np.searchsorted(woff, x, "right")) - 1, int(tests.item[k]), x - int(tests.at[k])))
+        got = list(tests.diagonals(h, woff))
+        assert got == sorted(want)
+
+
+def test_equal_words_take_no_product_of_lengths():
+    import time
+
+    word = textkit.mix(np.array([5], np.uint64))
+    tests = D.Tests({1: np.repeat(word, 1000)})
+    h = np.repeat(word, 20_000)
+    began = time.process_time()
+    assert list(tests.hits(h, np.array([0, 20_000]))) == [(0, 1, 0, 1000, 1000)]
+    assert time.process_time() - began < 1
