@@ -41,3 +41,44 @@ def test_odd_rows(spark):
     assert len(rows) == 5 and all(r.score == 0.5 and r.predicted == 1 for r in rows)
     assert {r.held_out for r in rows if r.doc_id is None} == {False}
     assert Q.quality_scores(docs.limit(0), labels.limit(0)).collect() == []
+
+
+def test_ftrl_against_a_plain_loop():
+    """Weights after some examples, and the score of a text, by dictionaries and the published update."""
+    import math
+    import random
+
+    rng = random.Random(2)
+    data = [(sorted(rng.sample(range(60), rng.randint(1, 8))), rng.randint(0, 1)) for _ in range(300)]
+    data = [(at, [rng.uniform(0.1, 2) for _ in at], y) for at, y in data]
+    model, z, n = Q.Ftrl(), {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= Q.L1:
+            return 0.0
+        return -(z[i] - math.copysign(Q.L1, z[i])) / ((Q.BETA + math.sqrt(n[i])) / Q.ALPHA + Q.L2)
+
+    for at, x, y in data:
+        model.learn(np.array(at), np.array(x), y)
+        w = [weight(i) for i in at]
+        p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
+        for i, wi, xi in zip(at, w, x, strict=True):
+            g = (p - y) * xi
+            before = n.get(i, 0.0)
+            z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / Q.ALPHA * wi
+            n[i] = before + g * g
+    assert np.allclose(model.weights(np.arange(60)), [weight(i) if i in z else 0.0 for i in range(60)], atol=1e-12)
+
+
+def test_scores_against_a_plain_sum(spark):
+    """A score is the bias and the mean weight of a text's features, five times, through the logistic function."""
+    rng = np.random.default_rng(4)
+    weights = rng.normal(0, 1, Q.BUCKETS + 1).astype(np.float32)
+    texts = ["one two two three.", "%%% a b a b", "", None, "é ü " * 500]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in Q.score(docs, weights).collect()}
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        features, at = Q.tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        mean = sum(float(weights[f]) for f in features) / max(1, len(features))
+        assert abs(got[k] - 1 / (1 + np.exp(-(float(weights[-1]) + 5 * mean)))) < 1e-6
