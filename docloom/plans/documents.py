@@ -119,6 +119,24 @@ def x7_rule_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_kinds(spark, sf_dir, "value")
 
 
+_BONUSES = {
+    "patterns": [r"\d{4}"], "validation": {"mustContain": ["date", "birth"], "minLength": 5, "maxLength": 30},
+    "confidenceScoring": {"baseScore": 0.1, "keywordMatchBonus": 0.2, "lengthBonus": 0.1, "allCapsBonus": 0.15, "commaBonus": 0.05, "dateFormatBonus": 0.1, "formatMatchBonus": 0.07, "validationPassBonus": 0.12, "digitCountBonus": {"8": 0.03}},
+}
+_EACH_BONUS = {
+    "contains(lower(text), 'date') AND contains(lower(text), 'birth')": 0.2, "length(text) >= 5": 0.1, "text = upper(text) AND regexp_matches(text, '[A-Z]')": 0.15, "contains(text, ',')": 0.05,
+    f"regexp_matches(text, '{_DATE}')": 0.1, r"regexp_matches(text, '\d{4}')": 0.07, "length(text) BETWEEN 5 AND 30": 0.12, "length(regexp_replace(text, '[^0-9]', '', 'g')) = 8": 0.03,
+}
+
+
+@query(" SELECT scan_id, block_pos, round(least(1.0::DOUBLE, 0.1::DOUBLE" + "".join(f" + CASE WHEN {test} THEN {bonus}::DOUBLE ELSE 0 END" for test, bonus in _EACH_BONUS.items()) + "), 6) AS confidence FROM sb")
+def x6_every_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords, length, capitals, commas, dates, format, digits and validation in one rule."""
+    book = facts.RuleBook([{"rules": {"any": _BONUSES}}])
+    rows = facts.with_facts(scan_blocks(spark, sf_dir).select("scan_id", "block_pos", "text"), book)
+    return rows.select("scan_id", "block_pos", F.round(F.col("facts")[book.number(_BONUSES)]["score"], 6).alias("confidence"))
+
+
 _LAYOUT = """, c AS (SELECT scan_id, (left_ + right_) / 2 AS x, (top_ + bottom_) / 2 AS y FROM sb), mean AS (SELECT scan_id, count(*) AS n, avg(x) AS avg_x, avg(y) AS avg_y FROM c GROUP BY scan_id),
 lay AS (SELECT mean.scan_id, any_value(n) AS n, any_value(avg_x) AS avg_x, any_value(avg_y) AS avg_y, avg(CASE WHEN x < avg_x THEN 1.0::DOUBLE ELSE 0 END) AS left_ratio, avg(CASE WHEN y < avg_y THEN 1.0::DOUBLE ELSE 0 END) AS top_ratio FROM c JOIN mean USING (scan_id) GROUP BY mean.scan_id)"""
 
@@ -218,7 +236,6 @@ ids AS (SELECT scan_id, cc.tidx AS template_index, format, (0.25::DOUBLE * (CAST
   + CASE WHEN format = 'printout' AND wide OR format = 'card' AND compact THEN 0.2::DOUBLE ELSE 0 END) / 2.5::DOUBLE AS score, name, date_of_birth, gender, id_number FROM cc JOIN flags USING (scan_id) JOIN ident USING (scan_id) JOIN tf ON tf.tidx = cc.tidx)""")
 
 
-_KINDS = ("government_name", "user_full_name", "user_dob", "user_gender", "user_aadhar_no", "issued_on", "aadhar_info")
 
 
 def scan_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
