@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.sources.folders import clear, new_folder, shared_dir  # noqa: F401
+from docloom.sources.folders import clear, new_folder, shared_dir, written  # noqa: F401
 
 #: Rows of a few numbers that a join may send to every task; more are met by a shuffle join.
 SENT_ROWS = 2_000_000
@@ -15,13 +15,6 @@ ARROW_ROWS = 1500
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts lineage, and lost executors cost nothing that was written."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
