@@ -98,6 +98,8 @@ class Encoder:
         stem = word.rstrip(PUNCTUATION)
         if not stem.isalpha():
             return self.ids(lead + word)
+        if lead == " " and len(stem) < len(word) and stem in self.later:
+            return self.later[stem] + self.tail(word[len(stem) :])
         name = ("\u0120" if lead == " " else "") + stem.encode().decode("latin-1").translate(BYTES)
         ids = [t.id for t in self.tokenizer.model.tokenize(name)]
         out = struct.pack(f"<{len(ids)}{self.code}", *ids)
@@ -173,7 +175,8 @@ def write_records(docs: DataFrame, folder: str, path: str | None = None, width:
     path = path or tokenizer_path()
     key = F.col(id).cast("long")
     rows = docs.agg(F.count("*").alias("all"), F.count_if(key.isNull()).alias("null")).first()
-    mean = docs.select(F.coalesce(F.octet_length(F.col(text)), F.lit(0)).alias("b")).limit(MEAN_ROWS).agg(F.avg("b")).first()[0] or 0
+    some = [r[0] for r in docs.select(F.coalesce(F.octet_length(F.col(text)), F.lit(0))).take(MEAN_ROWS)]
+    mean = sum(some) / max(1, len(some))
     shards_for = lambda count: math.ceil(count * mean / SHARD_BYTES)
     n, nulls = max(partitions(spark), shards_for(rows["all"])), max(1, shards_for(rows["null"])) if rows["null"] else 0
     # Shard edges from the id column alone: the texts are read once.
