@@ -98,7 +98,7 @@ def draw(rows: DataFrame) -> DataFrame:
         most = blocks.agg(F.max("blocks")).first()[0]
         if most is None:
             break
-        one = blocks.withColumnRenamed("source", "of").withColumnRenamed("blocks", "n_blocks")
+        one = sent_if_few(written(blocks.withColumnRenamed("source", "of").withColumnRenamed("blocks", "n_blocks"), "blocks"))
         cut = todo.join(one, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64("deal", F.lit(most)), "n_blocks")).select(*rows.columns, "block")
         flown = written(cut.groupBy("source", "block").applyInPandas(_fly(most == 1, rows.columns), schema), "flight")
         done.append(flown.where("NOT (p > 0 AND p < 1)"))
@@ -132,7 +132,8 @@ def mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "
     rows = numbered(rows)
     targets = written(source_targets(rows).withColumnRenamed("source", "of"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("rate", rate)
+    # A row a source: sent while few, so that a source with most of the documents is no key of a shuffle.
+    joined = rows.join(sent_if_few(targets), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("rate", rate)
     joined = joined.withColumn("whole", F.floor("rate").cast("long")).withColumn("p", F.when(F.col("size") == 0, 0.0).otherwise(F.col("rate") - F.floor("rate")))
     drawn = draw(joined.select("doc_id", "source", "size", "h", "deal", "k", "source_size", "target", "whole", "p"))
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.round("p").cast("long"))
