@@ -23,8 +23,9 @@ import math
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,17 @@ def parse(data: bytes, at: int) -> tuple[bytes, int]:
     return body, end + 4
 
 
+class Known(dict):
+    """Words with their ids; one that is missing is worked out when it is asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, x: str) -> bytes:
+        out = self[x] = self.make(x)
+        return out
+
+
 class Encoder:
     """Texts to ids by the tokenizers library, each distinct word once.
 
@@ -86,8 +98,8 @@ class Encoder:
         self.tokenizer, self.kind = Tokenizer.from_file(path), {2: "<u2", 4: "<u4"}[width]
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.code, self.tails = {2: "H", 4: "I"}[width], {}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.first = Known(lambda x: self.word("", x))
+        self.later = Known(lambda x: self.word("\n", x[1:]) if x[:1] == "\n" else self.word(" ", x))
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -116,19 +128,17 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = ("  ", " \n", "\n\n", *self.special)
-        split = [None if any(s in t for s in whole) else t.replace("\n", " \n").split(" ") for t in texts]
-        for known, pick in ((self.first, slice(0, 1)), (self.later, slice(1, None))):
+        for known in (self.first, self.later):
             if len(known) > CACHE:
                 known.clear()
-            need: set[str] = set()
-            for words in split:
-                if words:
-                    need.update(words[pick])
-            new = need - known.keys()
-            for x in new:
-                known[x] = self.word("", x) if known is self.first else self.word("\n", x[1:]) if x[:1] == "\n" else self.word(" ", x)
-        first, later = self.first, self.later.__getitem__
-        return [self.ids(t) if w is None else first[w[0]] + b"".join(map(later, w[1:])) for t, w in zip(texts, split, strict=True)]
+        first, later, out = self.first.__getitem__, self.later.__getitem__, []
+        for t in texts:
+            if any(s in t for s in whole):
+                out.append(self.ids(t))
+            else:
+                words = t.replace("\n", " \n").split(" ")
+                out.append(first(words[0]) + b"".join(map(later, islice(words, 1, None))))
+        return out
 
 
 @lru_cache(1)
