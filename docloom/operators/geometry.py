@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.functions import outlines
 from docloom.functions.text import let, once
 
 #: Known document types, sizes in millimetres.
@@ -246,13 +248,20 @@ def rescale_points(points: Column, ratio: Column | float, offset_x: Column | flo
 
 
 def contour_metrics(contours: DataFrame) -> DataFrame:
-    """contours with c_area, c_perimeter, c_box_area, rectangularity, box_aspect, position (1 in the frame's middle, 0 in its corner)."""
-    b = F.col("__m.b")
-    rows = once(contours, "__m", F.struct(bounds(F.col("points")).alias("b"), area(F.col("points")).alias("a"), perimeter(F.col("points")).alias("p")))
-    w, h = F.col("frame_width"), F.col("frame_height")
+    """contours with c_area, c_perimeter, c_box_area, rectangularity, box_aspect, position (1 in the frame's middle, 0 in its corner).
+    Meant for few points; outlines get theirs from `outline_metrics`."""
+    return _with_metrics(once(contours, "__m", _metrics())).drop("__m")
+
+
+def _metrics() -> Column:
+    return F.struct(bounds(F.col("points")).alias("b"), area(F.col("points")).alias("a"), perimeter(F.col("points")).alias("p"))
+
+
+def _with_metrics(rows: DataFrame) -> DataFrame:
+    b, w, h = F.col("__m.b"), F.col("frame_width"), F.col("frame_height")
     dx, dy = b["x"] + b["w"] / 2 - w / 2, b["y"] + b["h"] / 2 - h / 2
     rows = rows.withColumns({"c_area": F.col("__m.a"), "c_perimeter": F.col("__m.p"), "c_box_area": b["w"] * b["h"], "box_aspect": b["w"] / b["h"], "position": 1 - F.sqrt(dx * dx + dy * dy) / F.sqrt(w * w / 4 + h * h / 4)})
-    return rows.withColumn("rectangularity", F.col("c_area") / F.col("c_box_area")).drop("__m")
+    return rows.withColumn("rectangularity", F.col("c_area") / F.col("c_box_area"))
 
 
 def _turn(o: Column, a: Column, b: Column) -> Column:
@@ -335,11 +344,25 @@ def simplified(points: Column, tolerance: Column) -> Column:
 
 
 def outline_metrics(contours: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """Contours with metrics and what their outlines tell: solidity (area over that of the hull) and vertices (of the outline
-    simplified at a share of its perimeter)."""
-    told = F.struct(let(hull(F.col("points")), area).alias("hull"), F.size(simplified(F.col("points"), F.col("c_perimeter") * tolerance)).alias("vertices"))
-    rows = once(contours, "__o", told)
-    return rows.select(*contours.columns, F.col("__o.vertices").alias("vertices"), F.when(F.col("__o.hull") > 0, F.col("c_area") / F.col("__o.hull")).alias("solidity"))
+    """Contours with metrics (those of `contour_metrics`, added where they are missing) and what their outlines tell: solidity (area
+    over that of the hull) and vertices (of the outline simplified at a share of its perimeter).
+
+    Outlines are measured in numpy, a batch at a time; the columns above, which fold one outline after the other, take those
+    with coordinates that are null or not finite."""
+
+    @F.arrow_udf(outlines.TYPE)
+    def measured(points: pa.Array) -> pa.Array:
+        return outlines.measured(points, tolerance)
+
+    rows = contours.withColumn("__q", measured("points"))
+    of = lambda n: F.col(f"__q.{n}")
+    box = F.struct(of("left").alias("x"), of("top").alias("y"), (of("right") - of("left") + 1).alias("w"), (of("bottom") - of("top") + 1).alias("h"))
+    told = F.struct(box.alias("b"), of("area").alias("a"), of("perimeter").alias("p"), of("hull").alias("hull"), of("vertices").alias("vertices"))
+    odd = let(_metrics(), lambda m: F.struct(m["b"].alias("b"), m["a"].alias("a"), m["p"].alias("p"), let(hull(F.col("points")), area).alias("hull"), F.size(simplified(F.col("points"), m["p"] * tolerance)).alias("vertices")))
+    rows = once(rows, "__m", F.when(F.col("__q").isNotNull(), told).otherwise(odd))
+    if "c_area" not in contours.columns:
+        rows = _with_metrics(rows)
+    return rows.withColumns({"vertices": F.col("__m.vertices"), "solidity": F.when(F.col("__m.hull") > 0, F.col("c_area") / F.col("__m.hull"))}).drop("__m", "__q")
 
 
 def filter_contours(contours: DataFrame) -> DataFrame:

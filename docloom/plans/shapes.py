@@ -207,17 +207,17 @@ def g14_best_contour_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's quads as outlines of 64 points: sixteen a side, uneven, one in six with a notch, one in five with a blunt corner."""
     rows = spark_table(spark, sf_dir, QUADS)
-    corner = lambda c, k: F.get(F.array(*(F.col(f"{c}{n}") for n in range(4))), k.cast("int") % 4)
 
-    def at(k: F.Column) -> F.Column:
-        side, t = F.floor(k / 16), (k % 16).cast("double")
-        on = lambda c: corner(c, side) + (corner(c, side + 1) - corner(c, side)) * t / 16
-        notch = F.when((F.col("frame_id") % 6 == 0) & k.between(20, 24), 60.0).when((F.col("frame_id") % 5 == 0) & k.between(30, 34), 45.0).otherwise(0.0)
+    def at(k: int) -> F.Column:
+        side, t = k // 16, float(k % 16)
+        on = lambda c: F.col(f"{c}{side}") + (F.col(f"{c}{(side + 1) % 4}") - F.col(f"{c}{side}")) * t / 16
+        of, deep = (6, 60.0) if 20 <= k <= 24 else (5, 45.0)
+        notch = F.when(F.col("frame_id") % of == 0, deep).otherwise(0.0) if 20 <= k <= 24 or 30 <= k <= 34 else F.lit(0.0)
         return G.point(on("x") - notch, on("y") + ((F.col("frame_id") * 7 + k * 13) % 5 - 2).cast("double") / 4)
 
-    points = F.transform(F.sequence(F.lit(0), F.lit(63)), at)
-    rows = rows.withColumn("points", points)
-    return G.contour_metrics(rows.select(F.col("user_id").alias("frame_id"), F.col("frame_id").alias("contour_id"), "frame_width", "frame_height", "points"))
+    # Written out for the 64 places: a compiled expression, where a lambda is interpreted point by point.
+    rows = rows.withColumn("points", F.array(*map(at, range(64))))
+    return rows.select(F.col("user_id").alias("frame_id"), F.col("frame_id").alias("contour_id"), "frame_width", "frame_height", "points")
 
 
 def _outlined(tolerance: float) -> str:
