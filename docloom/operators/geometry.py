@@ -417,7 +417,8 @@ def line_intersections(lines: DataFrame) -> DataFrame:
 
 def page_skew(lines: DataFrame, threshold: float = 5.0) -> DataFrame:
     """frame_id, angle (median of the lines' angles from the nearest of 0 and 90 degrees), is_skewed."""
-    a = F.degrees("theta") - 90
+    # A whole degree comes back from radians with an error in its last place, which would pass a limit that it only reaches.
+    a = F.round(F.degrees("theta"), 9) - 90
     a = F.when(a > 45, a - 90).when(a < -45, a + 90).otherwise(a)
     return lines.groupBy("frame_id").agg(F.median(a).alias("angle")).withColumn("is_skewed", F.abs("angle") > threshold)
 

@@ -1,4 +1,4 @@
-"""Outlines measured in batches against the same as columns."""
+"""Outlines measured in batches against the same as columns, and skew of pages."""
 
 import time
 
@@ -34,3 +34,14 @@ def test_batches_are_fast():
     found = outlines.measures(x.ravel(), y.ravel(), np.full(4000, 64), 0.02)
     assert time.process_time() - began < 4000 * 0.0005
     assert (found["vertices"] >= 4).all() and (found["hull"] >= found["area"]).all()
+
+
+def test_skew_at_its_limits(spark):
+    """Of lines at whole degrees, five off are not skewed and 45 off keep their side, whatever radians make of them."""
+    degrees = list(range(180))
+    lines = spark.createDataFrame([(d, d * 0.017453292519943295) for d in degrees], "frame_id long, theta double")
+    told = {r.frame_id: (r.angle, r.is_skewed) for r in G.page_skew(lines).collect()}
+    for d in degrees:
+        off = d - 90
+        off = off - 90 if off > 45 else off + 90 if off < -45 else off
+        assert told[d] == (off, abs(off) > 5), d
