@@ -28,6 +28,11 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def trimmed_column(text: Column) -> Column:
+    """trimmed, of a column that costs nothing to read: most texts have nothing to trim, and a search is far cheaper than a replacement."""
+    return F.when(text.rlike(f"^{SPACE}|{SPACE}$"), trimmed(text)).otherwise(text)
+
+
 def words(text: Column) -> Column:
     """The words of a text; empty ones are left out."""
     return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
@@ -42,9 +47,13 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+#: The words, with what doesn't count between their letters.
+_BOILER = f"(?=[{''.join(sorted({w[0] for w in BOILERPLATE}))}])(?:" + "|".join(r"[^A-Za-z0-9_\s]*".join(w) for w in BOILERPLATE) + ")"
+
+
 def is_boilerplate(text: Column) -> Column:
-    cleaned = F.regexp_replace(F.lower(text), r"[^A-Za-z0-9_\s]", "")
-    return F.coalesce(cleaned.rlike("|".join(BOILERPLATE)), F.lit(False))
+    """Whether a text has one of the words when all but letters, digits, underscores and spaces is left out."""
+    return F.coalesce(F.lower(text).rlike(_BOILER), F.lit(False))
 
 
 def extract_dob(text: Column) -> Column:
@@ -67,7 +76,8 @@ def extract_name(text: Column) -> Column:
         return F.coalesce(whole, lead)
 
     names = F.filter(F.transform(F.split(text, "\n"), of_line), lambda n: n.isNotNull())
-    return F.get(names, 0)
+    # Only a text with a line that begins with two such words is taken apart.
+    return F.when(text.rlike(rf"(?:^|\n){SPACE}*{_NAME_WORD}{SPACE}+{_NAME_WORD}"), F.get(names, 0))
 
 
 def extract_gender(text: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.rules import Reading, confidence, value
-from docloom.functions.text import digits, let, once, trimmed, words
+from docloom.functions.text import digits, let, once, trimmed_column, words
 from docloom.sources.folders import written
 
 #: Distinct texts that are sent to the tasks, and the share of all blocks from which a text is hot (so at most 1 / HOT texts are).
@@ -56,13 +56,13 @@ def _facts(read: Reading, rules: list[dict | None]) -> Column:
 
 def row_facts(text: Column, book: RuleBook) -> Column:
     """The facts of a text, in rule order, worked out in its row."""
-    return let(trimmed(text), lambda t: _facts(Reading.of(t), book.rules))
+    return let(trimmed_column(text), lambda t: _facts(Reading.of(t), book.rules))
 
 
 def text_facts(texts: DataFrame, book: RuleBook) -> DataFrame:
     """texts (column text, and others) with facts. Each pattern is searched once, whatever the number of rules that have it."""
     patterns = book.patterns()
-    rows = once(texts, "__t", trimmed(F.col("text")))
+    rows = once(texts, "__t", trimmed_column(F.col("text")))
     t = F.col("__t")
     shared = {"length": F.length(t), "n_words": F.size(words(t)), "digits": digits(t), "upper": F.upper(t), "lower": F.lower(t)}
     shared |= {f"match{k}": t.rlike(f"(?i){p}") for k, p in enumerate(patterns)}

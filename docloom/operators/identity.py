@@ -5,35 +5,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import FIELDS, SPACE, is_boilerplate, let, once, trimmed
+from docloom.functions.text import FIELDS, SPACE, is_boilerplate, let, once, trimmed_column
 from docloom.operators.matching import center_x, center_y
 
 
-def facts(blocks: Column) -> Column:
-    """Blocks with what several steps ask of them: text, low (the text in lower case), boundingBox."""
-    return F.transform(blocks, lambda b: F.struct(b["text"].alias("text"), F.lower(b["text"]).alias("low"), b["boundingBox"].alias("boundingBox")))
+_DATE = r"\d{1,2}[/\-.]\d{1,2}[/\-.]\d{4}"
+#: What is asked of a text besides the fields, each a bit of `said`: for the flags, and for the types of blocks that have a score.
+_KINDS = {"issued_on": 0.8, "government_name": 0.8, "user_full_name": 0.8, "user_dob": 0.9, "user_gender": 0.9, "user_aadhar_no": 0.9, "aadhar_info": 0.7}
+_BITS = {name: 1 << k for k, name in enumerate(("issue", "header", "short", *_KINDS))}
 
 
-def identity(blocks: Column) -> Column:
-    """A struct with, for each field, the value of the first block that yields it, '' without one; boilerplate blocks are skipped. Each block is read once for all fields."""
-    useful = F.filter(blocks, lambda b: b["text"].isNotNull() & (b["text"] != "") & ~is_boilerplate(b["text"]))
-    read = F.transform(useful, lambda b: F.struct(*(of(b["text"]).alias(n) for n, of in FIELDS.items())))
+def _read_text(text: Column) -> Column:
+    return F.struct(F.lower(text).alias("low"), trimmed_column(text).alias("plain"), (~is_boilerplate(text)).alias("useful"))
 
-    def first(found: Column, name: str) -> Column:
-        return F.coalesce(F.get(F.filter(found, lambda v: v[name].isNotNull() & (v[name] != "")), 0)[name], F.lit(""))
 
-    return let(F.coalesce(read, F.array()), lambda found: F.struct(*(first(found, n).alias(n) for n in FIELDS)))
+def _card(text: Column, read: Column) -> Column:
+    """struct<said, name, date_of_birth, gender, id_number> of a text and what `_read_text` gives: all that identity cards ask
+    of it. Boilerplate has no fields; a null or empty text has a null."""
+    low, plain = read["low"], read["plain"]
+    has = lambda word: F.contains(low, F.lit(word))
+    tests = {
+        "issue": has("aadhaar") & (has("issued") | low.rlike(r"\d{4}")),
+        "header": has("government") | has("india"),
+        "short": (F.length(text) >= 6) & plain.rlike(r"^\d+[A-Z]*\d*$"),
+        "issued_on": has("aadhaar") | text.rlike(r"\d{2}[/\-.]\d{2}[/\-.]\d{4}") | text.rlike(r"\d{8}"),
+        "government_name": has("government") | has("india"),
+        "user_full_name": plain.rlike(f"^[A-Za-z]+({SPACE}+[A-Za-z]+){{1,3}}$"),
+        "user_dob": has("dob") | text.rlike(_DATE),
+        "user_gender": has("male") | has("female"),
+        "user_aadhar_no": plain.rlike(rf"^\d{{4}}{SPACE}*\d{{4}}{SPACE}*\d{{4}}$"),
+        "aadhar_info": has("proof") & has("identity"),
+    }
+    said = sum((F.when(tests[name], bit).otherwise(0) for name, bit in _BITS.items()), F.lit(0))
+    fields = (F.when(read["useful"], F.nullif(of(text), F.lit(""))).alias(n) for n, of in FIELDS.items())
+    return F.when(text.isNotNull() & (text != ""), F.struct(said.alias("said"), *fields))
+
+
+def read_blocks(blocks: DataFrame) -> DataFrame:
+    """Rows of blocks with `card`, what identity cards ask of a text. Read from rows, it is compiled code; where nested blocks don't
+    carry it, it is worked out inside the row, block by block."""
+    rows = once(blocks, "__x", _read_text(F.col("text")))
+    return rows.select(*blocks.columns, _card(F.col("text"), F.col("__x")).alias("card"))
+
+
+def _read(scans: DataFrame) -> DataFrame:
+    """scans with __cards: of each block with a text its card and boundingBox, in order; null without blocks."""
+    carried = "card" in scans.selectExpr("blocks[0] AS b").schema["b"].dataType.names
+    card = lambda b: b["card"] if carried else let(_read_text(b["text"]), lambda x: _card(b["text"], x))
+    cards = F.transform("blocks", lambda b: F.struct(card(b).alias("card"), b["boundingBox"].alias("boundingBox")))
+    return once(scans, "__cards", F.filter(cards, lambda b: b["card"].isNotNull()))
+
+
+def _says(block: Column, name: str) -> Column:
+    return block["card"]["said"].bitwiseAND(_BITS[name]) != 0
+
+
+def identity(cards: Column) -> Column:
+    """A struct with, for each field, the value of the first block that yields it, '' without one."""
+    first = lambda name: F.get(F.filter(F.transform(cards, lambda b: b["card"][name]), lambda v: v.isNotNull()), 0)
+    return F.struct(*(F.coalesce(first(n), F.lit("")).alias(n) for n in FIELDS))
 
 
 def extract_identity_fields(scans: DataFrame) -> DataFrame:
     """scan_id, name, date_of_birth, gender, id_number."""
-    return once(scans, "__i", identity(F.col("blocks"))).select("scan_id", "__i.*")
+    return once(_read(scans), "__i", identity(F.col("__cards"))).select("scan_id", "__i.*")
 
 
 def extract_identity_fields_flat(blocks: DataFrame) -> DataFrame:
     """The same from rows scan_id, block_pos, text, by one grouped arg-min for each field."""
-    useful = F.col("text").isNotNull() & ~is_boilerplate(F.col("text"))
-    rows = blocks.select("scan_id", "block_pos", *(F.when(useful, of(F.col("text"))).alias(n) for n, of in FIELDS.items()))
+    rows = once(blocks.select("scan_id", "block_pos", "text"), "__useful", F.col("text").isNotNull() & ~is_boilerplate(F.col("text")))
+    rows = rows.select("scan_id", "block_pos", *(F.when(F.col("__useful"), of(F.col("text"))).alias(n) for n, of in FIELDS.items()))
     return rows.groupBy("scan_id").agg(*(F.coalesce(F.min_by(n, F.when(F.col(n).isNotNull() & (F.col(n) != ""), F.col("block_pos"))), F.lit("")).alias(n) for n in FIELDS))
 
 
@@ -69,78 +110,54 @@ def template_layout_flags(templates: DataFrame) -> DataFrame:
     )
 
 
-def flags(blocks: Column) -> Column:
-    """A struct of the same flags from recognised text, of blocks with `facts`."""
+def flags(cards: Column) -> Column:
+    """A struct of the same flags from recognised text."""
     box = lambda b: b["boundingBox"]
-    has = lambda b, word: F.contains(b["low"], F.lit(word))
-    seen = F.filter(F.coalesce(blocks, F.array()), lambda b: b["boundingBox"].isNotNull() & b["text"].isNotNull() & (b["text"] != ""))
-
-    def of(seen: Column) -> Column:
-        issue = F.filter(seen, lambda b: has(b, "aadhaar") & (has(b, "issued") | b["low"].rlike(r"\d{4}")))
-        return let(issue, lambda issue: told(seen, issue))
+    seen = F.filter(F.coalesce(cards, F.array()), lambda b: box(b).isNotNull())
 
-    def told(seen: Column, issue: Column) -> Column:
-        header = F.filter(seen, lambda b: has(b, "government") | has(b, "india"))
-        left_issue = F.exists(issue, lambda b: (box(b)["bottom"] - box(b)["top"] > box(b)["right"] - box(b)["left"]) & (box(b)["left"] < 50))
+    def told(seen: Column) -> Column:
+        header = F.filter(seen, lambda b: _says(b, "header"))
+        left_issue = F.exists(seen, lambda b: _says(b, "issue") & (box(b)["bottom"] - box(b)["top"] > box(b)["right"] - box(b)["left"]) & (box(b)["left"] < 50))
         wide = left_issue & F.coalesce(box(F.try_element_at(header, F.lit(-1)))["left"] > 200, F.lit(False))
-        short = lambda b: (box(b)["left"] < 50) & (F.length(b["text"]) >= 6) & trimmed(b["text"]).rlike(r"^\d+[A-Z]*\d*$")
-        found = {"left_issue": left_issue, "top_right": F.exists(seen, lambda b: (box(b)["top"] < 100) & (box(b)["left"] > 500)), "wide": wide, "compact": F.exists(seen, short)}
+        found = {"left_issue": left_issue, "top_right": F.exists(seen, lambda b: (box(b)["top"] < 100) & (box(b)["left"] > 500)), "wide": wide, "compact": F.exists(seen, lambda b: _says(b, "short") & (box(b)["left"] < 50))}
         return F.struct(*(F.coalesce(c, F.lit(False)).alias(n) for n, c in found.items()))
 
-    return let(seen, of)
+    return let(seen, told)
 
 
 def scan_layout_flags(scans: DataFrame) -> DataFrame:
-    return once(scans, "__f", flags(facts(F.col("blocks")))).select("scan_id", "__f.*")
-
-
-def _base(kind: str, block: Column) -> Column | None:
-    """A recognised text's score for a block type; null for a type that has none."""
-    text = block["text"]
-    has = lambda word: F.contains(block["low"], F.lit(word))
-    date = r"\d{1,2}[/\-.]\d{1,2}[/\-.]\d{4}"
-    tests = {
-        "issued_on": (0.8, has("aadhaar") | text.rlike(r"\d{2}[/\-.]\d{2}[/\-.]\d{4}") | text.rlike(r"\d{8}")),
-        "government_name": (0.8, has("government") | has("india")),
-        "user_full_name": (0.8, trimmed(text).rlike(f"^[A-Za-z]+({SPACE}+[A-Za-z]+){{1,3}}$")),
-        "user_dob": (0.9, has("dob") | text.rlike(date)),
-        "user_gender": (0.9, has("male") | has("female")),
-        "user_aadhar_no": (0.9, trimmed(text).rlike(rf"^\d{{4}}{SPACE}*\d{{4}}{SPACE}*\d{{4}}$")),
-        "aadhar_info": (0.7, has("proof") & has("identity")),
-    }
-    return F.when(tests[kind][1], tests[kind][0]).otherwise(0.0) if kind in tests else None
+    return once(_read(scans), "__f", flags(F.col("__cards"))).select("scan_id", "__f.*")
 
 
-def _card_content(blocks: Column, template: dict) -> Column:
+def _card_content(cards: Column, template: dict) -> Column:
     typed = [b for b in template["blocks"] or () if b and b["text"] and b["blockType"]]
     if not typed:
         return F.lit(0.0)
 
     def score(t: dict) -> callable:
-        def of(b: Column) -> Column:
-            base = _base(t["blockType"], b)
-            if base is None:
-                return F.lit(0.0)
-            return let(base, lambda s: placed(s, b)) if t["boundingBox"] else base
+        base = _KINDS[t["blockType"]]
 
-        def placed(base: Column, b: Column) -> Column:
+        def of(b: Column) -> Column:
+            if not t["boundingBox"]:
+                return F.lit(base)
             box = t["boundingBox"]
             dx, dy = (center_x(b["boundingBox"]) - (box["left"] + box["right"]) / 2) / 800, (center_y(b["boundingBox"]) - (box["top"] + box["bottom"]) / 2) / 800
             near = F.greatest(F.lit(0.0), 1 - F.sqrt(dx * dx + dy * dy))
-            return F.when((base > 0) & b["boundingBox"].isNotNull(), base * 0.8 + near * 0.2).otherwise(base)
+            return F.when(b["boundingBox"].isNotNull(), F.lit(base) * 0.8 + near * 0.2).otherwise(F.lit(base))
 
-        return of
+        # A block that doesn't say what its type asks for scores 0, and isn't measured.
+        return lambda b: F.when(_says(b, t["blockType"]), of(b)).otherwise(0.0)
 
     total = F.lit(0.0)
     for t in typed:
-        total = total + F.coalesce(F.array_max(F.transform(F.filter(blocks, lambda b: b["text"].isNotNull() & (b["text"] != "")), score(t))), F.lit(0.0))
+        if t["blockType"] in _KINDS:
+            total = total + F.coalesce(F.array_max(F.transform(cards, score(t))), F.lit(0.0))
     return total / len(typed)
 
 
 def with_id_scores(scans: DataFrame, templates: list[dict]) -> DataFrame:
     """scans with the identity fields and scores: array of struct<template_index, score>."""
-    rows = once(scans, "__facts", facts(F.col("blocks")))
-    rows = once(rows, "__k", F.struct(flags(F.col("__facts")).alias("f"), identity(F.col("__facts")).alias("i")))
+    rows = once(_read(scans), "__k", F.struct(flags(F.col("__cards")).alias("f"), identity(F.col("__cards")).alias("i")))
     rows = rows.select("*", *(F.col(f"__k.f.{n}").alias(f"__{n}") for n in ("left_issue", "top_right", "wide", "compact")), "__k.i.*").drop("__k")
     bonus = sum((F.when(F.col(n) != "", w).otherwise(0.0) for n, w in (("name", 0.08), ("date_of_birth", 0.08), ("gender", 0.07), ("id_number", 0.07))), F.lit(0.0))
     entries = []
@@ -148,10 +165,10 @@ def with_id_scores(scans: DataFrame, templates: list[dict]) -> DataFrame:
         own = template_flags(t)
         layout = sum((F.when(F.col(f"__{n}") == own[n], 0.25).otherwise(0.0) for n in ("left_issue", "compact", "wide", "top_right")), F.lit(0.0))
         kind = {"printout": F.col("__wide"), "card": F.col("__compact")}.get(t["format"], F.lit(False))
-        score = (layout + _card_content(F.col("__facts"), t) + bonus + F.when(kind, 0.2).otherwise(0.0)) / 2.5
+        score = (layout + _card_content(F.col("__cards"), t) + bonus + F.when(kind, 0.2).otherwise(0.0)) / 2.5
         entries.append(F.struct(F.lit(t["template_index"]).alias("template_index"), score.alias("score")))
     out = F.array(*entries) if entries else F.array().cast("array<struct<template_index:int,score:double>>")
-    return once(rows, "scores", out).drop("__left_issue", "__top_right", "__wide", "__compact", "__facts")
+    return once(rows, "scores", out).drop("__left_issue", "__top_right", "__wide", "__compact", "__cards")
 
 
 def id_template_score(scans: DataFrame, templates: list[dict]) -> DataFrame:

@@ -25,12 +25,14 @@ MOST_TEMPLATES = 200_000
 
 def nest(blocks: DataFrame, templates: list[dict] | None = None) -> DataFrame:
     """scan_id, blocks from rows scan_id, block_pos, text, left, top, right, bottom; with templates, blocks carry the facts that
-    their rules ask for. A row without a block_pos has no block: a scan of such rows alone has an empty array."""
+    their rules ask for, and what `identity.read_blocks` has read of them. A row without a block_pos has no block: a scan of such rows
+    alone has an empty array."""
     rows = blocks if templates is None else with_facts(blocks, RuleBook(templates))
-    parts = ["text", F.struct("left", "top", "right", "bottom").alias("boundingBox"), *(["facts"] if templates is not None else [])]
+    carried = [c for c in ("facts", "card") if c in rows.columns]
+    parts = ["text", F.struct("left", "top", "right", "bottom").alias("boundingBox"), *carried]
     item = F.when(F.col("block_pos").isNotNull(), F.struct("block_pos", *parts))
     ordered = F.array_sort(F.collect_list(item))
-    names = ["text", "boundingBox", *(["facts"] if templates is not None else [])]
+    names = ["text", "boundingBox", *carried]
     return rows.groupBy("scan_id").agg(F.transform(ordered, lambda b: F.struct(*(b[n].alias(n) for n in names))).alias("blocks"))
 
 

@@ -84,10 +84,15 @@ TEMPLATES = [
 ]
 
 
+#: Rows of a table that one task derives from: seven blocks come of an order, and what sorts them holds them.
+TASK_ROWS = 100_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A table of few files dealt to all cores, since a derived row takes far longer than reading it; one of many files stays as it lies."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """A table of few partitions dealt to all cores, and to more tasks the more rows it has, since a derived row takes far longer
+    than reading it and small files may hold many; one of many partitions stays as it lies. Rows are counted from the files' footers."""
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
 def spark_table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

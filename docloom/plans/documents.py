@@ -33,6 +33,11 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.nest(scan_blocks(spark, sf_dir))
 
 
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested scans whose blocks carry what identity cards ask of their texts."""
+    return matching.nest(identity.read_blocks(scan_blocks(spark, sf_dir)))
+
+
 def with_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested scans whose blocks carry what the templates' rules say of their texts."""
     return matching.nest(scan_blocks(spark, sf_dir), TEMPLATES)
@@ -67,7 +72,7 @@ def x1_to_x4_block_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_IDENTITY + " SELECT * FROM ident")
 def x5_identity_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.extract_identity_fields(nested(spark, sf_dir))
+    return identity.extract_identity_fields(cards(spark, sf_dir))
 
 
 @query(_IDENTITY + " SELECT * FROM ident")
@@ -220,7 +225,7 @@ flags AS (SELECT scan_id, left_issue, top_right, any_issue AND left_issue AND co
 
 @query(_FLAGS + " SELECT * FROM flags")
 def l9_scan_layout_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.scan_layout_flags(nested(spark, sf_dir))
+    return identity.scan_layout_flags(cards(spark, sf_dir))
 
 
 _CARD = {
@@ -255,7 +260,7 @@ def l8_template_layout_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ID_SCORES + " SELECT scan_id, CAST(template_index AS INT) AS template_index, round(score, 6) AS score FROM ids")
 def l10_id_template_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.id_template_score(nested(spark, sf_dir), TEMPLATES).select("scan_id", "template_index", r6("score"))
+    return identity.id_template_score(cards(spark, sf_dir), TEMPLATES).select("scan_id", "template_index", r6("score"))
 
 
 _BEST_ID = _ID_SCORES + ", win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY round(score, 9) DESC, template_index) AS k FROM ids WHERE score > 0) WHERE k = 1)"
@@ -263,12 +268,12 @@ _BEST_ID = _ID_SCORES + ", win AS (SELECT * FROM (SELECT *, row_number() OVER (P
 
 @query(_BEST_ID + " SELECT scan_id, CAST(template_index AS INT) AS template_index, round(score, 6) AS score FROM win")
 def l11_best_id_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.best_id_template(nested(spark, sf_dir), TEMPLATES).select("scan_id", "template_index", r6("score"))
+    return identity.best_id_template(cards(spark, sf_dir), TEMPLATES).select("scan_id", "template_index", r6("score"))
 
 
 @query(_BEST_ID + " SELECT scan_id, CAST(template_index AS INT) AS template_index, format, CASE template_index WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS format_id, round(score, 6) AS score, name, date_of_birth, gender, id_number FROM win")
 def l12_process_id_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.process_id_documents(nested(spark, sf_dir), TEMPLATES).select("scan_id", "template_index", "format", "format_id", r6("score"), *FIELDS)
+    return identity.process_id_documents(cards(spark, sf_dir), TEMPLATES).select("scan_id", "template_index", "format", "format_id", r6("score"), *FIELDS)
 
 
 _MESSY = """, messy AS (SELECT scan_id, block_pos, CASE WHEN (scan_id + block_pos) % 5 = 0 THEN NULL ELSE text END AS text, (scan_id + block_pos) % 7 = 0 AS no_side, (scan_id + block_pos) % 3 = 0 AS no_corners, scan_id % 6 = 0 AS no_text FROM sb),
