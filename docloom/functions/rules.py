@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.text import SPACE, digits, let, trimmed, words
+from docloom.functions.text import SPACE, digits, if_plain, let, n_words, trimmed, trimmed_column
 
 
 def _get(rule: dict | None, *path: str) -> Any:
@@ -49,7 +49,7 @@ class Reading:
 
     @classmethod
     def of(cls, t: Column) -> Reading:
-        return cls(t, F.length(t), F.size(words(t)), digits(t), F.upper(t), F.lower(t), lambda p: t.rlike(f"(?i){p}"))
+        return cls(t, F.length(t), n_words(t), digits(t), F.upper(t), F.lower(t), lambda p: t.rlike(f"(?i){p}"))
 
 
 def rule_confidence(text: Column, rule: dict | None) -> Column:
@@ -166,6 +166,16 @@ def value(read: Reading, rule: dict | None) -> Column:
     return F.when(t == "", t).otherwise(out)
 
 
+def _single_spaces(v: Column) -> Column:
+    return if_plain(v, F.regexp_replace(v, " +", " "), F.regexp_replace(v, f"{SPACE}+", " "))
+
+
+def _cleaned(v: Column) -> Column:
+    """Single spaces, and letters, digits and a few signs alone. Most texts are so already, and a search is far cheaper than replacements."""
+    clean = let(F.regexp_replace(_single_spaces(v), r"[^A-Za-z0-9_\s.,\-/]", ""), trimmed_column)
+    return F.when(v.rlike(r"^ | $|  |[^A-Za-z0-9_ .,\-/]"), clean).otherwise(v)
+
+
 def _steps(post: dict) -> list[Callable[[Column], Column]]:
     """Post-processing in its fixed order."""
     steps: list[Callable[[Column], Column]] = []
@@ -196,9 +206,9 @@ def _steps(post: dict) -> list[Callable[[Column], Column]]:
     if post.get("capitalizeEachWord"):
         steps.append(capitalized)
     if post.get("cleanText"):
-        steps.append(lambda v: trimmed(F.regexp_replace(F.regexp_replace(v, f"{SPACE}+", " "), r"[^A-Za-z0-9_\s.,\-/]", "")))
+        steps.append(_cleaned)
     if post.get("removeExtraSpaces"):
-        steps.append(lambda v: trimmed(F.regexp_replace(v, f"{SPACE}+", " ")))
+        steps.append(lambda v: let(_single_spaces(v), trimmed_column))
     if post.get("removeSpaces"):
-        steps.append(lambda v: F.regexp_replace(v, SPACE, ""))
+        steps.append(lambda v: if_plain(v, F.replace(v, F.lit(" "), F.lit("")), F.regexp_replace(v, SPACE, "")))
     return steps

@@ -30,7 +30,13 @@ def trimmed(text: Column) -> Column:
 
 def trimmed_column(text: Column) -> Column:
     """trimmed, of a column that costs nothing to read: most texts have nothing to trim, and a search is far cheaper than a replacement."""
-    return F.when(text.rlike(f"^{SPACE}|{SPACE}$"), trimmed(text)).otherwise(text)
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(SPACE), trimmed(text)).otherwise(text)
+
+
+def if_plain(text: Column, plain: Column, other: Column) -> Column:
+    """`plain` for texts of printable ASCII alone, in which a blank is the only space: Java tests SPACE by a chain of a dozen predicates a letter."""
+    return F.when(text.rlike("[^ -~]"), other).otherwise(plain)
 
 
 def words(text: Column) -> Column:
@@ -38,8 +44,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
+def n_words(text: Column) -> Column:
+    """How many words a text has, counted without cutting it up (which compiles the pattern anew for every text)."""
+    return if_plain(text, F.regexp_count(text, F.lit("[^ ]+")), F.regexp_count(text, F.lit(f"[^{SPACE[1:]}+")))
+
+
 def digits(text: Column) -> Column:
-    return F.regexp_replace(text, "[^0-9]", "")
+    return F.regexp_replace(text, "[^0-9]+", "")
 
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:

@@ -13,7 +13,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +20,6 @@ from docloom.operators.facts import RuleBook
 
 #: Sides of a cell: pixels of mean x, share on the left; numbers of blocks are cut at powers of this.
 CELL_X, CELL_LEFT, CELL_N = 25.0, 0.05, 1.2
-#: Templates sent to the tasks as rows.
-SENT_TEMPLATES = 100_000
 #: Scans searched at once.
 CHUNK = 256
 #: Above any rounding error of a bound.
@@ -52,21 +49,22 @@ def kinds(template: dict, book: RuleBook) -> dict[int, int]:
     return out
 
 
-_BLOCK = "struct<kind:string,rule:int,x:double,y:double>"
-_ROW = f"template_index int, format string, format_id int, n int, avg_x double, left_ratio double, kinds array<struct<rule:int,times:int>>, blocks array<{_BLOCK}>"
+def centre(block: dict, low: str, high: str) -> float | None:
+    """The middle of a block's box between two sides; None without a box."""
+    box = block["boundingBox"]
+    return (box[low] + box[high]) / 2 if box else None
+
+
+_ROW = "template_index int, n int, avg_x double, left_ratio double, kinds array<struct<rule:int,times:int>>"
 
 
 def template_table(spark: SparkSession, templates: list[dict], book: RuleBook) -> DataFrame:
-    """A row for each template with blocks: its layout, its rules with their numbers of blocks, its typed blocks with their centres."""
+    """A row for each template with blocks: its layout, its rules with their numbers of blocks."""
     rows = []
     for t in templates:
-        if not t["blocks"]:
-            continue
-        f = features(t) or {"n": None, "avg_x": None, "left_ratio": None}
-        box = lambda b: b["boundingBox"] or {}
-        centre = lambda b, lo, hi: (box(b)[lo] + box(b)[hi]) / 2 if box(b) else None
-        blocks = [(b["blockType"], book.number(t["rules"].get(b["blockType"])), centre(b, "left", "right"), centre(b, "top", "bottom")) for b in typed(t)]
-        rows.append((t["template_index"], t["format"], t["format_id"], f["n"], f["avg_x"], f["left_ratio"], list(kinds(t, book).items()), blocks))
+        if t["blocks"]:
+            f = features(t) or {"n": None, "avg_x": None, "left_ratio": None}
+            rows.append((t["template_index"], f["n"], f["avg_x"], f["left_ratio"], list(kinds(t, book).items())))
     return spark.createDataFrame(rows, _ROW)
 
 
@@ -182,17 +180,3 @@ class TemplateIndex:
         index, score = np.full(len(scan), -1, np.int64), np.zeros(len(scan))
         index[r[head][won]], score[r[head][won]] = self.index[t[head][won]], s[head][won]
         return index, score, len(s)
-
-
-def best_of(index: TemplateIndex, layout: Column, best: Column) -> Column:
-    """struct<template_index, score> of a scan's best template, null without one; only the layout and the best fits by rule go to Python."""
-    kind = pa.struct([("template_index", pa.int32()), ("score", pa.float64())])
-    width = index.weight.shape[1]
-
-    def run(x: pa.Array, left: pa.Array, n: pa.Array, fits: pa.Array) -> pa.Array:
-        scan = np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (x, left, n)], axis=1)
-        found, score, _ = index.best(scan, fits.flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
-        none = found < 0
-        return pa.StructArray.from_arrays([pa.array(found.astype(np.int32)), pa.array(score)], fields=list(kind), mask=pa.array(none))
-
-    return F.arrow_udf(run, "template_index int, score double")(layout["avg_x"], layout["left_ratio"], layout["n"], best)

@@ -38,11 +38,6 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.nest(identity.read_blocks(scan_blocks(spark, sf_dir)))
 
 
-def with_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested scans whose blocks carry what the templates' rules say of their texts."""
-    return matching.nest(scan_blocks(spark, sf_dir), TEMPLATES)
-
-
 def r6(c: str) -> F.Column:
     return F.round(F.col(c), 6).alias(c)
 
@@ -162,17 +157,17 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER
 
 @query(_SCORES + " SELECT scan_id, tidx AS template_index, round(s, 6) AS similarity FROM sc")
 def l2_structural_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.structural_similarity(with_facts(spark, sf_dir), TEMPLATES).select("scan_id", "template_index", r6("similarity"))
+    return matching.structural_similarity(nested(spark, sf_dir), TEMPLATES).select("scan_id", "template_index", r6("similarity"))
 
 
 @query(_SCORES + " SELECT scan_id, tidx AS template_index, round(c, 6) AS similarity FROM sc")
 def l3_content_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.content_similarity(with_facts(spark, sf_dir), TEMPLATES).select("scan_id", "template_index", r6("similarity"))
+    return matching.content_similarity(nested(spark, sf_dir), TEMPLATES).select("scan_id", "template_index", r6("similarity"))
 
 
 @query(_SCORES + " SELECT scan_id, tidx AS template_index, round(score, 6) AS score FROM best")
 def l4_best_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.best_template(with_facts(spark, sf_dir), TEMPLATES).select("scan_id", "template_index", r6("score"))
+    return matching.best_template(nested(spark, sf_dir), TEMPLATES).select("scan_id", "template_index", r6("score"))
 
 
 _RESULTS = _SCORES + f""", near AS (SELECT conf.*, conf * 0.7::DOUBLE + 0.3::DOUBLE * greatest(0, 1 - sqrt(power(((left_ + right_) / 2 - (l + r) / 2) / 1000, 2) + power(((top_ + bottom_) / 2 - (t_ + b) / 2) / 1000, 2))) AS total, best.score FROM conf JOIN best USING (scan_id, tidx)),
@@ -189,12 +184,12 @@ def flat_results(results: DataFrame) -> DataFrame:
 
 @query(_RESULTS + " SELECT scan_id, template_index, format, format_id, round(match_score, 6) AS match_score, fields, matched FROM full_")
 def l6_process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_results(matching.process_documents(with_facts(spark, sf_dir), TEMPLATES))
+    return flat_results(matching.process_documents(nested(spark, sf_dir), TEMPLATES))
 
 
 @query(_RESULTS + " SELECT scan_id, kind AS block_type, value FROM pick")
 def l5_extract_with_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.process_documents(with_facts(spark, sf_dir), TEMPLATES).select("scan_id", F.explode("fields").alias("block_type", "value"))
+    return matching.process_documents(nested(spark, sf_dir), TEMPLATES).select("scan_id", F.explode("fields").alias("block_type", "value"))
 
 
 @query(" SELECT DISTINCT o_orderkey AS scan_id FROM orders WHERE o_orderkey NOT IN (SELECT scan_id FROM sb WHERE scan_id % 4 <> 0)")
@@ -202,7 +197,7 @@ def l7_unmatched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth scan has lost its blocks."""
     rows = scan_blocks(spark, sf_dir)
     lost = rows.withColumns({c: F.when(F.col("scan_id") % 4 != 0, F.col(c)).alias(c) for c in ("block_pos", "text")})
-    _, others = matching.split_documents(matching.nest(lost, TEMPLATES), TEMPLATES)
+    _, others = matching.split_documents(matching.nest(lost), TEMPLATES)
     return others.select("scan_id")
 
 
@@ -212,7 +207,7 @@ def l7_unmatched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM pick JOIN (SELECT scan_id, format FROM full_) USING (scan_id) JOIN per USING (format) WHERE value <> '' GROUP BY format, kind"""
 )
 def l13_extraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = matching.extraction_report(matching.process_documents(with_facts(spark, sf_dir), TEMPLATES))
+    report = matching.extraction_report(matching.process_documents(nested(spark, sf_dir), TEMPLATES))
     return report.select("format", "field", "documents", "filled", r6("fill_rate"), r6("mean_score"))
 
 
@@ -425,7 +420,7 @@ def s6_normalize_anchor_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_RESULTS + " SELECT scan_id, template_index, format, format_id, round(match_score, 6) AS match_score, fields, matched FROM full_")
 def s7_write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results written in two batches by format, the first of them twice, as a replay does, and read back."""
-    results = folders.written(matching.process_documents(with_facts(spark, sf_dir), TEMPLATES), "results")
+    results = folders.written(matching.process_documents(nested(spark, sf_dir), TEMPLATES), "results")
     path = folders.new_folder(spark, "sink")
     for batch in (0, 1, 0):
         io.write_batch(results.where(F.col("scan_id") % 2 == batch), batch, path)
@@ -438,6 +433,7 @@ def t4_stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     arriving, sink, state = (folders.new_folder(spark, name) for name in ("arriving", "results", "state"))
     stored = nested(spark, sf_dir)
     stored.write.parquet(arriving)
-    results = stream_documents(spark.readStream.schema(stored.schema).parquet(arriving), TEMPLATES)
+    known = matching.known_facts(spark.read.schema(stored.schema).parquet(arriving), TEMPLATES)
+    results = stream_documents(spark.readStream.schema(stored.schema).parquet(arriving), TEMPLATES, known)
     results.writeStream.format("parquet").option("checkpointLocation", state).option("path", sink).trigger(availableNow=True).start().awaitTermination()
     return flat_results(spark.read.schema(results.schema).parquet(sink))

@@ -215,8 +215,9 @@ def feedback_dedup(messages: DataFrame, gap_ms: int = 2000, lateness: str = LATE
     return _folded(messages, Feedback(gap_ms), lateness, idle_ms)
 
 
-def stream_documents(scans: DataFrame, templates: list[dict]) -> DataFrame:
-    """process_documents on arriving scans: no state and no shuffle, so each scan is answered in its micro-batch."""
+def stream_documents(scans: DataFrame, templates: list[dict], known: DataFrame | None = None) -> DataFrame:
+    """process_documents on arriving scans: no state and no shuffle, so each scan is answered in its micro-batch. `known`: what
+    matching.known_facts has found in scans of earlier times, which spares the work on texts that come again."""
     from docloom.operators.matching import process_documents
 
-    return process_documents(scans, templates)
+    return process_documents(scans, templates, known)
