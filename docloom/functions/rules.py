@@ -143,9 +143,10 @@ def _captured(t: Column, pattern: str, strategy: dict) -> Column:
 
 
 def capitalized(text: Column) -> Column:
-    """Each word's first letter in upper case, the rest as it is."""
+    """Each word's first letter in upper case, the rest as it is. Only a text with a word in lower case is taken apart."""
     pieces = F.split(text, r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])")
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[A-Za-z0-9_]"), F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))).otherwise(p)), "")
+    whole = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[A-Za-z0-9_]"), F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))).otherwise(p)), "")
+    return F.when(text.rlike("(?<![A-Za-z0-9_])[a-z]"), whole).otherwise(text)
 
 
 def rule_extract(text: Column, rule: dict | None) -> Column:
