@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -299,12 +302,34 @@ def p2_explode_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.explode_blocks(nested(spark, sf_dir)).select("scan_id", "block_pos", "block.text", "block.boundingBox.left")
 
 
+def _lists(values: pa.Array, like: pa.Array) -> pa.ListArray:
+    """Lists of `values` as long as those of `like`, null where they are."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(like), 0).to_numpy(zero_copy_only=False), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), ends)), values, mask=like.is_null())
+
+
+def in_letters(texts: pa.Array) -> pa.Array:
+    """Blocks of lists of texts: every word is a line, and every letter (code point) of it an element; a null text has null lines."""
+    split = pc.split_pattern(texts.flatten(), " ")
+    words = split.flatten()
+    if not len(words):
+        elements = pa.array([], pa.list_(pa.struct({"text": pa.string()})))
+    else:
+        ends, data = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1], words.buffers()[2]
+        first = (np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] & 0xC0) != 0x80  # the first byte of a letter in UTF-8
+        starts = np.append(np.flatnonzero(first) + ends[0], ends[-1]).astype(np.int32)
+        letters = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), data)
+        of_word = np.append(0, np.cumsum(first))[ends - ends[0]].astype(np.int32)
+        elements = pa.ListArray.from_arrays(pa.array(of_word), pa.StructArray.from_arrays([letters], ["text"]))
+    lines = _lists(pa.StructArray.from_arrays([words, elements], ["text", "elements"]), split)
+    return _lists(pa.StructArray.from_arrays([texts.flatten(), lines], ["text", "lines"]), texts)
+
+
 def lined_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derived scans in which every word is a line, and every letter of it an element."""
-    none = F.lit(None).cast("struct<left:double,top:double,right:double,bottom:double>").alias("boundingBox")
-    letters = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.struct(F.substr(w, i, F.lit(1)).alias("text"), none))
-    lines = lambda t: F.transform(F.split(t, " "), lambda w: F.struct(w.alias("text"), none, letters(w).alias("elements")))
-    return nested(spark, sf_dir).withColumn("blocks", F.transform("blocks", lambda b: F.struct(b["text"].alias("text"), lines(b["text"]).alias("lines"))))
+    """Derived scans in which every word is a line, and every letter of it an element; made in Arrow batches, since lambdas copy every
+    letter anew for each level that they nest it in."""
+    lettered = F.arrow_udf(in_letters, "array<struct<text:string,lines:array<struct<text:string,elements:array<struct<text:string>>>>>>")
+    return nested(spark, sf_dir).select("scan_id", lettered(F.col("blocks.text")).alias("blocks"))
 
 
 _LINES = ", w AS (SELECT scan_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY block_pos) - 1 AS INT) AS block_pos, string_split(text, ' ') AS w FROM sb), ln AS (SELECT scan_id, block_pos, CAST(unnest(range(len(w))) AS INT) AS line_pos, unnest(w) AS text FROM w)"

@@ -41,3 +41,9 @@ def test_tasks_grow_with_rows(spark, tmp_path):
     """A small file of many rows goes to as many tasks as its rows ask for, not to one for each core."""
     spark.range(derived.TASK_ROWS * 9).coalesce(1).write.parquet(str(tmp_path / "t"))
     assert derived.spread(spark.read.parquet(str(tmp_path / "t"))).rdd.getNumPartitions() == 9
+
+
+def test_tasks_fill_the_cores(spark, tmp_path):
+    """Tables dealt by a key go to whole rounds of the cores."""
+    spark.range(derived.TASK_ROWS * 4 + 1).coalesce(1).write.parquet(str(tmp_path / "t"))
+    assert derived.spread(spark.read.parquet(str(tmp_path / "t")), "id").rdd.getNumPartitions() == 8

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,24 @@ def test_bad_pattern_is_left_out(spark):
     assert rules["x"]["patterns"] == ["ok"] and confidence(spark, "ok", rules["x"]) == 0.5
 
 
+def test_letters_of_lines(spark):
+    """Letters are code points, whatever an array's offset; lists and texts may be null or empty."""
+    letters = lambda w: [{"text": c} for c in w]
+    lines = lambda t: t if t is None else [{"text": w, "elements": letters(w)} for w in t.split(" ")]
+    lists = [["left out"], ["ab cd", None, "", " x"], None, [], ["é 😀z", "日本 語"], [None]]
+    want = [x if x is None else [{"text": t, "lines": lines(t)} for t in x] for x in lists]
+    assert documents.in_letters(pa.array(lists, pa.list_(pa.string()))).to_pylist() == want
+    assert documents.in_letters(pa.array(lists, pa.list_(pa.string())).slice(1)).to_pylist() == want[1:]
+    for few in ([], [None], [[]], [[None]]):
+        assert documents.in_letters(pa.array(few, pa.list_(pa.string()))).to_pylist() == [x if x is None else [{"text": None, "lines": None} for _ in x] for x in few]
+
+
+def test_letters_without_lambdas(spark):
+    """No lambda makes letters: each level of nesting copied them anew."""
+    plan = documents.p2_explode_elements(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "in_letters" in plan and "sequence(" not in plan
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps([{"blocks": [], "format": "", "formatId": 0, "textRecognition": {"blocks": [{"text": "a", "blockType": "b"}], "format": "card", "formatId": 4}}, {"textRecognition": {"blocks": [{"text": "a", "blockType": "b"}]}}]))
     one, two = M.load_templates(io.read_templates(spark, str(tmp_path / "t.json")))
