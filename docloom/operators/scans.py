@@ -2,62 +2,87 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import is_boilerplate
 
 
-def _box_ok(box: Column) -> Column:
-    return F.coalesce(box["left"].isNotNull() & box["top"].isNotNull() & box["right"].isNotNull() & box["bottom"].isNotNull(), F.lit(False))
-
-
-def _messages(item: Column, where: Column, children: str | None) -> Column:
-    """Complaints about one block, line or element. `where` names it."""
-    message = lambda bad, text: F.when(bad, F.concat(F.lit(text), where))
-    found = [message(~_box_ok(item["boundingBox"]), "Invalid boundingBox in "), message(item["cornerPoints"].isNull(), "Missing or invalid cornerPoints array in "), message(item["text"].isNull(), "Missing or invalid text property in ")]
-    if children:
-        found.append(message(item[children].isNull(), f"Missing or invalid {children} array in "))
-    return F.array_compact(F.array(*found))
-
-
-def _each(items: Column, of: callable) -> Column:
-    """The messages of all items in order; `of` takes an item and its index."""
-    none = F.array().cast("array<string>")
-    return F.coalesce(F.flatten(F.transform(items, of)), none)
+#: What is said of a scan, a block, a line and an element, in the order in which it is told; {0} is its place.
+_TOLD = (
+    ("Missing or invalid blocks array", "Missing or invalid text property"),
+    *((whole, "Invalid boundingBox in {0}", "Missing or invalid cornerPoints array in {0}", "Missing or invalid text property in {0}", more) for whole, more in (
+        ("Block {1} is not an object", "Missing or invalid lines array in {0}"), ("Line {2} in block {1} is not an object", "Missing or invalid elements array in {0}"), ("Element {3} in line {2} of block {1} is not an object", ""),
+    )),
+)
+_PLACES = ("", "block {1}", "line {2} of block {1}", "element {3} of line {2} in block {1}")
+_MOST_TOLD = 5
+
+
+def _bad(items: pa.Array, children: str | None) -> np.ndarray:
+    """Which complaints each item gives: a row for each, a column for each text of _TOLD. One that is null gives the first alone."""
+    there = items.is_valid().to_numpy(zero_copy_only=False)
+    missing = lambda *path: pc.struct_field(items, list(path)).is_null().to_numpy(zero_copy_only=False)
+    box = np.logical_or.reduce([missing("boundingBox", side) for side in ("left", "top", "right", "bottom")])
+    more = missing(children) if children else np.zeros(len(items), bool)
+    return np.column_stack([~there, *(there & m for m in (box, missing("cornerPoints"), missing("text"), more))])
+
+
+def complaints(blocks: pa.Array, texts: pa.Array) -> pa.Array:
+    """What is wrong with each scan of a batch, in the order of its parts. Parts are numbered as one walks the hierarchy, and a
+    complaint's text is made once for each place in a document."""
+    n = len(blocks)
+    bad = [np.column_stack([blocks.is_null().to_numpy(zero_copy_only=False), texts.is_null().to_numpy(zero_copy_only=False)])]
+    firsts, parents, lists = [], [], blocks
+    place, names = np.zeros(n, np.int64), [[()]]  # the index of each item's place in the names of its level
+    places = [place]
+    for children in ("lines", "elements", None):
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        first, parent = np.append(0, np.cumsum(sizes)), np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(parent)) - first[parent]
+        base = int(at.max(initial=0)) + 1
+        keys, place = np.unique(places[-1][parent] * base + at, return_inverse=True)
+        names.append([(*names[-1][k // base], k % base) for k in keys.tolist()])
+        items = lists.flatten()
+        bad.append(_bad(items, children))
+        places.append(place)
+        firsts.append(first)
+        parents.append(parent)
+        lists = pc.struct_field(items, children) if children else None
+    # An item's number: the items of its own and of deeper levels before it, and its ancestors and those before them.
+    numbers = []
+    for level in range(4):
+        number = at = np.arange(len(places[level]))
+        for first in firsts[level:]:
+            at = first[at]
+            number = number + at
+        up = np.arange(len(places[level]))
+        for parent in reversed(parents[:level]):
+            up = parent[up]
+            number = number + up + 1
+        numbers.append(number)
+    offsets = np.cumsum([0, *(len(x) for x in names)]) * _MOST_TOLD
+    told = np.full((sum(map(len, places)), _MOST_TOLD), -1, np.int64)
+    for number, place, is_bad, offset in zip(numbers, places, bad, offsets):
+        width = is_bad.shape[1]
+        told[number, :width] = np.where(is_bad, offset + place[:, None] * _MOST_TOLD + np.arange(width), -1)
+    used, of = np.unique(told[told >= 0], return_inverse=True)
+    made = []
+    for level, which in zip(np.searchsorted(offsets, used, "right") - 1, used.tolist()):
+        name, slot = divmod(which - int(offsets[level]), _MOST_TOLD)
+        where = ("", *names[level][name])
+        made.append(_TOLD[level][slot].format(_PLACES[level].format(*where), *where[1:]))
+    ends = np.append(0, np.cumsum((told >= 0).sum(axis=1)))[np.append(numbers[0], len(told))]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(made, pa.string()).take(pa.array(of)))
 
 
 def validation_errors() -> Column:
-    """What is wrong with a scan, in the order of its parts; null means missing."""
-    text = lambda n: n.cast("string")
-
-    def element(j: Column, i: Column) -> callable:
-        def of(e: Column, k: Column) -> Column:
-            whole = F.concat(F.lit("Element "), text(k), F.lit(" in line "), text(j), F.lit(" of block "), text(i), F.lit(" is not an object"))
-            # A box's message puts "of line" and "in block" the other way round.
-            box = F.concat(F.lit("Invalid boundingBox in element "), text(k), F.lit(" of line "), text(j), F.lit(" in block "), text(i))
-            found = F.array_compact(F.array(F.when(~_box_ok(e["boundingBox"]), box), F.when(e["cornerPoints"].isNull(), F.concat(F.lit("Missing or invalid cornerPoints array in "), _of(k, j, i))), F.when(e["text"].isNull(), F.concat(F.lit("Missing or invalid text property in "), _of(k, j, i)))))
-            return F.when(e.isNull(), F.array(whole)).otherwise(found)
-
-        return of
-
-    def _of(k: Column, j: Column, i: Column) -> Column:
-        return F.concat(F.lit("element "), text(k), F.lit(" of line "), text(j), F.lit(" in block "), text(i))
-
-    def line(i: Column) -> callable:
-        def of(x: Column, j: Column) -> Column:
-            whole = F.concat(F.lit("Line "), text(j), F.lit(" in block "), text(i), F.lit(" is not an object"))
-            place = F.concat(F.lit("line "), text(j), F.lit(" of block "), text(i))
-            return F.when(x.isNull(), F.array(whole)).otherwise(F.concat(_messages(x, place, "elements"), _each(x["elements"], element(j, i))))
-
-        return of
-
-    def block(b: Column, i: Column) -> Column:
-        whole = F.concat(F.lit("Block "), text(i), F.lit(" is not an object"))
-        return F.when(b.isNull(), F.array(whole)).otherwise(F.concat(_messages(b, F.concat(F.lit("block "), text(i)), "lines"), _each(b["lines"], line(i))))
-
-    top = F.array_compact(F.array(F.when(F.col("blocks").isNull(), "Missing or invalid blocks array"), F.when(F.col("text").isNull(), "Missing or invalid text property")))
-    return F.concat(top, _each(F.col("blocks"), block))
+    """What is wrong with a scan, in the order of its parts; null means missing. Judged in Arrow batches: lambdas would be
+    interpreted for every part."""
+    return F.arrow_udf(complaints, "array<string>")("blocks", "text")
 
 
 def validate_scans(scans: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import FIELDS
 from docloom.operators import facts, identity, matching, scans
 from docloom.plans.derived import SCAN_BLOCKS, TEMPLATES, scan_blocks
+from docloom.schemas import BLOCK
 from docloom.sources import folders, io
 from docloom.streaming.frames import stream_documents
 
@@ -372,21 +373,37 @@ msg AS (SELECT scan_id, i, j, -1 AS k, 0 AS n, concat('Line ', CAST(j AS VARCHAR
 SELECT s.scan_id, coalesce(string_agg(m, '; ' ORDER BY i, j, k, n), '') AS errors, count(m) = 0 AS is_valid FROM (SELECT DISTINCT scan_id FROM sb) AS s LEFT JOIN msg ON s.scan_id = msg.scan_id GROUP BY s.scan_id"""
 
 
-def messy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scans whose blocks are whole, and whose lines and elements lack some of their parts."""
-
-    def part(key: F.Column, text: F.Column, box: F.Column, *more: F.Column) -> F.Column:
-        side = F.struct(box["left"].alias("left"), box["top"].alias("top"), F.when(key % 7 != 0, box["right"]).alias("right"), box["bottom"].alias("bottom"))
-        return F.struct(F.when(key % 5 != 0, text).alias("text"), side.alias("boundingBox"), F.when(key % 3 != 0, corners).alias("cornerPoints"), *more)
+def in_messy_lines(ids: pa.Array, blocks: pa.Array) -> pa.Array:
+    """Blocks of scans with two lines each and two elements in a line; by their numbers, lines and elements lack some of their parts."""
+    items = blocks.flatten()
+    sizes = pc.fill_null(pc.list_value_length(blocks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    scan = np.repeat(np.arange(len(sizes)), sizes)
+    key = ids.to_numpy(zero_copy_only=False)[scan] + np.arange(len(scan)) - (np.cumsum(sizes) - sizes)[scan]
+
+    def part(of: np.ndarray, lacks: Callable[[int], np.ndarray], gone: np.ndarray | None = None, **more: pa.Array) -> pa.Array:
+        taken = lambda *path, bad=None: pc.if_else(pa.array(np.zeros(len(of), bool) if bad is None else bad), None, pc.struct_field(items, list(path)).take(pa.array(of)))
+        sides = {"left": None, "top": None, "right": lacks(7), "bottom": None}
+        box = pa.StructArray.from_arrays([taken("boundingBox", s, bad=bad) for s, bad in sides.items()], list(sides))
+        zeros = pa.array(np.zeros(int((~lacks(3)).sum())))
+        corners = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(~lacks(3))).astype(np.int32)), pa.StructArray.from_arrays([zeros, zeros], ["x", "y"]), mask=pa.array(lacks(3)))
+        parts = {"text": taken("text", bad=lacks(5)), "boundingBox": box, "cornerPoints": corners, **more}
+        return pa.StructArray.from_arrays(list(parts.values()), list(parts), mask=None if gone is None else pa.array(gone))
+
+    every = np.arange(len(key))
+    line_of, line_key = np.repeat(every, 2), (key[:, None] + np.arange(2)).ravel()
+    has = line_key % 4 != 0
+    element_key = (line_key[has][:, None] + np.arange(2)).ravel()
+    elements = part(np.repeat(line_of[has], 2), lambda m: element_key % m == 0)
+    elements = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * 2)).astype(np.int32)), elements, mask=pa.array(~has))
+    lines = part(line_of, lambda m: line_key % m == 0, line_key % 11 == 0, elements=elements)
+    lines = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * np.int32(2)), lines)
+    return _lists(part(every, lambda m: np.zeros(len(key), bool), lines=lines), blocks)
 
-    def line(b: F.Column, i: F.Column, j: int) -> F.Column:
-        key = F.col("scan_id") + i + j
-        elements = F.array(*(part(key + k, b["text"], b["boundingBox"]) for k in range(2)))
-        return F.when(key % 11 != 0, part(key, b["text"], b["boundingBox"], F.when(key % 4 != 0, elements).alias("elements")))
 
-    corners = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
-    blocks = F.transform("blocks", lambda b, i: F.struct(b["text"].alias("text"), b["boundingBox"].alias("boundingBox"), corners.alias("cornerPoints"), F.array(line(b, i, 0), line(b, i, 1)).alias("lines")))
-    return nested(spark, sf_dir).select("scan_id", F.lit("text").alias("text"), blocks.alias("blocks"))
+def messy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans whose blocks are whole, and whose lines and elements lack some of their parts; made in Arrow batches as in `lined_scans`."""
+    messy = F.arrow_udf(in_messy_lines, f"array<{BLOCK}>")
+    return nested(spark, sf_dir).select("scan_id", F.lit("text").alias("text"), messy("scan_id", "blocks").alias("blocks"))
 
 
 @query(_DEEP)

@@ -15,6 +15,7 @@ from docloom.operators import facts, picking
 from docloom.operators import matching as M
 from docloom.operators import scans as S
 from docloom.plans import documents
+from docloom.schemas import SCAN as SCAN_SCHEMA
 from docloom.sources import io
 from docloom.sources.folders import written
 
@@ -214,6 +215,39 @@ def test_letters_without_lambdas(spark):
     assert "in_letters" in plan and "sequence(" not in plan
 
 
+def test_complaints_by_plain_walk(spark):
+    """Complaints of a batch against a walk through each scan; parts, boxes, sides and lists are missing at random."""
+    rnd = random.Random(3)
+    maybe = lambda v, p=0.2: None if rnd.random() < p else v
+    box = lambda: maybe({s: maybe(1.0, 0.1) for s in ("left", "top", "right", "bottom")})
+    part = lambda **more: maybe({"text": maybe("t"), "boundingBox": box(), "cornerPoints": maybe([{"x": 1.0, "y": 2.0}] * rnd.randrange(2)), **more}, 0.1)
+    some = lambda of, most: maybe([of() for _ in range(rnd.randrange(most))])
+    rows = [(i, maybe("x"), some(lambda: part(lines=some(lambda: part(elements=some(part, 4)), 4)), 13)) for i in range(300)] + [(300, None, None), (301, "x", [])]
+
+    def walk(item, whole, place, children):
+        if item is None:
+            return [whole]
+        b = item["boundingBox"]
+        bad = [(b is None or None in b.values(), "Invalid boundingBox in "), (item["cornerPoints"] is None, "Missing or invalid cornerPoints array in "), (item["text"] is None, "Missing or invalid text property in "), (children and item[children] is None, f"Missing or invalid {children} array in ")]
+        return [m + place for is_bad, m in bad if is_bad]
+
+    def want(text, blocks):
+        found = ["Missing or invalid blocks array"] * (blocks is None) + ["Missing or invalid text property"] * (text is None)
+        for i, b in enumerate(blocks or []):
+            found += walk(b, f"Block {i} is not an object", f"block {i}", "lines")
+            for j, x in enumerate((b or {}).get("lines") or []):
+                found += walk(x, f"Line {j} in block {i} is not an object", f"line {j} of block {i}", "elements")
+                for k, e in enumerate((x or {}).get("elements") or []):
+                    found += walk(e, f"Element {k} in line {j} of block {i} is not an object", f"element {k} of line {j} in block {i}", None)
+        return found
+
+    scans = spark.createDataFrame(rows, SCAN_SCHEMA).repartition(3)
+    got = {r.scan_id: (r.errors, r.is_valid) for r in S.validate_scans(scans).collect()}
+    assert got == {i: (want(t, b), not want(t, b)) for i, t, b in rows}
+    assert S.validate_scans(scans.where("false")).count() == 0
+    assert "lambda" not in S.validate_scans(scans)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps([{"blocks": [], "format": "", "formatId": 0, "textRecognition": {"blocks": [{"text": "a", "blockType": "b"}], "format": "card", "formatId": 4}}, {"textRecognition": {"blocks": [{"text": "a", "blockType": "b"}]}}]))
     one, two = M.load_templates(io.read_templates(spark, str(tmp_path / "t.json")))
